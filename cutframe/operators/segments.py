@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalar import still_frames
 from ..schema import AUTO_DELETE, AUTO_KEEP, FRAME, MODE_ALL, MODE_AUTO, PAUSE, SPEEDS, VIDEO, Params
 from .islands import run_bounds, spread
 
-PAUSE_WINDOW = Window.partitionBy(VIDEO, "pause_id").orderBy(FRAME)
+
+
+def _pause_window() -> WindowSpec:
+    return Window.partitionBy(VIDEO, "pause_id").orderBy(FRAME)
 
 
 def frame_spine(catalog: DataFrame, facts: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def pause_frames(pause_segments: DataFrame, facts: DataFrame) -> DataFrame:
 def motion_mask(frames: DataFrame, motion_thresh: float) -> DataFrame:
     """Adds `active`: a frame after a pause's first with a diff above the bound makes itself and the frame before active."""
     hot = (F.col("diff") > F.lit(motion_thresh).cast("float")) & (F.col(FRAME) > F.col("start"))  # compared as floats
-    return frames.withColumn("_hot", hot).withColumn("active", F.col("_hot") | F.coalesce(F.lead("_hot").over(PAUSE_WINDOW), F.lit(False))).drop("_hot")
+    return frames.withColumn("_hot", hot).withColumn("active", F.col("_hot") | F.coalesce(F.lead("_hot").over(_pause_window()), F.lit(False))).drop("_hot")
 
 
 def still_trim(masked: DataFrame, catalog: DataFrame, still_time: float) -> DataFrame:
@@ -65,7 +68,7 @@ def still_trim(masked: DataFrame, catalog: DataFrame, still_time: float) -> Data
     any activity keeps a stretch at both ends.
     """
     whole = Window.partitionBy(VIDEO, "pause_id")
-    stepped = masked.withColumn("_run", F.sum((~F.col("active").eqNullSafe(F.lag("active").over(PAUSE_WINDOW))).cast("int")).over(PAUSE_WINDOW))
+    stepped = masked.withColumn("_run", F.sum((~F.col("active").eqNullSafe(F.lag("active").over(_pause_window()))).cast("int")).over(_pause_window()))
     run = Window.partitionBy(VIDEO, "pause_id", "_run")
     still = still_frames(F.col("fps"), F.lit(still_time))
     placed = stepped.withColumns({"_s": F.min(FRAME).over(run), "_e": F.max(FRAME).over(run), "_any": F.max("active").over(whole)}).join(catalog.select(VIDEO, "fps"), VIDEO).withColumn("_still", still.cast("long"))
