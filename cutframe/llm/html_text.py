@@ -16,6 +16,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_DEPTH = 150
 # Element names by how HTML treats them.
@@ -257,7 +258,7 @@ def html_text(html: str | None) -> str | None:
     return None if html is None else render(build(html))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _texts(pages: pd.Series) -> pd.Series:
     return pd.Series([html_text(p) for p in pages], dtype=object)
 

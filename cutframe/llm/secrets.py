@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the base kinds: their patterns, least lengths and order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -93,7 +94,7 @@ def spans(text: str | None, automaton) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _spans_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     automaton = _automaton()
     for batch in texts:
@@ -129,9 +130,13 @@ def digest_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row per document: counts of the base kinds, digest of the base spans, and all spans."""
     scanned = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), span_list(F.col(f"`{text}`")).alias("spans"))
     base = F.filter(F.split("spans", ","), lambda p: F.split(p, ":")[0].isin(*BASE_KINDS))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda p: p.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+
     return scanned.select(
         "doc_id",
-        *(F.size(F.filter(base, lambda p, k=kind: p.startswith(f"{k}:"))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS),
+        *map(count, BASE_KINDS),
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         "spans",
     )
