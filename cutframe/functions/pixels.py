@@ -32,14 +32,20 @@ def area_resize(planes: np.ndarray, out_w: int, out_h: int) -> np.ndarray:
 
 
 def _correlate(planes: np.ndarray, kernels: np.ndarray) -> np.ndarray:
-    """(n, k, y, x): sums of kernels (k, th, tw) at every offset in planes (n, h, w). One shifted multiply-add for each kernel row."""
+    """(n, k, y, x): sums of kernels (k, th, tw) at every offset in planes (n, h, w).
+
+    Each kernel row is laid out as a band matrix, so that all frames and offsets of a row are one matrix product.
+    """
     k, th, tw = kernels.shape
     n, h, w = planes.shape
-    windows = np.lib.stride_tricks.sliding_window_view(planes, tw, axis=2)  # n, h, x, tw
-    out = np.zeros((n, h - th + 1, w - tw + 1, k))
-    for row in range(th):
-        out += windows[:, row : row + h - th + 1] @ kernels[:, row].T
-    return out.transpose(0, 3, 1, 2)
+    rows, columns = h - th + 1, w - tw + 1
+    band = np.zeros((th, w, columns, k))
+    for i in range(columns):
+        band[:, i : i + tw, i] = kernels.transpose(1, 2, 0)
+    out = np.zeros((n * rows, columns * k))
+    for r in range(th):
+        out += planes[:, r : r + rows].reshape(-1, w) @ band[r].reshape(w, -1)
+    return out.reshape(n, rows, columns, k).transpose(0, 3, 1, 2)
 
 
 def ncc(planes: np.ndarray, t: np.ndarray, m: np.ndarray) -> np.ndarray:

@@ -22,6 +22,8 @@ from .sources import sinks, tables
 from .streaming import frames as streams
 
 PARAMS = Params()
+#: Stored frames by application and input folder: path, schema.
+_STORED: dict[tuple[str, str], tuple] = {}
 
 
 @dataclass
@@ -38,7 +40,15 @@ class Inputs:
 
     @cached_property
     def frames(self) -> DataFrame:
-        return fixtures.frames(self.spark, self.sf_dir)
+        """Frames are derived from the events once a session and kept as Parquet: all other operators scan that table."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _STORED:
+            path = self.folder("frames")
+            derived = fixtures.frames(self.spark, self.sf_dir)
+            derived.write.parquet(path)
+            _STORED[key] = path, derived.schema
+        path, schema = _STORED[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     @cached_property
     def catalog(self) -> DataFrame:
