@@ -35,23 +35,36 @@ def mark_deletes(facts: DataFrame, deletes: DataFrame) -> DataFrame:
     return facts.join(gone, [VIDEO, FRAME], "left").withColumn("del", F.coalesce("_gone", F.lit(False))).drop("_gone")
 
 
-def decimate(plan: DataFrame, state: int, factor: int) -> DataFrame:
-    """Frames that a speed-up by `factor` drops: in every run of `state` that is not deleted, all but the first of each `factor`."""
-    runs = run_bounds(plan.where((F.col("state") == state) & ~F.col("del")).select(VIDEO, FRAME), [])
+def decimate(plan: DataFrame, factors: dict[int, int]) -> DataFrame:
+    """Frames that speed-ups drop: in every run of a state that is not deleted, all but the first of each `factors[state]`."""
+    runs = run_bounds(plan.where(F.col("state").isin(*factors) & ~F.col("del")).select(VIDEO, FRAME, "state"), ["state"])
+    factor = F.coalesce(*(F.when(F.col("state") == s, n) for s, n in factors.items()))
     return spread(runs).where((F.col(FRAME) - F.col("start")) % factor != 0).select(VIDEO, FRAME)
 
 
+def speed_ups(params: Params) -> dict[int, int]:
+    """Factor of each state that an export speeds up."""
+    out = {SPEED_1X: 2} if params.speedup_1x else {}
+    return out | ({SPEED_02X: params.speedup_02_factor} if params.speedup_02 and params.speedup_02_factor > 1 else {})
+
+
+def base_plan(facts: DataFrame, pause_segments: DataFrame, mask: DataFrame, clips: DataFrame) -> DataFrame:
+    """(video_id, frame_idx, state, del): deletes of pauses and clips."""
+    return mark_deletes(facts.select(VIDEO, FRAME, "state"), pause_delete_rows(pause_segments, mask).unionByName(clip_delete_rows(clips)))
+
+
+def with_speed_ups(plan: DataFrame, params: Params) -> DataFrame:
+    """A base plan with the frames that speed-ups drop. The states' runs do not overlap, so one pass serves all of them."""
+    factors = speed_ups(params)
+    if not factors:
+        return plan
+    extra = decimate(plan, factors)
+    return mark_deletes(plan.withColumnRenamed("del", "_del"), extra).select(VIDEO, FRAME, "state", (F.col("del") | F.col("_del")).alias("del"))
+
+
 def delete_plan(facts: DataFrame, pause_segments: DataFrame, mask: DataFrame, clips: DataFrame, params: Params) -> DataFrame:
-    """(video_id, frame_idx, state, del): deletes of pauses and clips, then the speed-ups, each of which sees the deletes before."""
-    plan = mark_deletes(facts.select(VIDEO, FRAME, "state"), pause_delete_rows(pause_segments, mask).unionByName(clip_delete_rows(clips)))
-    extra = []
-    if params.speedup_1x:
-        extra.append(decimate(plan, SPEED_1X, 2))
-    if params.speedup_02 and params.speedup_02_factor > 1:
-        extra.append(decimate(plan, SPEED_02X, params.speedup_02_factor))  # other frames than those of 1x: both see the same plan
-    for rows in extra:
-        plan = mark_deletes(plan.withColumnRenamed("del", "_del"), rows).withColumn("del", F.col("del") | F.col("_del")).drop("_del")
-    return plan
+    """(video_id, frame_idx, state, del): deletes of pauses and clips, then the speed-ups, which count the frames that are left."""
+    return with_speed_ups(base_plan(facts, pause_segments, mask, clips), params)
 
 
 def kept_ranges(plan: DataFrame) -> DataFrame:

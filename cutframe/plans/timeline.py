@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -31,10 +32,17 @@ def signal_distance(a, b):
     return F.abs(a - b)
 
 
-def segment(facts: DataFrame, catalog: DataFrame, frames: DataFrame, params: Params, payload: str = "signal", distance=signal_distance) -> Segments:
-    """All segments of frame facts; `frames` has the payload that boundary frames are compared by."""
-    runs = segments.state_runs(facts)
-    found = segments.pauses(runs)
+def as_it_is(name: str, df: DataFrame) -> DataFrame:
+    return df
+
+
+def segment(facts: DataFrame, catalog: DataFrame, frames: DataFrame, params: Params, payload: str = "signal", distance=signal_distance, keep: Callable[[str, DataFrame], DataFrame] = as_it_is) -> Segments:
+    """All segments of frame facts; `frames` has the payload that boundary frames are compared by.
+
+    `keep(name, df)` may store a table and give it back: runs and pauses are few rows that several operators start from.
+    """
+    runs = keep("runs", segments.state_runs(facts))
+    found = keep("pauses", segments.pauses(runs))
     measured = segments.boundary_diff(found, catalog, frames, distance, payload)
     return Segments(
         segments.mode_override(measured, params.boundary_thresh),
@@ -45,6 +53,7 @@ def segment(facts: DataFrame, catalog: DataFrame, frames: DataFrame, params: Par
     )
 
 
-def cut_ranges(facts: DataFrame, found: Segments, params: Params) -> DataFrame:
+def cut_ranges(facts: DataFrame, found: Segments, clips: DataFrame, params: Params, keep: Callable[[str, DataFrame], DataFrame] = as_it_is) -> DataFrame:
     """Kept ranges of every video."""
-    return plans.kept_ranges(plans.delete_plan(facts, found.pauses, found.mask, found.clips, params))
+    base = keep("base_plan", plans.base_plan(facts, found.pauses, found.mask, clips))
+    return plans.kept_ranges(plans.with_speed_ups(base, params))

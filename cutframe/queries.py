@@ -13,17 +13,29 @@ from pyspark.sql import functions as F
 
 from . import fixtures
 from .functions import scalar
-from .functions import pixels as kernels  # noqa: F401
 from .operators import delete_plan as plans
 from .operators import edits, export, lookup, pixels, segments
+from .operators.islands import interval_join
 from .plans import timeline
-from .schema import FRAME, MODE_AUTO, SPEED_02X, SPEED_1X, VIDEO, Params
+from .schema import FRAME, MODE_AUTO, VIDEO, Params
 from .sources import sinks, tables
 from .streaming import frames as streams
 
 PARAMS = Params()
-#: Stored frames by application and input folder: path, schema.
-_STORED: dict[tuple[str, str], tuple] = {}
+#: Stored tables by application, input folder and name.
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+@dataclass
+class Found:
+    """The tables of timeline.Segments, each stored when it is first asked for."""
+
+    inputs: Inputs
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self.inputs.stored(name, lambda: getattr(self.inputs.live, name))
 
 
 @dataclass
@@ -38,17 +50,16 @@ class Inputs:
             return getattr(fixtures, name)(self.spark, self.sf_dir)
         raise AttributeError(name)
 
+    def stored(self, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
+        """A table that is derived once a session and kept as Parquet, as a warehouse keeps facts and segments for the operators after them."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            _STORED[key] = self.fresh(name, derive())
+        return _STORED[key]
+
     @cached_property
     def frames(self) -> DataFrame:
-        """Frames are derived from the events once a session and kept as Parquet: all other operators scan that table."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _STORED:
-            path = self.folder("frames")
-            derived = fixtures.frames(self.spark, self.sf_dir)
-            derived.write.parquet(path)
-            _STORED[key] = path, derived.schema
-        path, schema = _STORED[key]
-        return self.spark.read.schema(schema).parquet(path)
+        return self.stored("frames", lambda: fixtures.frames(self.spark, self.sf_dir))
 
     @cached_property
     def catalog(self) -> DataFrame:
@@ -59,28 +70,37 @@ class Inputs:
         return self.frames.select(VIDEO, FRAME, "state", "diff")
 
     @cached_property
-    def found(self) -> timeline.Segments:
+    def live(self) -> timeline.Segments:
+        """Segments straight from the facts, for the queries about them."""
         return timeline.segment(self.facts, self.catalog, self.frames, PARAMS)
 
     @cached_property
-    def pause_ranges(self) -> DataFrame:
-        return segments.pauses(self.found.runs)
+    def found(self) -> Found:
+        """Segments as stored, for the queries that start from them."""
+        return Found(self)
+
+    def edited(self, clips: DataFrame) -> DataFrame:
+        """Clips after the edits of their handles."""
+        anchored = interval_join(self.clip_edits, clips.select(VIDEO, "clip_id", "start", "end"), at="anchor_idx").select(VIDEO, "clip_id", "seq", "side", "tf")
+        return edits.trim_handles(clips, anchored)
 
     @cached_property
     def clips(self) -> DataFrame:
-        """Clips after the edits of their handles."""
-        from .operators.islands import interval_join
+        return self.edited(self.found.clips)
 
-        anchored = interval_join(self.clip_edits, self.found.clips.select(VIDEO, "clip_id", "start", "end"), at="anchor_idx").select(VIDEO, "clip_id", "seq", "side", "tf")
-        return edits.trim_handles(self.found.clips, anchored)
+    def fresh(self, name: str, df: DataFrame) -> DataFrame:
+        """`df` written anew and read back."""
+        path = self.folder(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     @cached_property
     def base_plan(self) -> DataFrame:
-        return plans.delete_plan(self.facts, self.found.pauses, self.found.mask, self.clips, Params(speedup_1x=False, speedup_02=False))
+        return self.stored("base_plan", lambda: plans.base_plan(self.facts, self.found.pauses, self.found.mask, self.clips))
 
     @cached_property
     def plan(self) -> DataFrame:
-        return plans.delete_plan(self.facts, self.found.pauses, self.found.mask, self.clips, PARAMS)
+        return self.stored("plan", lambda: plans.with_speed_ups(self.base_plan, PARAMS))
 
     @cached_property
     def ranges(self) -> DataFrame:
@@ -88,7 +108,7 @@ class Inputs:
 
     @cached_property
     def numbered(self) -> DataFrame:
-        return export.segment_order(export.merge_adjacent_segments(export.export_segments(self.base_plan, self.pause_ranges, True, True)))
+        return self.stored("segments", lambda: export.segment_order(export.merge_adjacent_segments(_segments(self, True, True))))
 
     @cached_property
     def present(self) -> DataFrame:
@@ -145,14 +165,16 @@ def frame_spine(x: Inputs) -> DataFrame:
 
 @query
 def params(x: Inputs) -> DataFrame:
-    sweep = tables.params_table(x.spark, Params(), Params(still_time=0.2, motion_thresh=1.0), Params(still_time=0.5, motion_thresh=3.0))
-    rows = x.catalog.crossJoin(F.broadcast(sweep))  # three rows
+    sweep = tables.params_array(Params(), Params(still_time=0.2, motion_thresh=1.0), Params(still_time=0.5, motion_thresh=3.0))
+    rows = x.catalog.select(VIDEO, "fps", F.explode(sweep).alias("p")).select(VIDEO, "fps", "p.*")
     return rows.select(VIDEO, "params_id", "still_time", "motion_thresh", scalar.still_frames(F.col("fps"), F.col("still_time")).alias("still_frames"))
 
 
 @query
 def sink_cut_list(x: Inputs) -> DataFrame:
-    return sinks.cut_list(x.ranges, x.catalog)
+    """The whole chain, from facts to ranges in seconds. Nothing but the frames comes from storage; what several operators start from is written on the way."""
+    found = timeline.segment(x.facts, x.catalog, x.frames, PARAMS, keep=x.fresh)
+    return sinks.cut_list(timeline.cut_ranges(x.facts, found, x.edited(found.clips), PARAMS, keep=x.fresh), x.catalog)
 
 
 @query
@@ -245,37 +267,37 @@ def state_runs(x: Inputs) -> DataFrame:
 
 @query
 def dense_ids(x: Inputs) -> DataFrame:
-    return x.pause_ranges
+    return segments.pauses(x.live.runs)
 
 
 @query
 def analysis_summary(x: Inputs) -> DataFrame:
-    return segments.analysis_summary(x.found.runs)
+    return segments.analysis_summary(x.live.runs)
 
 
 @query
 def motion_mask(x: Inputs) -> DataFrame:
-    return segments.motion_mask(segments.pause_frames(x.pause_ranges, x.facts), PARAMS.motion_thresh).select(VIDEO, FRAME, "pause_id", "active")
+    return segments.motion_mask(segments.pause_frames(segments.pauses(x.live.runs), x.facts), PARAMS.motion_thresh).select(VIDEO, FRAME, "pause_id", "active")
 
 
 @query
 def still_trim(x: Inputs) -> DataFrame:
-    return x.found.mask
+    return x.live.mask
 
 
 @query
 def boundary_diff(x: Inputs) -> DataFrame:
-    return segments.boundary_diff(x.pause_ranges, x.catalog, x.frames, timeline.signal_distance, "signal")
+    return segments.boundary_diff(segments.pauses(x.live.runs), x.catalog, x.frames, timeline.signal_distance, "signal")
 
 
 @query
 def mode_override(x: Inputs) -> DataFrame:
-    return x.found.pauses.select(VIDEO, "pause_id", "boundary_diff", "mode")
+    return x.live.pauses.select(VIDEO, "pause_id", "boundary_diff", "mode")
 
 
 @query
 def clip_segments(x: Inputs) -> DataFrame:
-    return x.found.clips
+    return x.live.clips
 
 
 # Plan
@@ -293,12 +315,12 @@ def clip_delete_rows(x: Inputs) -> DataFrame:
 
 @query
 def delete_plan(x: Inputs) -> DataFrame:
-    return x.plan
+    return plans.delete_plan(x.facts, x.found.pauses, x.found.mask, x.clips, PARAMS)
 
 
 @query
 def decimate(x: Inputs) -> DataFrame:
-    return plans.decimate(x.base_plan, SPEED_1X, 2).unionByName(plans.decimate(x.base_plan, SPEED_02X, PARAMS.speedup_02_factor))
+    return plans.decimate(x.base_plan, plans.speed_ups(PARAMS))
 
 
 @query
@@ -340,7 +362,7 @@ def drop_deleted(x: Inputs) -> DataFrame:
 
 
 def _segments(x: Inputs, split: bool, merge: bool) -> DataFrame:
-    return export.export_segments(x.base_plan, x.pause_ranges, split, merge)
+    return export.export_segments(x.base_plan, segments.pauses(x.found.runs), split, merge)
 
 
 @query

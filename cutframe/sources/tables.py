@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import catalog_fps
@@ -49,8 +49,12 @@ def template_images(spark: SparkSession, root: str) -> DataFrame:
     return rows.where("role = 'template'").unionByName(rows.where("role = 'source'").join(sources, ["class", "origin"], "left_semi"))
 
 
-def params_table(spark: SparkSession, *settings: Params) -> DataFrame:
-    """One row for each set of parameters, for sweeps."""
+def params_array(*settings: Params) -> Column:
+    """Sets of parameters as an array of structs, to explode beside the rows of a sweep."""
     rows = [asdict(p) for p in settings or (Params(),)]
-    values = F.array(*(F.struct(F.lit(n).alias("params_id"), *(F.lit(v).alias(k) for k, v in row.items())) for n, row in enumerate(rows)))
-    return spark.range(1).select(F.explode(values).alias("p")).select("p.*")
+    return F.array(*(F.struct(F.lit(n).alias("params_id"), *(F.lit(v).alias(k) for k, v in row.items())) for n, row in enumerate(rows)))
+
+
+def params_table(spark: SparkSession, *settings: Params) -> DataFrame:
+    """One row for each set of parameters."""
+    return spark.range(1).select(F.explode(params_array(*settings)).alias("p")).select("p.*")

@@ -135,7 +135,8 @@ def videos(spark):
     frames = spark.createDataFrame(rows, FACTS).repartition(5).cache()
     catalog = spark.createDataFrame([(n, len(v.states), v.fps) for n, v in all_videos.items()], "video_id long, total long, fps double")
     found = timeline.segment(frames, catalog, frames, PARAMS)
-    return all_videos, frames, catalog, found
+    kept = timeline.Segments(*(getattr(found, n).cache() for n in ("pauses", "mask", "speeds", "clips", "runs")))
+    return all_videos, frames, catalog, kept
 
 
 def rows_of(df, *names):
@@ -152,7 +153,7 @@ def test_runs_pauses_and_clips(videos):
 
 def test_plan_ranges_and_lookups(videos):
     all_videos, frames, catalog, found = videos
-    plan = plans.delete_plan(frames, found.pauses, found.mask, found.clips, PARAMS)
+    plan = plans.delete_plan(frames, found.pauses, found.mask, found.clips, PARAMS).cache()
     assert rows_of(plan, "video_id", "frame_idx", "del") == [(n, i, g) for n, v in all_videos.items() for i, g in enumerate(v.gone)]
     ranges = plans.kept_ranges(plan)
     assert rows_of(ranges, "video_id", "range_idx", "start_frame", "end_frame") == [(n, i, *r) for n, v in all_videos.items() for i, r in enumerate(v.kept_ranges())]
@@ -195,7 +196,7 @@ def test_decimation_keeps_the_first_of_each(spark, factor):
     states = [4] * 23 + [0] + [4] * 9 + [4] * 5
     gone = [i in (30, 31) for i in range(len(states))]
     plan = spark.createDataFrame([(1, i, s, g) for i, (s, g) in enumerate(zip(states, gone))], "video_id long, frame_idx long, state tinyint, del boolean")
-    assert {r["frame_idx"] for r in plans.decimate(plan, 4, factor).collect()} == loop_decimate(states, 4, factor, gone)
+    assert {r["frame_idx"] for r in plans.decimate(plan, {4: factor}).collect()} == loop_decimate(states, 4, factor, gone)
 
 
 def test_missing_frames(spark):
@@ -331,12 +332,42 @@ def test_image_sources(spark, tmp_path):
     assert (r["video_id"], r["frame_idx"], r["w"], r["h"]) == (7, 12, 6, 5)
 
 
+def test_templates_from_images(spark, tmp_path):
+    from cutframe.operators.templates import prepare_templates
+
+    rng = np.random.default_rng(6)
+    source = rng.integers(0, 256, (40, 80)).astype(np.uint8)
+    patch = source[10:18, 30:42].copy()
+    for name, plane in (("templates_pause/a.bmp", patch), ("source_images_pause/s.bmp", source), ("templates_speed_1x/b.bmp", patch), ("templates_speed_2x/c.bmp", source), ("source_images_speed_2x/d.bmp", patch)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        write_bmp(tmp_path / name, plane)
+    ready = prepare_templates(tables.template_images(spark, str(tmp_path)), 40, 20)
+    (r,) = ready.collect()  # the others lack a source or do not fit into it
+    assert (r["class"], r["template_id"], r["x"], r["y"]) == ("pause", 0, 30, 10)
+    assert (r["roi_x"], r["roi_y"], r["roi_w"], r["roi_h"], r["t_w"], r["t_h"]) == (12, 3, 12, 8, 6, 4)
+    assert r["t"] == kernel.area_resize(patch[None], 6, 4)[0].ravel().tolist() and r["m"] == (patch[::2, ::2] > 10).astype(int).ravel().tolist()
+    frame = kernel.area_resize(source[None], 40, 20)[0]
+    frames = spark.createDataFrame([(1, 0, 40, 20, bytearray(frame.tobytes()))], "video_id long, frame_idx long, w int, h int, px binary")
+    assert pixels.class_scores(frames, ready).first()["pause"] == pytest.approx(1.0)
+
+
+def test_functions_for_sql(spark):
+    from cutframe.functions.udfs import register_functions
+
+    register_functions(spark)
+    a, b = bytearray(range(12)), bytearray([5] * 12)
+    spark.createDataFrame([(a, b), (None, b)], "a binary, b binary").createOrReplaceTempView("payloads")
+    rows = spark.sql("SELECT pixel_mad(a, b) AS d, gray(b) AS g, area_resize(a, 4, 3, 2, 1) AS r, ncc_best(a, 4, 3, a, b, 4, 3) AS s FROM payloads").collect()
+    assert rows[0]["d"] == pytest.approx(np.abs(np.arange(12) - 5).mean()) and bytes(rows[0]["g"]) == bytes([5] * 4) and len(rows[0]["r"]) == 2
+    assert tuple(rows[1]) == (None, bytearray([5] * 4), None, None)
+
+
 def test_sinks(spark, videos, tmp_path):
     _, frames, catalog, found = videos
     sinks.write_frame_facts(frames.select("video_id", "frame_idx", "state", "diff"), str(tmp_path / "facts"), 4)
     back = sinks.read_frame_facts(spark, str(tmp_path / "facts"))
     assert rows_of(back, "video_id", "frame_idx", "state") == rows_of(frames, "video_id", "frame_idx", "state")
-    plan = plans.delete_plan(frames, found.pauses, found.mask, found.clips, PARAMS)
+    plan = spark.createDataFrame([(1, f, 0, f in (2, 3)) for f in range(9)], "video_id long, frame_idx long, state tinyint, del boolean")
     cuts = sinks.cut_list(plans.kept_ranges(plan), catalog)
     for fmt in ("parquet", "csv", "json"):
         sinks.write_rows(cuts, str(tmp_path / fmt), fmt)
