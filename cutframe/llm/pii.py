@@ -30,16 +30,18 @@ ROUNDS = 8
 PATTERN = re.compile(
     r"""
     (?<![\w.+-])(?P<email>[\w.+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})
-  | (?<![\w.])(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\w]|\.\d)
-  | (?<![\w-])(?P<ymd>\d{4}-\d{2}-\d{2})(?![\w-])
-  | (?<![\w/.])(?P<dmy>\d{2}[/.]\d{2}[/.]\d{4})(?![\w/]|\.\d)
-  | (?<!\w)(?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?!\w)
-  | (?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])
-  | (?<!\w)(?P<phone>\+\d{1,3}[\x20.-]?\(?\d{2,4}\)?(?:[\x20.-]?\d{2,4}){2,4})(?!\w)
-  | (?<!\w)(?P<number>\d(?:[\x20-]?\d){11,18})(?!\w)
+  | (?<![\w.])(?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?![\w]|\.[0-9])
+  | (?<![\w-])(?P<ymd>[0-9]{4}-[0-9]{2}-[0-9]{2})(?![\w-])
+  | (?<![\w/.])(?P<dmy>[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![\w/]|\.[0-9])
+  | (?<!\w)(?P<iban>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?!\w)
+  | (?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])
+  | (?<!\w)(?P<phone>\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,4})(?!\w)
+  | (?<!\w)(?P<number>[0-9](?:[\x20-]?[0-9]){11,18})(?!\w)
     """,
     re.VERBOSE,
 )
+#: Every value has one of these, and none goes over a line break.
+_SIGN = re.compile(r"[@0-9]")
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 KINDS = ("email", "ip", "ymd", "dmy", "iban", "ssn", "phone", "number")
 LOWER_LATIN = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -99,7 +101,7 @@ def _permute_chars(text: str, key: bytes, tweak: str, undo: bool) -> str:
 
 
 def _digits(text: str) -> str:
-    return re.sub(r"\D", "", text)
+    return re.sub(r"[^0-9]", "", text)
 
 
 def _email(text: str, key: bytes, undo: bool) -> str:
@@ -148,7 +150,7 @@ def _ssn(text: str, key: bytes, undo: bool) -> str | None:
 
 
 def _phone(text: str, key: bytes, undo: bool) -> str | None:
-    code = re.match(r"\+\d{1,3}(?=\D)|\+\d", text)[0]
+    code = re.match(r"\+[0-9]{1,3}(?=[^0-9])|\+[0-9]", text)[0]
     rest = _digits(text[len(code) :])
     if not 7 <= len(_digits(text)) <= 15:
         return None
@@ -188,7 +190,9 @@ def replacer(key: str, undo: bool = False) -> Callable[[str], tuple[str, dict[st
             counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
             return new
 
-        return PATTERN.sub(swap, text), counts
+        if not _SIGN.search(text):
+            return text, counts
+        return "\n".join(PATTERN.sub(swap, line) if _SIGN.search(line) else line for line in text.split("\n")), counts
 
     return run
 
