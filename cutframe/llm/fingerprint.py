@@ -26,8 +26,9 @@ UNIT_WORDS = 16
 SUB = 8
 ROUNDS = 12
 LEVELS = 12
-#: Documents in one range of ids that is sorted together.
+#: Documents in one range of ids that is sorted together, and most ranges (their edges are held by the driver); beyond, ranges grow and sorts spill.
 RANGE_ROWS = 1024
+MAX_RANGES = 20_000
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -159,7 +160,7 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     mark at its end, to the range before. Texts are shuffled once.
     """
     n, least, nulls = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
-    ranges = max(1, -(-n // range_rows))
+    ranges = min(MAX_RANGES, max(1, -(-n // range_rows)))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000 + 10 * ranges)).first()[0] if ranges > 1 else []
     edges = sorted({*(cuts or []), *([least] if least is not None else [0])})
     table = F.split(F.lit(",".join(map(str, edges))), ",").cast("array<bigint>")
