@@ -33,26 +33,35 @@ THRESHOLD = 0.3
 TREES, DEPTH, LASSO, SEED = 12, 3, 0.002, 7
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text, none of them null."""
-    body = F.coalesce(text, F.lit(""))
-    chars = F.greatest(F.length(body), F.lit(1)).cast("double")
-    words = F.split(F.lower(body), r"\s+")
-    n_words = F.greatest(F.size(words), F.lit(1)).cast("double")
-    count = lambda pattern: F.regexp_count(body, F.lit(pattern)).cast("double")
-    return {
-        "log_chars": F.log1p(chars),
-        "mean_word": chars / n_words,
-        "distinct_words": F.size(F.array_distinct(words)) / n_words,
-        "upper": count(r"\p{Lu}") / chars,
-        "digit": count(r"[0-9]") / chars,
-        "symbol": count(r"[#$%&*|<>{}\[\]=~^_@\\]") / chars,
-        "stop": count(r"[.?]") / n_words,
-        "comma": count(r"[,;:]") / n_words,
-        "bang": count(r"!") / n_words,
-        "line_break": count(r"\n") / n_words,
-        "echo": count(r"(?<!\S)(\S++)\s++\1(?!\S)") / n_words,
-    }
+#: Statistics of a text, none of them null.
+NAMES = ("log_chars", "mean_word", "distinct_words", "upper", "digit", "symbol", "stop", "comma", "bang", "line_break", "echo")
+_COUNTED = {
+    "upper": r"\p{Lu}",
+    "digit": r"[0-9]",
+    "symbol": r"[#$%&*|<>{}\[\]=~^_@\\]",
+    "stop": r"[.?]",
+    "comma": r"[,;:]",
+    "bang": r"!",
+    "line_break": r"\n",
+    "echo": r"(?<!\S)(\S++)\s++\1(?!\S)",
+}
+_BY_CHARS = ("upper", "digit", "symbol")
+
+
+def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs` as a struct _row, and a column for each of NAMES.
+
+    The counts come out of an explode of one struct: each is then computed once, and a filter on a score stays above it instead of
+    being pushed down with a copy of the counts for every rule.
+    """
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    words = F.transform(F.array(F.split(F.lower(body), r"\s+")), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct")))[0]
+    counts = F.struct(F.length(body).alias("chars"), words.alias("words"), *(F.regexp_count(body, F.lit(p)).alias(n) for n, p in _COUNTED.items()))
+    flat = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.explode(F.array(counts)).alias("_c"))
+    chars = F.greatest(F.col("_c.chars"), F.lit(1)).cast("double")
+    n_words = F.greatest(F.col("_c.words.n"), F.lit(1)).cast("double")
+    stats = [F.log1p(chars), chars / n_words, F.col("_c.words.distinct") / n_words, *(F.col(f"_c.{n}") / (chars if n in _BY_CHARS else n_words) for n in _COUNTED)]
+    return flat.select("_row", *(c.alias(n) for n, c in zip(NAMES, stats)))
 
 
 @dataclass(frozen=True)
@@ -76,7 +85,7 @@ class Model:
     intercept: float
 
     def score(self) -> Column:
-        """Score between 0 and 1 from the columns of statistics()."""
+        """Score between 0 and 1 from the columns NAMES."""
         total = F.lit(self.intercept)
         for rule in self.rules:
             total = total + rule.column() * F.lit(rule.weight)
@@ -110,9 +119,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFr
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """Fit on the labelled documents. `labels` has doc_id and the label (1: good)."""
     sample = labelled_sample(own_columns(docs, doc_id=doc_id, text=text), own_columns(labels, doc_id=doc_id, label=label), max_rows)
-    stats = statistics(F.col("text"))
-    names = list(stats)
-    rows = materialize(sample.select(F.col("label").cast("double").alias("label"), *(c.alias(n) for n, c in stats.items())), "quality-sample")
+    names = list(NAMES)
+    rows = materialize(with_statistics(sample).select(F.col("_row.label").cast("double").alias("label"), *names), "quality-sample")
     seen = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     n, good = seen[0], seen[1] or 0.0
     if not n or good in (0.0, float(n)):
@@ -131,10 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """`docs` with the model's score in column `out`; other columns pass through untouched."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != out]
-    whole = docs.select(F.struct(*kept).alias("_row"), F.struct(*(c.alias(n) for n, c in statistics(F.col(f"`{text}`")).items())).alias("_stats"))
-    flat = whole.select("_row", "_stats.*")
-    return flat.select("_row.*", model.score().alias(out))
+    kept = [f"_row.`{c}`" for c in docs.columns if c != out]
+    return with_statistics(docs, text).select(*kept, model.score().alias(out))
 
 
 def held_out(doc_id: Column) -> Column:

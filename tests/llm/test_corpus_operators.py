@@ -343,8 +343,8 @@ def test_quality_rules_are_conjunctions(spark, sf):
     assert model.rules and all(1 <= len(r.terms) <= quality.DEPTH for r in model.rules)
     import math
 
-    stats = quality.statistics(F.col("text"))
-    rows = quality.score(docs.select("doc_id", "text"), model).join(docs.select("doc_id", *(c.alias(n) for n, c in stats.items())), "doc_id").collect()
+    stats = quality.with_statistics(docs).select("_row.doc_id", *quality.NAMES)
+    rows = quality.score(docs.select("doc_id", "text"), model).join(stats, "doc_id").collect()
     for r in rows[:200]:
         total = model.intercept + sum(rule.weight for rule in model.rules if all((r[n] > b) == above for n, above, b in rule.terms))
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)))
