@@ -35,6 +35,8 @@ SEED = 42
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 #: Distinct fingerprints on one variant from which the variant is split further.
 HOT_VARIANT = 2000
+#: Most variants that one task emits.
+TASK_VARIANTS = 4_000_000
 CHUNK = 65_536
 
 
@@ -160,7 +162,10 @@ def _meet(rows: DataFrame, split_over: int | None) -> DataFrame:
 
 def links(fps: DataFrame, hot_variant: int = HOT_VARIANT) -> DataFrame:
     """(a, b) over the distinct longs in column fp: links that join all fingerprints within RADIUS bits, each key's as stars."""
-    met = materialize(_meet(fps.select(_variants(F.col("fp"), _masks(0, 64, BLOCKS)).alias("key"), "fp"), hot_variant), "simhash-met")
+    masks = _masks(0, 64, BLOCKS)
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * len(masks) // TASK_VARIANTS))
+    spread = fps.repartition(tasks)  # a few bytes a row in, many rows out: by their sizes alone there would be too few tasks
+    met = materialize(_meet(spread.select(_variants(F.col("fp"), masks).alias("key"), "fp"), hot_variant), "simhash-met")
     found = met.where(~F.col("hot")).select("a", "b")
     hot = met.where("hot").select(F.col("a").alias("hot_key"), F.col("b").alias("fp"))
     if hot.isEmpty():
