@@ -438,3 +438,33 @@ def test_whole_analysis_from_pixels(spark):
     assert {r["state"] for r in pixels.template_gate(frames, pixels.classify(pixels.class_scores(frames, templates.limit(0)), Params())).collect()} == {0}
     spread = pixels.chunked_frame_diff(frames, 3)
     assert rows_of(spread, "frame_idx", "diff") == rows_of(pixels.chunked_frame_diff(frames, 256), "frame_idx", "diff")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 40), st.integers(1, 40), st.integers(1, 12), st.integers(1, 12), st.integers(0, 1000))
+def test_area_resize_against_plain_weights(h, w, oh, ow, seed):
+    planes = np.random.default_rng(seed).integers(0, 256, (2, h, w), np.uint8)
+    sums = kernel.overlap(h, oh) @ planes.astype(np.int64) @ kernel.overlap(w, ow).T
+    assert (kernel.area_resize(planes, ow, oh) == np.rint(sums / (h * w))).all()
+
+
+def test_gray_of_every_other_colour():
+    b, g, r = (x.ravel() for x in np.meshgrid(np.arange(0, 256, 2), np.arange(256), np.arange(256), indexing="ij"))
+    plain = np.floor(b * 0.114 + g * 0.587 + r * 0.299 + 0.5)
+    assert (kernel.gray(np.stack([b, g, r], 1).astype(np.uint8)) == plain).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 7), st.integers(1, 7), st.booleans(), st.integers(0, 1000))
+def test_ncc_against_a_loop(th, tw, whole, seed):
+    rng = np.random.default_rng(seed)
+    plane, t = rng.integers(0, 256, (th + 2, tw + 3), np.uint8), rng.integers(0, 256, (th, tw))
+    m = np.ones_like(t) if whole else rng.integers(0, 2, (th, tw))
+    found = kernel.ncc(plane[None], t, m)[0]
+    for y, x in np.ndindex(3, 4):
+        patch, shape = plane[y : y + th, x : x + tw][m > 0].astype(float), t[m > 0].astype(float)
+        if len(shape) and patch.std() and shape.std():
+            a, b = patch - patch.mean(), shape - shape.mean()
+            assert found[y, x] == pytest.approx((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()), abs=1e-9)
+        else:
+            assert np.isnan(found[y, x])
