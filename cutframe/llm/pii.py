@@ -35,7 +35,8 @@ PATTERN = re.compile(
   | (?<![\w/.])(?P<dmy>[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![\w/]|\.[0-9])
   | (?<!\w)(?P<iban>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?!\w)
   | (?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])
-  | (?<!\w)(?P<phone>\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,4})(?!\w)
+  | (?<!\w)(?P<phone>\+1[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}|\+[0-9](?:[\x20.-]?\(?[0-9]\)?){6,14})(?!\w|\.[0-9])
+  | (?<!\w)(?P<card>[0-9]{4}(?:\x20[0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3})(?!\w)
   | (?<!\w)(?P<number>[0-9](?:[\x20-]?[0-9]){11,18})(?!\w)
     """,
     re.VERBOSE,
@@ -43,6 +44,7 @@ PATTERN = re.compile(
 #: Every value has one of these, and none goes over a line break.
 _SIGN = re.compile(r"[@0-9]")
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+#: Counted kinds. A card in groups of four has a pattern of its own, so that no digits after it are taken in, and counts as a number.
 KINDS = ("email", "ip", "ymd", "dmy", "iban", "ssn", "phone", "number")
 LOWER_LATIN = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", LOWER_LATIN)
@@ -150,7 +152,7 @@ def _ssn(text: str, key: bytes, undo: bool) -> str | None:
 
 
 def _phone(text: str, key: bytes, undo: bool) -> str | None:
-    code = re.match(r"\+[0-9]{1,3}(?=[^0-9])|\+[0-9]", text)[0]
+    code = re.match(r"\+1|\+[0-9]{1,3}(?=[^0-9])|\+[0-9]", text)[0]
     rest = _digits(text[len(code) :])
     if not 7 <= len(_digits(text)) <= 15:
         return None
@@ -184,11 +186,14 @@ def replacer(key: str, undo: bool = False) -> Callable[[str], tuple[str, dict[st
         counts: dict[str, int] = {}
 
         def swap(m: re.Match) -> str:
-            new = cached(m.lastgroup, m[0])
+            kind, whole, end = "number" if m.lastgroup == "card" else m.lastgroup, m[0], len(m[0])
+            new = cached(kind, whole)
+            while new is None and kind == "iban" and (end := whole.rfind(" ", 0, end)) > 0:  # capitals after the number may look like more of it
+                new = cached(kind, whole[:end])
             if new is None:
-                return m[0]
-            counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
-            return new
+                return whole
+            counts[kind] = counts.get(kind, 0) + 1
+            return new + whole[end:]
 
         if not _SIGN.search(text):
             return text, counts

@@ -103,6 +103,17 @@ def test_pseudonyms_keep_the_format_and_can_be_undone(name, text):
     assert pii.replacer("other")(text)[0] != new
 
 
+@pytest.mark.parametrize("text,kinds", [
+    ("+1 (826) 555-4081 190.137.223.204 du", {"phone": 1, "ip": 1}), ("+1 826 555 4081 4111 1111 1111 1111 1234 x", {"phone": 1, "number": 1}), ("4111-1111-1111-1111 190.1.2.3", {"number": 1, "ip": 1}),
+    ("+33 1 42 68 53 00, +44 20 7946 0958 or +12 345 678 901", {"phone": 3}), ("DE89 3704 0044 0532 0130 00 WITH 1234", {"iban": 1}),
+])
+def test_values_next_to_others(text, kinds):
+    new, counts = pii.replacer("k")(text)
+    assert counts == kinds and pii.replacer("k", undo=True)(new)[0] == text
+    first = re.split(r"(?<=4081) |(?<=1111) (?=190)|,| WITH", text)[0]
+    assert new.startswith(pii.replacer("k")(first)[0])  # linked to the same value elsewhere
+
+
 def test_validity_is_kept():
     run = pii.replacer("k")
     for i in range(200):
