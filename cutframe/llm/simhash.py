@@ -81,12 +81,16 @@ def _bits(lo: int, hi: int) -> int:
     return ((1 << hi) - 1) ^ ((1 << lo) - 1)
 
 
+def _salt(tag: int, a: int, b: int) -> int:
+    """What stands in a masked block: keeps the masks' keys apart; a chance meeting fails verification."""
+    return (0x9E3779B97F4A7C15 * (tag + 1)) & _bits(a, b)
+
+
 def _masks(lo: int, hi: int, blocks: tuple[tuple[int, int], ...]) -> list[tuple[int, int]]:
     """(keep, flip) of every variant of the bits lo..hi: one block of them masked, at most one other bit flipped."""
     out = []
     for tag, (a, b) in enumerate(blocks):
-        keep = _bits(lo, hi) & ~_bits(a, b)
-        salt = (0x9E3779B97F4A7C15 * (tag + 1)) & _bits(a, b)  # keeps the masks' keys apart; a chance meeting fails verification
+        keep, salt = _bits(lo, hi) & ~_bits(a, b), _salt(tag, a, b)
         out += [(keep, salt), *((keep, salt | 1 << i) for i in range(lo, hi) if not a <= i < b)]
     return out
 
@@ -171,10 +175,11 @@ def links(fps: DataFrame, hot_variant: int = HOT_VARIANT) -> DataFrame:
     if hot.isEmpty():
         return found.distinct()
     finer = []
-    for lo, hi in BLOCKS:  # whichever block the key had masked, the rows vary inside each
+    for tag, (lo, hi) in enumerate(BLOCKS):  # rows of a key that has this block masked may differ inside it alone, but for a bit or two
         third = (hi - lo) // 3
+        masked = F.col("hot_key").bitwiseAND(F.lit(_signed(_bits(lo, hi)))) == F.lit(_signed(_salt(tag, lo, hi)))
         masks = _masks(lo, hi, ((lo, lo + third), (lo + third, lo + 2 * third), (lo + 2 * third, hi)))
-        finer.append(hot.select("hot_key", "fp", _variants(F.col("fp"), masks).alias("v")).select(F.xxhash64("hot_key", F.lit(lo), "v").alias("key"), "fp"))
+        finer.append(hot.where(masked).select("hot_key", "fp", _variants(F.col("fp"), masks).alias("v")).select(F.xxhash64("hot_key", F.lit(lo), "v").alias("key"), "fp"))
     again = finer[0].unionByName(finer[1]).unionByName(finer[2])
     return found.unionByName(_meet(again, None).select("a", "b")).distinct()
 
