@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutframe.llm import decontaminate, packing, pii, quality, simhash
+from cutframe.llm import decontaminate, near_copies, packing, pii, quality
 from cutframe.llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,8 +23,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.deduplicate(docs.select(*COLUMNS))
+    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    return near_copies.deduplicate(docs.select(*COLUMNS))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
