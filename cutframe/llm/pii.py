@@ -2,7 +2,10 @@
 
 Numbers and dates are found, validated, and permuted with a key inside their own format: a card number stays a card
 number of the same length with a right check digit, a date stays a date. Values are permuted without their separators,
-so equal values keep equal pseudonyms across documents and spellings, and the holder of the key can undo them.
+so equal values keep equal pseudonyms across documents and spellings, and the holder of the key can undo them. (Dates with
+one-digit days or months, month-first ones and those with the month's name keep that form, and so pseudonyms of their own.)
+
+Not found: months named in other languages than English, years of two digits, phones of seven digits or fewer.
 
 A Feistel network of alternating modular additions is a permutation of [0, a * b); walking its cycle until the value falls below n
 makes it a permutation of [0, n) for any n.
@@ -16,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
@@ -26,25 +30,31 @@ from pyspark.sql import functions as F
 
 KEY = "cutframe-pseudonyms"
 ROUNDS = 8
-# Shapes of the kinds, tried in this order at each place.
+# Names of months; shapes of the kinds, tried in this order at each place.
+MONTHS = "January February March April May June July August September October November December".split()
+_MONTH = "(?:" + "|".join(y(m) for m in [*MONTHS, "Sept", *(m[:3] for m in MONTHS)] for y in (str, str.upper, str.lower)) + ")"
 PATTERN = re.compile(
     r"""
     (?<![\w.+-])(?P<email>[\w.+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})
   | (?<![\w.])(?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?![\w]|\.[0-9])
-  | (?<![\w-])(?P<ymd>[0-9]{4}-[0-9]{2}-[0-9]{2})(?![\w-])
-  | (?<![\w/.])(?P<dmy>[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![\w/]|\.[0-9])
+  | (?<![\w-])(?P<ymd>[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:(?=[Tt][0-9])|(?![\w-]))|(?<!/)[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}(?:(?=[Tt][0-9])|(?![\w/-])))
+  | (?<![\w/.])(?P<dmy>[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}(?:(?=[Tt][0-9])|(?![\w/]|\.[0-9]))|(?<!-)[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}(?![\w-]))
+  | (?<![\w/.-])(?P<written>MONTH\.?\x20[0-9]{1,2}(?:st|nd|rd|th)?,?\x20[0-9]{4}|[0-9]{1,2}(?:st|nd|rd|th)?\.?\x20MONTH\.?,?\x20[0-9]{4})(?!\w)
   | (?<!\w)(?P<iban>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?!\w)
   | (?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])
   | (?<!\w)(?P<phone>\+1[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}|\+[0-9](?:[\x20.-]?\(?[0-9]\)?){6,14})(?!\w|\.[0-9])
   | (?<!\w)(?P<card>[0-9]{4}(?:\x20[0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3})(?!\w)
   | (?<!\w)(?P<number>[0-9](?:[\x20-]?[0-9]){11,18})(?!\w)
-    """,
+  | (?<![\w.-])(?P<national>(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}|(?:\(0[1-9][0-9]{0,4}\)\x20?|0[1-9][0-9]{0,4}[\x20/-])[0-9]{2,8}(?:[\x20/-][0-9]{2,8}){0,4}|0[1-9][0-9]{7,9})(?!\w|\.[0-9])
+    """.replace("MONTH", _MONTH),
     re.VERBOSE,
 )
 #: Every value has one of these, and none goes over a line break.
 _SIGN = re.compile(r"[@0-9]")
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
-#: Counted kinds. A card in groups of four has a pattern of its own, so that no digits after it are taken in, and counts as a number.
+#: Counted kinds. A card in groups of four has a pattern of its own, so that no digits after it are taken in, and counts as a number;
+#: a date with the month's name counts as dmy, a phone without a country's code as a phone.
+COUNTED = {"card": "number", "written": "dmy", "national": "phone"}
 KINDS = ("email", "ip", "ymd", "dmy", "iban", "ssn", "phone", "number")
 LOWER_LATIN = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", LOWER_LATIN)
@@ -88,11 +98,20 @@ def _refill(shape: str, chars: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in shape)
 
 
+@lru_cache(10_000)
+def _alphabet(c: str) -> str | None:
+    """Letters and digits of the same block of 256 and the same category, for those outside ALPHABETS."""
+    if not c.isalnum():
+        return None
+    block, kind = ord(c) & ~255, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(block, block + 256)) if x.isalnum() and unicodedata.category(x) == kind and not any(x in a for a in ALPHABETS))
+
+
 def _permute_chars(text: str, key: bytes, tweak: str, undo: bool) -> str:
     """Every letter or digit stays in its alphabet; all of them are one mixed-radix number. Others stay."""
     value, n, places = 0, 1, []
     for i, c in enumerate(text):
-        if alphabet := next((x for x in ALPHABETS if c in x), None):
+        if alphabet := next((x for x in ALPHABETS if c in x), None) or _alphabet(c):
             value, n = value * len(alphabet) + alphabet.index(c), n * len(alphabet)
             places.append((i, alphabet))
     value, out = feistel(value, n, key, f"{tweak}|{n}", undo), list(text)
@@ -119,17 +138,58 @@ def _ip(text: str, key: bytes, undo: bool) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
+def _move(day: date, fits: Callable[[date], bool], key: bytes, undo: bool) -> date | None:
+    """The date's pseudonym among the dates that fit, as it does."""
+    if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
+        return None
+    while True:
+        day = date.fromordinal(FIRST_DAY + feistel(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", undo))
+        if fits(day):
+            return day
+
+
 def _date(text: str, order: str, key: bytes, undo: bool) -> str | None:
+    """Day first; month first where that is no date: its pseudonym is no date day first either. Short days and months stay as short."""
     parts = re.split(r"[-/.]", text)
-    y, m, d = parts if order == "ymd" else parts[::-1]
+    short = min(map(len, parts)) == 1
+    for form in ("ymd",) if order == "ymd" else ("dmy", "mdy"):
+        try:
+            old = date(*(int(parts[form.index(x)]) for x in "ymd"))
+        except ValueError:
+            continue
+        fits = lambda d: (form != "mdy" or d.day > 12) and not (short and ((d.day > 9) != (old.day > 9) or (d.month > 9) != (old.month > 9)))
+        if (new := _move(old, fits, key, undo)) is None:
+            return None
+        values = {"y": new.year, "m": new.month, "d": new.day}
+        return _refill(text, "".join(f"{values[x]:0{len(p)}d}" for x, p in zip(form, parts)))
+    return None
+
+
+def _ordinal(day: int) -> str:
+    return "th" if 10 < day < 20 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
+
+
+def _written(text: str, key: bytes, undo: bool) -> str | None:
+    """A date with the month's name: a full name stays full, a short one short; May and Sept are both or neither, so they stay."""
+    name, day, year = re.search(r"[A-Za-z]{3,}", text)[0], re.search(r"[0-9]{1,2}(?![0-9])", text), text[-4:]
+    month = next(i for i, m in enumerate(MONTHS, 1) if m[:3].lower() == name[:3].lower())
+    suffix = re.match(r"(?:st|nd|rd|th)?", text[day.end() :])[0]
     try:
-        day = date(int(y), int(m), int(d)).toordinal()
+        old = date(int(year), month, int(day[0]))
     except ValueError:
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    if suffix and suffix != _ordinal(old.day):
+        return None
+    held = month == 5 or len(name) == 4 and month == 9
+    fits = lambda d: (d.month == month if held else d.month != 5) and (d.day > 9) == (old.day > 9) and (not suffix or _ordinal(d.day) == suffix)
+    if (new := _move(old, fits, key, undo)) is None:
         return None
-    new = date.fromordinal(FIRST_DAY + feistel(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", undo))
-    return _refill(text, f"{new:%Y%m%d}" if order == "ymd" else f"{new:%d%m%Y}")
+    full = MONTHS[new.month - 1]
+    named = name if held else full if len(name) > 3 else full[:3]
+    named = named.upper() if name.isupper() else named.lower() if name.islower() else named
+    swaps = {name: named, day[0]: f"{new.day:0{len(day[0])}d}"}
+    head = re.sub(rf"{name}|(?<![0-9]){day[0]}(?![0-9])", lambda m: swaps[m[0]], text[:-4])
+    return f"{head}{new.year}"
 
 
 def _iban(text: str, key: bytes, undo: bool) -> str | None:
@@ -159,6 +219,16 @@ def _phone(text: str, key: bytes, undo: bool) -> str | None:
     return code + _refill(text[len(code) :], _permute_chars(rest, key, f"phone{code}", undo))
 
 
+def _national(text: str, key: bytes, undo: bool) -> str | None:
+    """A phone without a country's code: ten digits in the American groups, or 9 to 11 after a trunk 0, which stays with the digit after it."""
+    flat = _digits(text)
+    if re.fullmatch(r"\(?[0-9]{3}[^0-9]{1,2}[0-9]{3}[^0-9][0-9]{4}", text):
+        return _refill(text, _permute_chars(flat, key, "phone", undo))
+    if not 9 <= len(flat) <= 11:
+        return None
+    return _refill(text, flat[:2] + _permute_chars(flat[2:], key, f"phone{flat[:2]}", undo))
+
+
 def _number(text: str, key: bytes, undo: bool) -> str | None:
     flat = _digits(text)
     if luhn_digit(flat[:-1]) == flat[-1]:  # a card: stays one
@@ -174,7 +244,7 @@ def pseudonym(kind: str, text: str, key: bytes, undo: bool = False) -> str | Non
     """The value's pseudonym in its own format, or None if the value is not valid for its kind."""
     if kind in ("ymd", "dmy"):
         return _date(text, kind, key, undo)
-    return {"email": _email, "ip": _ip, "iban": _iban, "ssn": _ssn, "phone": _phone, "number": _number}[kind](text, key, undo)
+    return {"email": _email, "ip": _ip, "iban": _iban, "ssn": _ssn, "phone": _phone, "number": _number, "written": _written, "national": _national}[kind](text, key, undo)
 
 
 def replacer(key: str, undo: bool = False) -> Callable[[str], tuple[str, dict[str, int]]]:
@@ -188,11 +258,12 @@ def replacer(key: str, undo: bool = False) -> Callable[[str], tuple[str, dict[st
         def swap(m: re.Match) -> str:
             kind, whole, end = "number" if m.lastgroup == "card" else m.lastgroup, m[0], len(m[0])
             new = cached(kind, whole)
-            while new is None and kind == "iban" and (end := whole.rfind(" ", 0, end)) > 0:  # capitals after the number may look like more of it
+            while new is None and kind in ("iban", "national") and (end := whole.rfind(" ", 0, end)) > 0:  # capitals after the number may look like more of it
                 new = cached(kind, whole[:end])
             if new is None:
                 return whole
-            counts[kind] = counts.get(kind, 0) + 1
+            counted = COUNTED.get(kind, kind)
+            counts[counted] = counts.get(counted, 0) + 1
             return new + whole[end:]
 
         if not _SIGN.search(text):

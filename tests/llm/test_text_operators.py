@@ -258,3 +258,30 @@ def test_odd_documents_for_token_counts(spark):
     assert token_counts.section_tokens(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         token_counts.section_tokens(docs, rule="half")
+
+
+# Personal data in common formats
+
+
+@pytest.mark.parametrize("kind,text", [
+    *(("ymd", t) for t in ("2024-01-05T10:00:00Z", "2024/01/05", "2024-1-5")),
+    *(("dmy", t) for t in ("1/5/2024", "12/25/2020", "5/25/2024", "05-01-2024", "25.3.2020", "March 5, 2024", "Mar. 15 2024", "MAY 5th, 2024", "5 March 2024", "21st sept 2020")),
+    *(("phone", t) for t in ("555-123-4567", "(407) 555-7710", "555.123.4567", "0171 1234567", "030/12345678", "(0171) 1234567", "01 42 68 53 00", "01711234567")),
+    *(("email", t) for t in ("иван@mail.example.com", "ÉCÁ@mail.example.com", "李小龍@mail.example.com", "łąka.ż@mail.example.com")),
+])
+def test_common_formats(kind, text):
+    for key in ("k", "l", "m", "n", "o"):
+        new, counts = pii.replacer(key)(f"at {text} or {text}, ok")
+        one, two = re.fullmatch(r"at (.+) or (.+), ok", new).groups()
+        assert one == two != text and counts == {kind: 2}
+        assert pii.replacer(key, undo=True)(new)[0] == f"at {text} or {text}, ok"
+        assert re.sub(r"\d", "0", re.sub(r"[^\W\d_]+", "a", one)) == re.sub(r"\d", "0", re.sub(r"[^\W\d_]+", "a", text))
+
+
+def test_every_month_first_date_comes_back():
+    for day in range(13, 32):
+        for month in (1, 3, 12):
+            text = f"{month}/{day}/2020"
+            new = pii.replacer("k")(text)[0]
+            assert new != text and int(new.split("/")[1]) > 12 and pii.replacer("k", undo=True)(new)[0] == text
+    assert pii.replacer("k")("13/13/2020 and 0171 12 and a/2024/01/05/b") == ("13/13/2020 and 0171 12 and a/2024/01/05/b", {})
