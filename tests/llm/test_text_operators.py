@@ -285,3 +285,17 @@ def test_every_month_first_date_comes_back():
             new = pii.replacer("k")(text)[0]
             assert new != text and int(new.split("/")[1]) > 12 and pii.replacer("k", undo=True)(new)[0] == text
     assert pii.replacer("k")("13/13/2020 and 0171 12 and a/2024/01/05/b") == ("13/13/2020 and 0171 12 and a/2024/01/05/b", {})
+
+
+# Token counts of long runs
+
+
+def test_long_runs_are_encoded_whole():
+    encoding, sizes = token_counts.load(token_counts.VOCABULARY)
+    rng = random.Random(3)
+    slashed = "see " + "/".join(f"word{rng.randrange(9999)}" for _ in range(9000)) + " x"
+    letters = " " + "".join(rng.choice("abcdefghijklmnop") for _ in range(90_000))
+    for text in (slashed, letters, "-" * 50_000, "a" + " " * 12_000 + "b", "a" + "\n " * 6_000 + "\tb", " " * 11_000, "\x1f" * 12_000 + "x"):
+        assert token_counts.encode(text, encoding).tolist() == encoding.encode_ordinary(text)
+    text = "a" + " " * 1_000_000 + "b"
+    assert sizes[token_counts.encode(text, encoding)].sum() == len(text)
