@@ -2,7 +2,8 @@
 
 The builder supplies implied tags (a paragraph ends where a block starts, an item where the next one starts, and so
 on) and skips what no end tag matches. The renderer drops what is not shown and emits all visible text: blocks on lines of their
-own, paragraphs apart by an empty line, list items with their marks, table cells aligned in columns.
+own, paragraphs apart by an empty line, list items with their marks, table cells aligned in columns. Texts of drawings and formulas
+and what input fields and buttons show (value, else placeholder) are text of the line.
 
 Defined results: null pages give null, empty ones an empty text; unclosed tags and comments run to the end; elements nested
 deeper than `MAX_DEPTH` become siblings, so no text is lost; repeated rows give equal texts; other columns pass through.
@@ -22,7 +23,13 @@ MAX_DEPTH = 150
 # Element names by how HTML treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style template noscript head title iframe object canvas audio video svg math datalist noembed noframes".split())
+UNSEEN = frozenset("script style template noscript head title iframe object canvas audio video datalist noembed noframes annotation annotation-xml".split())
+#: Parts of a drawing that are not drawn themselves, and parts of formulas that stand apart.
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
+FORMULA = frozenset("mfrac msub msup msubsup munder mover munderover mroot mmultiscripts mtr mtd".split())
+#: Inputs that show no text.
+UNWRITTEN = frozenset("hidden checkbox radio password file range color".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul tr td th thead tbody tfoot caption optgroup option".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure hr article section nav header footer aside form fieldset details".split())
 PARAGRAPH_ENDERS = BLOCK - frozenset("option optgroup td th tr thead tbody tfoot caption li dd dt body html legend summary".split())
@@ -66,7 +73,7 @@ class Node:
             return False
         if not self.attrs:
             return True
-        return self.get("hidden") is None and not HIDING.search(self.get("style") or "") and not (self.tag == "input" or self.tag == "dialog" and self.get("open") is None)
+        return self.get("hidden") is None and not HIDING.search(self.get("style") or "") and not (self.tag == "dialog" and self.get("open") is None)
 
 
 def build(html: str) -> Node:
@@ -83,9 +90,14 @@ def build(html: str) -> Node:
                 del stack[n:]
                 return end(tags, shields)
 
+    def put(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip():
+            stack.pop()
+        stack[-1].children.append(unescape(text))
+
     while m := TOKEN.search(html, at):
         if m.start() > at:
-            stack[-1].children.append(unescape(html[at : m.start()]))
+            put(html[at : m.start()])
         at = m.end()
         closing, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
@@ -101,10 +113,13 @@ def build(html: str) -> Node:
             continue
         if tag in PARAGRAPH_ENDERS:
             end({"p"}, {"table", "td", "th", "button", "object", "caption"})
+        if stack[-1].tag == "head" and tag not in HEAD or stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            stack.pop()
         if tag in ENDS:
             end(*ENDS[tag])
-        elif stack[-1].tag == "head" and tag not in ("base", "link", "meta", "noscript", "script", "style", "template", "title"):
-            stack.pop()
+        if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot") and len(stack) < MAX_DEPTH:
+            stack[-1].children.append(Node("tr"))
+            stack.append(stack[-1].children[-1])
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag in RAW:
@@ -115,7 +130,7 @@ def build(html: str) -> Node:
         elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK) and len(stack) < MAX_DEPTH:
             stack.append(node)
     if at < len(html):
-        stack[-1].children.append(unescape(html[at:]))
+        put(html[at:])
     return root
 
 
@@ -160,6 +175,11 @@ class Page:
             self.mark, self.gap = "", False
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    span = cell.get(name) or "1"
+    return min(most, int(span)) if span.isdecimal() else 1
+
+
 def table_lines(table: Node) -> list[str]:
     """Rows of a table with its cells padded to the width of their columns."""
     rows, captions = [], []
@@ -178,9 +198,8 @@ def table_lines(table: Node) -> list[str]:
                         if c.strip():
                             captions.append(SPACE.sub(" ", c).strip())
                     elif c.shown():
-                        span = c.get("colspan") or "1"
-                        cells.append((render(c).split("\n"), min(1000, int(span)) if span.isdecimal() and int(span) else 1))
-                rows.append(cells)
+                        cells.append((render(c).split("\n"), _span(c, "colspan", 1000) or 1, _span(c, "rowspan", 65534) or 65534))
+                rows.append((node, cells))
             elif x.tag in ("thead", "tbody", "tfoot", "colgroup"):
                 walk(x)
             elif body := render(x):
@@ -188,24 +207,48 @@ def table_lines(table: Node) -> list[str]:
 
     walk(table)
     widths: dict[int, int] = {}
-    for cells in rows:
-        at = 0
-        for lines, span in cells:
+    placed, group = [], None
+    for parent, cells in rows:
+        if parent is not group:  # no cell reaches over the end of its group of rows
+            group, taken = parent, {}
+        row, at, after = [], 0, {c: n - 1 for c, n in taken.items() if n > 1}
+        for lines, span, down in cells:
+            while any(c in taken for c in range(at, at + span)):
+                at += 1
+            row.append((at, lines, span))
             if span == 1:
                 widths[at] = max(widths.get(at, 0), *map(len, lines))
+            if down > 1:
+                after |= dict.fromkeys(range(at, at + span), down - 1)
             at += span
+        placed.append(row)
+        taken = after
     out = [line for c in captions for line in c.split("\n")]
-    for cells in rows:
-        for n in range(max((len(lines) for lines, _ in cells), default=0)):
-            at, line = 0, []
-            for lines, span in cells:
+    for row in placed:
+        for n in range(max((len(lines) for _, lines, _ in row), default=0)):
+            done, line = 0, []
+            for at, lines, span in row:
+                line += [" " * widths.get(i, 0) for i in range(done, at)]
                 width = sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
                 line.append((lines[n] if n < len(lines) else "").ljust(width))
-                at += span
+                done = at + span
             out.append("  ".join(line).rstrip())
     return out
 
 
+def draw(node: Node, page: Page, indent: str) -> None:
+    """Texts of a drawing, apart from each other."""
+    for x in node.children:
+        if isinstance(x, str) or not x.shown() or x.tag in UNDRAWN:
+            continue
+        if x.tag in ("text", "foreignobject"):
+            page.text(" ", indent, False)
+            flow(x, page, indent, False)
+            page.text(" ", indent, False)
+        else:
+            draw(x, page, indent)
+
+
 def flow(node: Node, page: Page, indent: str, pre: bool) -> None:
     number = 0
     for x in node.children:
@@ -221,7 +264,18 @@ def flow(node: Node, page: Page, indent: str, pre: bool) -> None:
         if tag == "img":
             page.text(x.get("alt") or "", indent, pre)
             continue
+        if tag == "input":
+            kind = (x.get("type") or "text").strip().lower()
+            shown = x.get("alt") if kind == "image" else x.get("value") or kind not in ("submit", "reset", "button") and x.get("placeholder")
+            if shown and kind not in UNWRITTEN:
+                page.text(f" {shown} ", indent, False)
+            continue
+        if tag == "svg":
+            draw(x, page, indent)
+            continue
         if tag not in BLOCK:
+            if node.tag in FORMULA:
+                page.text(" ", indent, False)
             flow(x, page, indent, pre)
             continue
         page.end(indent)

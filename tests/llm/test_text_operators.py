@@ -299,3 +299,24 @@ def test_long_runs_are_encoded_whole():
         assert token_counts.encode(text, encoding).tolist() == encoding.encode_ordinary(text)
     text = "a" + " " * 1_000_000 + "b"
     assert sizes[token_counts.encode(text, encoding)].sum() == len(text)
+
+
+# All visible text of a page
+
+
+@pytest.mark.parametrize("html,text", [
+    ("a<svg><title>no</title><defs><text>no</text></defs><g><text>up <tspan>x</tspan></text><text>down</text></g></svg>b", "a up x down b"),
+    ("so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math>.", "so x= 1 2."),
+    ("<input type=hidden value=no><input type=checkbox value=no><input type=password value=no><input value='Ann'><input type=SUBMIT value=Go><input type=reset>", "Ann Go"),
+    ("<head><title>t</title>bare<p>text", "bare\n\ntext"),
+    ("<head> <meta charset=x><li>one<li>two", "- one\n- two"),
+    ("<head><table><td>x</table>", "x"),
+    ("<head><dt>t<dd>d", "t\n  d"),
+    ("<head><option>o", "o"),
+    ("<table><td>aa<td>b<tr><td>c<td>d</table>", "aa  b\nc   d"),
+    ("<table><colgroup><col><tbody><th>aa<th>b</tbody><tbody><td>c<td>d</table>", "aa  b\nc   d"),
+    ("<table><tr><td rowspan=2>all<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>", "all  b  c\n     d  e\nf    g  h"),
+    ("<table><tbody><tr><td rowspan=9>a<td>b</tbody><tbody><tr><td>c<td>d</table>", "a  b\nc  d"),
+])
+def test_all_visible_text(html, text):
+    assert html_text.html_text(html) == text
