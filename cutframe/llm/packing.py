@@ -101,8 +101,8 @@ def pieces(docs: DataFrame, capacity: int) -> DataFrame:
 def pack(docs: DataFrame, units: str, doc_id: str = "doc_id", source: str = "source", cluster: str = "cluster", capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """One row per piece: doc_id, piece, start, size (in units), source, cluster, bin_id, bin_offset."""
     cut = pieces(own_columns(docs, doc_id=doc_id, n_units=units, source=source, cluster=cluster).withColumns({c: F.col(c).cast("string") for c in ("source", "cluster")}), capacity)
-    count = docs.select(F.count(F.lit(1)).alias("n")).first()["n"]
-    shards = max(1, -(-count // shard_pieces))
+    count = docs.select(F.sum(F.greatest(F.ceil(F.coalesce(F.col(f"`{units}`"), F.lit(0)) / capacity), F.lit(1))).alias("n")).first()["n"] or 0
+    shards = max(1, -(-int(count) // shard_pieces))
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -122,8 +122,8 @@ def word_count(text: Column) -> Column:
 
 
 def content_cluster(text: Column) -> Column:
-    """Duplicate cluster of a text: hash of it without case and white space at its ends."""
-    return F.xxhash64(F.lower(F.trim(text)))
+    """Duplicate cluster of a text, exact copies only: hash of it without case and white space at its ends; null for null texts."""
+    return F.when(text.isNotNull(), F.xxhash64(F.lower(F.trim(text))))
 
 
 def bin_texts(docs: DataFrame, packed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

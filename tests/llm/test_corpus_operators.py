@@ -357,3 +357,12 @@ def test_quality_without_enough_labels(spark):
         out = quality.score(docs, model).collect()
         assert len(out) == 4 and all(r["score"] == pytest.approx(want) for r in out) and out[0]["upper"] == 1
     assert quality.score(docs.limit(0), quality.Model((), 0.0)).count() == 0
+
+
+def test_packing_counts_pieces_and_leaves_null_texts_apart(spark):
+    long = spark.createDataFrame([(k, 40, None, None) for k in range(5)], "doc_id long, units long, source string, cluster string")
+    rows = packing.pack(long, "units", capacity=4, shard_pieces=5).collect()
+    assert len(rows) == 50 and len({r["bin_id"] >> 32 for r in rows}) > 1  # one shard for each five pieces, not documents
+    texts = spark.createDataFrame([(1, None), (2, None), (3, "A "), (4, "a")], "doc_id long, text string")
+    got = {r["doc_id"]: r["c"] for r in texts.select("doc_id", packing.content_cluster(F.col("text")).alias("c")).collect()}
+    assert got[1] is None and got[2] is None and got[3] == got[4] is not None
