@@ -210,15 +210,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_variant: int = HOT_VARIANT) -> DataFrame:
-    """One row per document: doc_id, fp (long), component_id (least doc_id reachable over links)."""
+def _rooted(docs: DataFrame, doc_id: str, text: str, hot_variant: int) -> DataFrame:
+    """One row per document: doc_id, fp (long), component_id (least doc_id reachable over links), root (least fp)."""
     prints = materialize(own_columns(docs, doc_id=doc_id, text=text).select("doc_id", simhash(F.col("text")).alias("fp")), "simhash")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(classes.select("fp"), hot_variant)).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    members = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(members, "fp", "left").select("doc_id", "fp", "component_id")
+    members = rooted.join(named, "root").select("fp", "component_id", "root")
+    return prints.join(members, "fp", "left").select("doc_id", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_variant: int = HOT_VARIANT) -> DataFrame:
+    """One row per document: doc_id, fp (long), component_id (least doc_id reachable over links)."""
+    return _rooted(docs, doc_id, text, hot_variant).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,6 +231,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Rows without an id cannot be named by one: they all stay.
     """
-    found = near_duplicates(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.join(found, F.col(f"`{doc_id}`") == F.col("_keep"), "left_semi").dropDuplicates([doc_id])
+    found = _rooted(docs, doc_id, text, HOT_VARIANT).where("doc_id = component_id")
+    kept = found.groupBy("root", "doc_id").agg(F.min("fp").alias("_kept_fp")).select(F.col("doc_id").alias("_keep"), "_kept_fp")
+    marked = docs.withColumn("_fp", simhash(F.col(f"`{text}`")))
+    named = marked.join(kept, (F.col(f"`{doc_id}`") == F.col("_keep")) & (F.col("_fp") == F.col("_kept_fp")), "left_semi").dropDuplicates([doc_id, "_fp"]).drop("_fp")
     return named.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))

@@ -366,3 +366,9 @@ def test_packing_counts_pieces_and_leaves_null_texts_apart(spark):
     texts = spark.createDataFrame([(1, None), (2, None), (3, "A "), (4, "a")], "doc_id long, text string")
     got = {r["doc_id"]: r["c"] for r in texts.select("doc_id", packing.content_cluster(F.col("text")).alias("c")).collect()}
     assert got[1] is None and got[2] is None and got[3] == got[4] is not None
+
+
+def test_deduplicate_keeps_unrelated_texts_of_one_id(spark):
+    docs = spark.createDataFrame([(2, "A b  c d"), (2, "a b c d"), (2, "quite another text of words"), (4, "a b c d")], "doc_id long, text string")
+    kept = sorted((r["doc_id"], r["text"].lower().split()[0]) for r in simhash.deduplicate(docs).collect())
+    assert kept == [(2, "a"), (2, "quite")]
