@@ -1,25 +1,34 @@
 """HTML extraction: a small tree builder and a layout-aware renderer.
 
 The builder supplies implied tags (a paragraph ends where a block starts, an item where the next one starts, and so
-on) and skips what no end tag matches. The renderer drops what is not shown and emits all visible text: blocks on lines of their
-own, paragraphs apart by an empty line, list items with their marks, table cells aligned in columns. Texts of drawings and formulas
-and what input fields and buttons show (value, else placeholder) are text of the line.
+on) and skips what no end tag matches. The renderer drops what is not shown (by attributes, inline styles, and rules of the page's
+own style elements for single tags, classes and ids) and emits all visible text: blocks on lines of their own, paragraphs apart
+by an empty line, list items with their marks, table cells aligned in columns. Texts of drawings and formulas and what input
+fields and buttons show (value, else placeholder) are text of the line.
 
-Defined results: null pages give null, empty ones an empty text; unclosed tags and comments run to the end; elements nested
-deeper than `MAX_DEPTH` become siblings, so no text is lost; repeated rows give equal texts; other columns pass through.
+Pages of any depth are built and rendered without recursion, and time is linear in a page's length also where its markup is
+broken. Layout has bounds that lose no text: lines are indented by at most `MAX_INDENT`, columns padded to at most
+`MAX_COLUMN` and to no more than `MAX_OFFSET` from the left, and tables inside `MAX_TABLES` others are laid out as blocks.
+
+Defined results: null pages give null, empty ones an empty text; unclosed tags and comments run to the end; style rules with
+combinators, pseudo-classes or inside at-rules are not applied; repeated rows give equal texts; other columns pass through.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_DEPTH = 150
+MAX_INDENT, MAX_COLUMN, MAX_OFFSET, MAX_TABLES = 80, 120, 1000, 16
 # Element names by how HTML treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -33,6 +42,7 @@ HEAD = frozenset("base basefont bgsound link meta noframes noscript script style
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul tr td th thead tbody tfoot caption optgroup option".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure hr article section nav header footer aside form fieldset details".split())
 PARAGRAPH_ENDERS = BLOCK - frozenset("option optgroup td th tr thead tbody tfoot caption li dd dt body html legend summary".split())
+TABLE_PARTS = frozenset("table tr td th thead tbody tfoot body html".split())
 #: Start tag -> (open elements that it ends, elements that shield from it).
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -48,9 +58,13 @@ ENDS = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "body": ({"head"}, set()),
 }
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.DOTALL)
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+SHOWING = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([a-z-]+)(?:\s*(!\s*important))?", re.IGNORECASE)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+BRACE = re.compile(r"[{};]")
+SELECTOR = re.compile(r"[a-zA-Z][\w-]*|[.#][\w-]+")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -68,248 +82,368 @@ class Node:
                 return unescape(m[2] or m[3] or m[4] or "")
         return None
 
-    def shown(self) -> bool:
-        if self.tag in UNSEEN:
-            return False
-        if not self.attrs:
-            return True
-        return self.get("hidden") is None and not HIDING.search(self.get("style") or "") and not (self.tag == "dialog" and self.get("open") is None)
 
+class Tree:
+    """The open elements of a page, and where each kind of them stands open."""
 
-def build(html: str) -> Node:
-    """Tree of a page; text children are strings with their references resolved."""
-    root = Node("#root")
-    stack, at = [root], 0
+    def __init__(self):
+        self.root = Node("#root")
+        self.stack, self.open = [self.root], defaultdict(list)
+        self.sheets: list[str] = []
+
+    def add(self, child: Node | str) -> None:
+        self.stack[-1].children.append(child)
+
+    def push(self, node: Node) -> None:
+        self.add(node)
+        self.open[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.open[self.stack.pop().tag].pop()
+
+    def innermost(self, tags) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
 
-    def end(tags: set, shields: set) -> None:
+    def end(self, tags, shields) -> None:
         """End the open elements in `tags` that no shield stands before."""
-        for n in range(len(stack) - 1, 0, -1):
-            if stack[n].tag in shields:
-                return
-            if stack[n].tag in tags:
-                del stack[n:]
-                return end(tags, shields)
-
-    def put(text: str) -> None:
-        if stack[-1].tag == "head" and text.strip():
-            stack.pop()
-        stack[-1].children.append(unescape(text))
-
-    while m := TOKEN.search(html, at):
-        if m.start() > at:
-            put(html[at : m.start()])
-        at = m.end()
-        closing, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        while (at := self.innermost(tags)) > self.innermost(shields):
+            self.cut(at)
+
+    def text(self, text: str) -> None:
+        if self.stack[-1].tag == "head" and text.strip():
+            self.cut(len(self.stack) - 1)
+        self.add(unescape(text))
+
+    def end_tag(self, tag: str) -> None:
+        if tag == "br" or tag == "p" and not self.open.get("p"):
+            self.add(Node(tag))
+        elif (at := self.innermost((tag,))) > (0 if tag in TABLE_PARTS else self.innermost(("td", "th", "table"))) or at and tag in ("td", "th", "table"):
+            self.cut(at)
+
+    def start_tag(self, tag: str, attrs: str) -> None:
+        if tag in PARAGRAPH_ENDERS:
+            self.end(("p",), ("table", "td", "th", "button", "object", "caption"))
+        if self.stack[-1].tag == "head" and tag not in HEAD or self.stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            self.cut(len(self.stack) - 1)
+        if tag in ENDS:
+            self.end(*ENDS[tag])
+        if tag in ("td", "th") and self.stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
+            self.push(Node("tr"))
+        if tag in VOID or tag in RAW or attrs.endswith("/") and tag not in BLOCK:
+            self.add(Node(tag, attrs))
+        else:
+            self.push(Node(tag, attrs))
+
+
+def tag_end(html: str, at: int, lost: set[int]) -> int:
+    """Place of the > that ends a tag, quotes skipped; -1 where a quote never ends. `lost` remembers the quotes that lead there."""
+    passed = []
+    while (m := STOP.search(html, at)) and m.start() not in lost:
+        if m[0] == ">":
+            return m.start()
+        passed.append(m.start())
+        at = html.find(m[0], m.end()) + 1
+        if not at:
+            break
+    lost.update(passed)
+    return -1
+
+
+def build(html: str) -> Tree:
+    """Tree of a page; text children are strings with their references resolved."""
+    tree, last, lost = Tree(), html.rfind(">"), set()
+    at = begun = 0  # text since `begun` is not put yet
+    while 0 <= (start := html.find("<", at)):
+        if html.startswith(("<!", "<?"), start):
+            mark = "-->" if html.startswith("<!--", start) else ">"
+            end = html.find(mark, start + len(mark) + 1)
+            stop = len(html) if end < 0 else end + len(mark)
+            name = None
+        else:
+            closing = html.startswith("/", start + 1)
+            name = NAME.match(html, start + 1 + closing) if start < last else None
+            if not name:
+                at = start + 1
+                continue
+            end = tag_end(html, name.end(), lost)
+            end = html.find(">", name.end()) if end < 0 else end
+            stop = end + 1
+        if start > begun:
+            tree.text(html[begun:start])
+        at = begun = stop
+        if not name:
             continue
-        tag = tag.lower()
+        tag = name[0].lower()
         if closing:
-            if tag == "br":
-                stack[-1].children.append(Node("br"))
-            elif tag == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].children.append(Node("p"))
-            else:
-                end_one(stack, tag)
+            tree.end_tag(tag)
             continue
-        if tag in PARAGRAPH_ENDERS:
-            end({"p"}, {"table", "td", "th", "button", "object", "caption"})
-        if stack[-1].tag == "head" and tag not in HEAD or stack[-1].tag == "colgroup" and tag not in ("col", "template"):
-            stack.pop()
-        if tag in ENDS:
-            end(*ENDS[tag])
-        if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot") and len(stack) < MAX_DEPTH:
-            stack[-1].children.append(Node("tr"))
-            stack.append(stack[-1].children[-1])
-        node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        tree.start_tag(tag, html[name.end() : end])
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>|\Z", re.IGNORECASE).search(html, at)
-            body = html[at : stop.start()]
+            found = re.compile(rf"</{tag}\b", re.IGNORECASE | re.ASCII).search(html, at)
+            body = html[at : found.start()] if found else html[at:]
+            node = tree.stack[-1].children[-1]
             node.children.append(unescape(body) if tag in ("textarea", "title") else body)
-            at = stop.end()
-        elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK) and len(stack) < MAX_DEPTH:
-            stack.append(node)
-    if at < len(html):
-        put(html[at:])
-    return root
-
-
-def end_one(stack: list[Node], tag: str) -> None:
-    """End the innermost open `tag`; cells and tables shield what is outside them."""
-    for n in range(len(stack) - 1, 0, -1):
-        if stack[n].tag == tag:
-            del stack[n:]
-            return
-        if stack[n].tag in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body", "html"):
-            return
+            at = begun = (found and html.find(">", found.end()) + 1) or len(html)
+            if tag == "style" and (node.get("media") or "all").strip().lower() in ("all", "screen"):
+                tree.sheets.append(body)
+    if begun < len(html):
+        tree.text(html[begun:])
+    return tree
+
+
+def style_rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a style sheet, without at-rules."""
+    css = COMMENT.sub(" ", css)
+    depth, start, head = 0, 0, ""
+    for m in BRACE.finditer(css):
+        if m[0] == "{":
+            if not depth:
+                head, start = css[start : m.start()].strip(), m.end()
+            depth += 1
+        elif m[0] == "}":
+            depth -= depth > 0
+            if not depth:
+                if not head.startswith("@"):
+                    yield head, css[start : m.start()]
+                start = m.end()
+        elif not depth:
+            start = m.end()
+
+
+class Styles:
+    """What is shown: display and visibility by attributes, inline styles, and a page's rules for single tags, .classes and #ids."""
+
+    def __init__(self, sheets: list[str]):
+        self.rules = defaultdict(list)  # selector -> declarations
+        for order, (head, body) in enumerate(x for css in sheets for x in style_rules(css)):
+            for selector in map(str.strip, head.split(",")):
+                if SELECTOR.fullmatch(selector) and SHOWING.search(body):
+                    self.rules[selector if selector[0] in ".#" else selector.lower()].append((order, body))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """Property -> value: important ones first, then inline, by id, by class, by tag; the later one of equals."""
+        found: dict[str, tuple] = {}
+        own = [(3, 0, style)] if node.attrs and (style := node.get("style")) else []
+        if self.rules:
+            names = [(0, node.tag), *((1, f".{c}") for c in (node.get("class") or "").split()), (2, f"#{node.get('id')}")] if node.attrs else [(0, node.tag)]
+            own += [(level, order, body) for level, name in names if name in self.rules for order, body in self.rules[name]]
+        for level, order, body in own:
+            for at, m in enumerate(SHOWING.finditer(body)):
+                rank = (m[3] is not None, level, order, at)
+                if rank >= found.get(m[1].lower(), (rank,))[0]:
+                    found[m[1].lower()] = (rank, m[2].lower())
+        return {name: value for name, (_, value) in found.items()}
+
+    def seen(self, node: Node, inherited: bool) -> bool | None:
+        """None if the node has no box; else whether its own text is visible."""
+        if node.tag in UNSEEN:
+            return None
+        style = self.of(node) if node.attrs or self.rules else {}
+        display = style.get("display")
+        if display == "none" or display is None and (node.attrs and (node.get("hidden") is not None or node.get("popover") is not None) or node.tag == "dialog" and node.get("open") is None):
+            return None
+        return {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility"), inherited)
 
 
 class Page:
     """Collects lines; an empty line is put before a block only between texts."""
 
-    def __init__(self):
+    def __init__(self, styles: Styles, tables: int = 0):
+        self.styles, self.tables = styles, tables
         self.lines: list[str] = []
-        self.line, self.mark, self.gap = "", "", False
+        self.line: list[str] = []
+        self.mark, self.gap = "", False
 
     def text(self, body: str, indent: str, pre: bool) -> None:
         if pre:
             first, *rest = body.split("\n")
-            self.line += first
+            self.line.append(first)
             for x in rest:
                 self.end(indent, keep=True)
-                self.line = x
+                self.line.append(x)
             return
         body = SPACE.sub(" ", body)
-        if not self.line or self.line[-1] == " ":
+        if not self.line or self.line[-1][-1:] in ("", " "):
             body = body.lstrip(" ")
-        self.line += body
+        if body:
+            self.line.append(body)
 
     def end(self, indent: str, keep: bool = False) -> None:
-        line = self.line if keep else self.line.rstrip(" ")
-        self.line = ""
+        line = "".join(self.line) if keep else "".join(self.line).rstrip(" ")
+        self.line = []
         if line or keep:
             if self.gap and self.lines:
                 self.lines.append("")
-            head = indent[: len(indent) - len(self.mark)] + self.mark if self.mark else indent
+            head = indent[: max(0, len(indent) - len(self.mark))] + self.mark
             self.lines.append((head + line).rstrip())
             self.mark, self.gap = "", False
 
+    def done(self) -> str:
+        self.end("")
+        return "\n".join(self.lines).strip("\n")
 
-def _span(cell: Node, name: str, most: int) -> int:
-    span = cell.get(name) or "1"
-    return min(most, int(span)) if span.isdecimal() else 1
 
+def _number(text: str | None, default: int, most: int = 10**9) -> int:
+    return min(most, int(text)) if text and text.isascii() and text.isdecimal() and len(text) < 12 else default
 
-def table_lines(table: Node) -> list[str]:
-    """Rows of a table with its cells padded to the width of their columns."""
-    rows, captions = [], []
 
-    def walk(node: Node) -> None:
-        for x in node.children:
-            if isinstance(x, str):
-                if x.strip():
-                    captions.append(SPACE.sub(" ", x).strip())  # text outside cells is shown before the table
-            elif not x.shown():
-                continue
-            elif x.tag == "tr":
-                cells = []
-                for c in x.children:
-                    if isinstance(c, str):
-                        if c.strip():
-                            captions.append(SPACE.sub(" ", c).strip())
-                    elif c.shown():
-                        cells.append((render(c).split("\n"), _span(c, "colspan", 1000) or 1, _span(c, "rowspan", 65534) or 65534))
-                rows.append((node, cells))
-            elif x.tag in ("thead", "tbody", "tfoot", "colgroup"):
-                walk(x)
-            elif body := render(x):
-                captions.append(body)
-
-    walk(table)
-    widths: dict[int, int] = {}
-    placed, group = [], None
-    for parent, cells in rows:
+def run(task: Iterator) -> None:
+    """Run a task whose steps are tasks themselves, to any depth without recursion."""
+    stack = [task]
+    while stack:
+        try:
+            stack.append(next(stack[-1]))
+        except StopIteration:
+            stack.pop()
+
+
+def align(rows: list[tuple[Node, list[tuple[list[str], int, int]]]]) -> Iterator[str]:
+    """Lines of a table's rows (group, cells (lines, columns, rows)), cells padded to the width of their columns."""
+    placed, group, taken = [], None, []
+    for number, (parent, cells) in enumerate(rows):
         if parent is not group:  # no cell reaches over the end of its group of rows
-            group, taken = parent, {}
-        row, at, after = [], 0, {c: n - 1 for c, n in taken.items() if n > 1}
+            group, taken = parent, []
+        row, fresh, at, k = [], [], 0, 0
+        taken = [t for t in taken if t[2] >= number] if cells else taken
         for lines, span, down in cells:
-            while any(c in taken for c in range(at, at + span)):
-                at += 1
-            row.append((at, lines, span))
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), *map(len, lines))
+            while k < len(taken) and taken[k][0] < at + span:
+                at, k = max(at, taken[k][1]), k + 1
+            row.append((at, span, lines))
             if down > 1:
-                after |= dict.fromkeys(range(at, at + span), down - 1)
+                fresh.append((at, at + span, number + down - 1))
             at += span
+        taken = sorted(taken + fresh) if fresh else taken
         placed.append(row)
-        taken = after
-    out = [line for c in captions for line in c.split("\n")]
+    order = sorted({at for row in placed for at, _, _ in row})
+    index, widths = {at: i for i, at in enumerate(order)}, [0] * len(order)
     for row in placed:
-        for n in range(max((len(lines) for _, lines, _ in row), default=0)):
-            done, line = 0, []
-            for at, lines, span in row:
-                line += [" " * widths.get(i, 0) for i in range(done, at)]
-                width = sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-                line.append((lines[n] if n < len(lines) else "").ljust(width))
-                done = at + span
-            out.append("  ".join(line).rstrip())
-    return out
-
-
-def draw(node: Node, page: Page, indent: str) -> None:
+        for at, span, lines in row:
+            if bisect_left(order, at + span) == index[at] + 1:
+                widths[index[at]] = max(widths[index[at]], *(min(len(x), MAX_COLUMN) for x in lines))
+    offsets = [min(x, MAX_OFFSET) for x in accumulate((w + 2 for w in widths), initial=0)]
+    for row in placed:
+        out = [[0] for _ in range(max((len(lines) for _, _, lines in row), default=0))]  # length so far, then pieces
+        for at, _, lines in row:
+            for line, piece in zip(out, lines):
+                if piece:
+                    pad = max(offsets[index[at]] - line[0], 2 if line[0] else 0)
+                    line[0] += pad + len(piece)
+                    line += [" " * pad, piece]
+        yield from ("".join(line[1:]) for line in out)
+
+
+def table(node: Node, page: Page, indent: str, seen: bool) -> Iterator:
+    """A table's rows, below its captions and texts outside of cells."""
+    rows, captions = [], Page(page.styles, page.tables + 1)
+    todo = [(x, node, seen) for x in reversed(node.children)]
+    while todo:
+        x, parent, shown = todo.pop()
+        if isinstance(x, str):
+            if shown and x.strip():
+                captions.text(x.strip(), "", False)
+                captions.end("")
+            continue
+        if (shown := page.styles.seen(x, shown)) is None:
+            continue
+        if x.tag in ("thead", "tbody", "tfoot", "colgroup"):
+            todo += [(c, x, shown) for c in reversed(x.children)]
+        elif x.tag == "tr":
+            cells = []
+            for c in x.children:
+                if isinstance(c, str):
+                    todo += [(c, x, shown)] * bool(c.strip())
+                elif (here := page.styles.seen(c, shown)) is not None:
+                    cell = Page(page.styles, page.tables + 1)
+                    yield flow(c, cell, "", False, here)
+                    cells.append((cell.done().split("\n"), _number(c.get("colspan"), 1, 1000) or 1, _number(c.get("rowspan"), 1, 65534) or 65534))
+            rows.append((parent, cells))
+        else:
+            yield flow(x, captions, "", False, shown)
+            captions.end("")
+    body = captions.done()
+    for line in [*(body.split("\n") if body else []), *align(rows)]:
+        if seen or line:
+            page.line = [line]
+            page.end(indent, keep=True)
+
+
+def draw(node: Node, page: Page, indent: str, seen: bool) -> Iterator:
     """Texts of a drawing, apart from each other."""
     for x in node.children:
-        if isinstance(x, str) or not x.shown() or x.tag in UNDRAWN:
+        if isinstance(x, str) or x.tag in UNDRAWN or (shown := page.styles.seen(x, seen)) is None:
             continue
         if x.tag in ("text", "foreignobject"):
             page.text(" ", indent, False)
-            flow(x, page, indent, False)
+            yield flow(x, page, indent, False, shown)
             page.text(" ", indent, False)
         else:
-            draw(x, page, indent)
-
-
-def flow(node: Node, page: Page, indent: str, pre: bool) -> None:
-    number = 0
-    for x in node.children:
+            yield draw(x, page, indent, shown)
+
+
+def flow(node: Node, page: Page, indent: str, pre: bool, seen: bool) -> Iterator:
+    children, number, step = node.children, 0, 1
+    if node.tag == "details" and node.get("open") is None:
+        children = [x for x in children if not isinstance(x, str) and x.tag == "summary"][:1]
+    elif node.tag == "ol":
+        step = -1 if node.get("reversed") is not None else 1
+        items = sum(not isinstance(x, str) and x.tag == "li" for x in children) if step < 0 else 1
+        number = _number(node.get("start"), items) - step
+    for x in children:
         if isinstance(x, str):
-            page.text(x, indent, pre)
+            if seen:
+                page.text(x, indent, pre)
             continue
-        if not x.shown():
+        if (shown := page.styles.seen(x, seen)) is None:
             continue
         tag = x.tag
         if tag == "br":
             page.end(indent, keep=bool(page.line) or pre)
-            continue
-        if tag == "img":
-            page.text(x.get("alt") or "", indent, pre)
-            continue
-        if tag == "input":
+        elif tag == "img":
+            if shown:
+                page.text(x.get("alt") or "", indent, pre)
+        elif tag == "input":
             kind = (x.get("type") or "text").strip().lower()
-            shown = x.get("alt") if kind == "image" else x.get("value") or kind not in ("submit", "reset", "button") and x.get("placeholder")
-            if shown and kind not in UNWRITTEN:
-                page.text(f" {shown} ", indent, False)
-            continue
-        if tag == "svg":
-            draw(x, page, indent)
-            continue
-        if tag not in BLOCK:
+            text = x.get("alt") if kind == "image" else x.get("value") or kind not in ("submit", "reset", "button") and x.get("placeholder")
+            if shown and text and kind not in UNWRITTEN:
+                page.text(f" {text} ", indent, False)
+        elif tag == "svg":
+            yield draw(x, page, indent, shown)
+        elif tag not in BLOCK:
             if node.tag in FORMULA:
                 page.text(" ", indent, False)
-            flow(x, page, indent, pre)
-            continue
-        page.end(indent)
-        nested = tag in ("ul", "ol", "menu", "dir") and node.tag in ("li", "ul", "ol")
-        page.gap |= tag in APART and not nested
-        inner = indent
-        if tag == "li":
-            number += 1
-            mark = f"{number}. " if node.tag == "ol" else "- "
-            inner, page.mark = indent + " " * len(mark), mark
-        elif tag in ("dd", "blockquote"):
-            inner = indent + "  "
-        if tag == "table":
-            for line in table_lines(x):
-                page.line = line
-                page.end(inner, keep=True)
+            yield flow(x, page, indent, pre, shown)
         else:
-            flow(x, page, inner, pre or tag == "pre")
-        page.end(inner)
-        if tag == "li":
-            page.mark = ""
-        page.gap |= tag in APART and not nested
-
-
-def render(node: Node) -> str:
-    page = Page()
-    flow(node, page, "", False)
-    page.end("")
-    return "\n".join(page.lines).strip("\n")
+            page.end(indent)
+            nested = tag in ("ul", "ol", "menu", "dir") and node.tag in ("li", "ul", "ol")
+            page.gap |= tag in APART and not nested
+            inner = indent
+            if tag == "li":
+                number = _number(x.get("value"), number + step)
+                page.mark = f"{number}. " if node.tag == "ol" else "- "
+                inner = indent + " " * len(page.mark)
+            elif tag in ("dd", "blockquote"):
+                inner = indent + "  "
+            inner = inner if len(inner) <= MAX_INDENT else indent
+            if tag == "table" and page.tables < MAX_TABLES:
+                yield table(x, page, inner, shown)
+            else:
+                yield flow(x, page, inner, pre or tag == "pre", shown)
+            page.end(inner)
+            if tag == "li":
+                page.mark = ""
+            page.gap |= tag in APART and not nested
 
 
 def html_text(html: str | None) -> str | None:
     """Visible text of a page."""
-    return None if html is None else render(build(html))
+    if html is None:
+        return None
+    tree = build(html)
+    page = Page(Styles(tree.sheets))
+    run(flow(tree.root, page, "", False, True))
+    return page.done()
 
 
 @F.pandas_udf(T.StringType())

@@ -3,6 +3,9 @@
 import hashlib
 import random
 import re
+import time
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -320,3 +323,72 @@ def test_long_runs_are_encoded_whole():
 ])
 def test_all_visible_text(html, text):
     assert html_text.html_text(html) == text
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"),
+    ("<details><summary>more</summary>no</details><details open><summary>s</summary>yes</details>", "more\n\ns\nyes"),
+    ("<style>.ad, #x {display:none} em{visibility:hidden} @media print{p{display:none}}</style><p>a<p class='big ad'>no<p id=x>no<p>b<em>no</em>", "a\n\nb"),
+    ("<style>.ad{display:none !important} .b{display:none}</style><p class=ad style='display:block'>no<p class=b style='display:block'>yes", "yes"),
+    ("<style media=print>p{display:none}</style><p>yes", "yes"),
+    ("<ol start=3><li>a<li value=7>b<li>c</ol>", "3. a\n7. b\n8. c"),
+    ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"),
+    ("<p hidden style='display:block'>yes<p popover>no", "yes"),
+    ("<a title='x>y' href=\"a'b>c\">t</a><b title='never ends>u", "tu"),
+    ("<table><tr><td colspan=1000>wide<td>b<tr><td>a</table>", "wide  b\na"),
+])
+def test_what_is_shown(html, text):
+    assert html_text.html_text(html) == text
+
+
+def test_any_depth():
+    n = 5000
+    table = "<table><tr><td>a<td>b<tr><td>ccc<td>d</table>"
+    assert html_text.html_text("<div>" * n + "<div hidden>SECRET</div>visible" + table) == "visible\n\na    b\nccc  d"
+    assert html_text.html_text("<table><tr><td>x" * n).split() == ["x"] * n
+    assert html_text.html_text("<ul><li>x" * n).replace("-", " ").split() == ["x"] * n
+    assert html_text.html_text("<svg>" + "<g>" * n + "<text>x</text>") == "x"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a '>", "<a '>'", "<a \">'", "<b>", "</b>", "<p><table><b>", "a<b>b</b>", "<td colspan=1000 rowspan=9>x", "</script ", "<!--", "<", "&", "<li>", "<blockquote>x", "<style>.a{", "<option>x"])
+def test_broken_pages_take_linear_time(part):
+    size = 1_000_000
+    began = time.process_time()
+    html_text.html_text(part * (size // len(part)))
+    assert time.process_time() - began < 15  # quadratic ones take minutes
+
+
+class Plain(HTMLParser):
+    """Words of a page, of the tables' kind: nothing in it is hidden but heads, scripts and styles."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.off = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.off += tag in ("script", "style", "title")
+        self.words.append("" if tag not in ("b", "a", "i", "span", "em") else None)
+
+    def handle_endtag(self, tag):
+        self.off -= tag in ("script", "style", "title")
+        self.words.append("" if tag not in ("b", "a", "i", "span", "em") else None)
+
+    def handle_data(self, data):
+        if not self.off:
+            self.words.append(data)
+
+    def all(self):
+        return "".join(" " if w == "" else w or "" for w in self.words).split()
+
+
+def test_pages_equal_a_plain_parser(spark, sf):
+    """Every word of every page comes out, in order where no table or list mark stands between."""
+    rows = html_text.extract(spark.read.parquet(f"{sf}/../sf0.01/pages.parquet")).collect()
+    for r in rows:
+        plain = Plain()
+        plain.feed(r["html"])
+        plain.close()
+        got = Counter(r["text"].split())
+        want = Counter(plain.all())
+        marks = {w for w in got - want}
+        assert not want - got and all(w in ("-", "|") or re.fullmatch(r"\d+\.", w) for w in marks), (r["page_id"], want - got, got - want)
