@@ -32,7 +32,7 @@ BASE_KINDS = ("assign", "access", "hex")
 # Fixed values of the added kinds: prefixes of public token formats.
 CRC_PREFIXES = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_")
 CRC_TOKEN = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+JWT_RUN, JWT_REST = re.compile(r"[A-Za-z0-9_-]*"), re.compile(r"\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 KINDS = (*BASE_KINDS, "crc_token", "jwt")
 
@@ -55,6 +55,22 @@ def valid_jwt(token: str) -> bool:
         return False
 
 
+def jwts(text: str, hits) -> list[tuple[int, int]]:
+    """(start, end) of valid tokens at the hits. All hits in one run of its characters share the run's end, so each run is read once."""
+    out, free, run = [], 0, 0
+    for start in hits:
+        if start < free or not text.startswith("eyJ", start):
+            continue
+        if start >= run:
+            run = JWT_RUN.match(text, start).end()
+            rest = JWT_REST.match(text, run)
+        if rest and run - start > 3:
+            free = rest.end()
+            if valid_jwt(text[start:free]):
+                out.append((start, free))
+    return out
+
+
 def _automaton():
     import ahocorasick
 
@@ -75,7 +91,8 @@ def spans(text: str | None, automaton) -> list[tuple[int, str, int]]:
     for end, (kind, size) in automaton.iter(folded):
         hits.setdefault(kind, []).append(end + 1 - size)
     found = [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
-    for kind, pattern in (("assign", ASSIGN), ("access", ACCESS), ("crc_token", CRC_TOKEN), ("jwt", JWT)):
+    found += [(start, "jwt", end) for start, end in jwts(text, hits.get("jwt", ()))]
+    for kind, pattern in (("assign", ASSIGN), ("access", ACCESS), ("crc_token", CRC_TOKEN)):
         free = 0  # leftmost and non-overlapping: a match uses up its text even if it is then dropped
         for start in sorted(hits.get(kind, ())):
             if start < free or not (m := pattern.match(text, start)):
@@ -85,10 +102,8 @@ def spans(text: str | None, automaton) -> list[tuple[int, str, int]]:
                 good = len(m[2]) >= ASSIGN_LEAST
             elif kind == "access":
                 good = len(m[0]) >= ACCESS_LEAST
-            elif kind == "crc_token":
-                good = crc_suffix(m[1]) == m[2]
             else:
-                good = valid_jwt(m[0])
+                good = crc_suffix(m[1]) == m[2]
             if good:
                 found.append((start, kind, m.end()))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
