@@ -6,7 +6,8 @@ clusters they hold. A piece, longest first, looks up the successor of its length
 and goes on upward until the tightest compatible bin is found; if there is none, it opens one.
 
 Pieces are dealt by hash into shards of about `shard_pieces`; each shard is packed on its own, so hot sources and
-clusters spread over all shards and a task holds a shard's lengths and ids, never texts.
+clusters spread over all shards, as do rows without an id. A task holds a shard: lengths and ids, and texts only if the
+caller has them travel with their pieces (a shard's are bounded: pieces times capacity).
 
 Defined results: null or negative lengths count as 0, and pieces of length 0 are packed like others; null
 sources and clusters conflict with nothing; repeated rows are packed as often as they come, ties go by
@@ -18,9 +19,11 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import own_columns
 
@@ -98,22 +101,31 @@ def pieces(docs: DataFrame, capacity: int) -> DataFrame:
     return cut.select("doc_id", "piece", start.alias("start"), F.least(F.col("n_units") - start, F.lit(capacity)).alias("size"), "source", "cluster")
 
 
+def pack_pieces(cut: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """Pieces (doc_id, piece, size, source, cluster, and any others) with bin_id and bin_offset. All columns travel with the pieces."""
+    shards = max(1, -(-cut.count() // shard_pieces))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "size", "source", "cluster"), F.lit(shards)))
+    schema = T.StructType([*cut.schema, T.StructField("bin_id", T.LongType()), T.StructField("bin_offset", T.LongType())])
+
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("size", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("source", "ascending"), ("cluster", "ascending")])
+        numbers, offsets = pack_shard(rows["size"].to_pylist(), rows["source"].to_pylist(), rows["cluster"].to_pylist(), capacity)
+        bins = pc.add(pc.multiply(rows["shard"], pa.scalar(1 << 32, pa.int64())), pa.array(numbers, pa.int64()))
+        return rows.drop_columns(["shard"]).append_column("bin_id", bins).append_column("bin_offset", pa.array(offsets, pa.int64()))
+
+    return dealt.groupBy("shard").applyInArrow(one, schema)
+
+
 def pack(docs: DataFrame, units: str, doc_id: str = "doc_id", source: str = "source", cluster: str = "cluster", capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """One row per piece: doc_id, piece, start, size (in units), source, cluster, bin_id, bin_offset."""
-    cut = pieces(own_columns(docs, doc_id=doc_id, n_units=units, source=source, cluster=cluster).withColumns({c: F.col(c).cast("string") for c in ("source", "cluster")}), capacity)
-    count = docs.select(F.sum(F.greatest(F.ceil(F.coalesce(F.col(f"`{units}`"), F.lit(0)) / capacity), F.lit(1))).alias("n")).first()["n"] or 0
-    shards = max(1, -(-int(count) // shard_pieces))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "piece", "source", "cluster"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
-        numbers, offsets = pack_shard(rows["size"].tolist(), [None if pd.isna(x) else x for x in rows["source"]], [None if pd.isna(x) else x for x in rows["cluster"]], capacity)
-        rows["bin_id"] = pd.Series(numbers, dtype="int64") + rows["shard"] * (1 << 32)
-        rows["bin_offset"] = pd.Series(offsets, dtype="int64")
-        return rows[["doc_id", "piece", "start", "size", "source", "cluster", "bin_id", "bin_offset"]]
-
-    kind = dict(docs.dtypes)[doc_id]
-    return dealt.groupBy("shard").applyInPandas(one, f"doc_id {kind}, piece int, start long, size long, source string, cluster string, bin_id long, bin_offset long")
+    own = own_columns(docs, doc_id=doc_id, n_units=units, source=source, cluster=cluster).withColumns({c: F.col(c).cast("string") for c in ("source", "cluster")})
+    return pack_pieces(pieces(own, capacity), capacity, shard_pieces)
+
+
+def windows(packed: DataFrame) -> DataFrame:
+    """One row per bin of packed pieces that carry their text: bin_id, size, doc_ids (each once), and its pieces in order."""
+    rows = packed.groupBy("bin_id").agg(F.sum("size").alias("size"), F.array_sort(F.collect_list(F.struct("bin_offset", "size", "doc_id", "piece", "start", "text"))).alias("pieces"))
+    return rows.select("bin_id", "size", F.array_distinct(F.col("pieces.doc_id")).alias("doc_ids"), "pieces")
 
 
 def word_count(text: Column) -> Column:
