@@ -77,6 +77,28 @@ def test_packing_odd_rows(spark):
     assert words == sorted([*"abcde", *map(str, range(25))])
 
 
+def test_packing_keeps_ids_and_spreads_rows_without_one(spark):
+    big = (1 << 53) + 1
+    rows = [(None if i % 3 else big + i, 5, "s", f"c{i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, units int, source string, cluster string").coalesce(1)
+    out = packing.pack(docs, "units", capacity=10, shard_pieces=100).collect()
+    assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == sorted(r[0] for r in rows if r[0] is not None)
+    assert len({r["bin_id"] >> 32 for r in out if r["doc_id"] is None}) == 9
+    check_packing(out, {None: 3000, **{r[0]: 5 for r in rows if r[0] is not None}}, 10)
+    long = spark.createDataFrame([(1, 3_000_000, "s", "c")], "doc_id long, units int, source string, cluster string")
+    assert len({r["bin_id"] >> 32 for r in packing.pack(long, "units", shard_pieces=100).collect()}) > 10  # counted in pieces
+
+
+def test_windows_carry_texts(spark):
+    rows = [(i, 0, i % 7 + 1, f"s{i % 5}", None, f"text {i}", 0) for i in range(60)]
+    cut = spark.createDataFrame(rows, "doc_id long, piece int, size long, source string, cluster string, text string, start long")
+    got = packing.windows(packing.pack_pieces(cut, 10, 16)).collect()
+    assert sorted(p["text"] for r in got for p in r["pieces"]) == sorted(r[5] for r in rows)
+    for r in got:
+        assert r["size"] == sum(p["size"] for p in r["pieces"]) <= 10 and r["doc_ids"] == [p["doc_id"] for p in r["pieces"]]
+        assert len({p["doc_id"] % 5 for p in r["pieces"]}) == len(r["pieces"])
+
+
 # Decontamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -283,6 +305,23 @@ def test_sketch_text_round_trip(spark):
     assert all(r["c"] == r["d"] for r in cells) and cells[1] == cells[2] != cells[0]
 
 
+def test_stored_fingerprints_compare(spark):
+    base = [f"line {i} of the text" for i in range(40)]
+    texts = ["\n".join(base), "\n".join(base[:36] + ["new words", "and more"]), "\n".join(f"other {i}" for i in range(60)), "", None]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    rows = df.select("a", "b", fingerprint.stored_likeness(fingerprint.fingerprint(F.col("a")), fingerprint.fingerprint(F.col("b"))).alias("l")).collect()
+    sets = {t: set((t or "").splitlines()) for t in texts}
+    for r in rows:
+        a, b = sets[r["a"]], sets[r["b"]]
+        if len(a ^ b) <= 6:
+            assert r["l"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        else:
+            assert r["l"] is None or r["l"] == pytest.approx(len(a & b) / len(a | b))
+    assert sum(r["l"] is None for r in rows) >= 8  # 40 differing digests do not come out of 24 cells
+    with pytest.raises(TypeError):
+        fingerprint.version_fingerprints(spark.createDataFrame([("x", "y")], "doc_id string, text string"))
+
+
 @pytest.mark.parametrize("range_rows", [3, 1000])
 def test_next_document(spark, range_rows):
     rng = random.Random(3)

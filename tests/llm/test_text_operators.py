@@ -78,6 +78,22 @@ def test_checksums_decide(spark):
     assert kinds == ["crc_token", "jwt"]
 
 
+def test_long_texts_take_linear_time():
+    automaton, jwt = secrets._automaton(), "eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ.abc"
+    for part in ("eyJ", "eyJ.", "token", "token=", "api_key : ", "AKIA", "ghp_", "f", "eyJa.eyJ "):
+        began = time.process_time()
+        spans = secrets.spans(part * (1_000_000 // len(part)) + " " + jwt, automaton)
+        assert time.process_time() - began < 10 and spans[-1][1] == "jwt"
+    body = "eyJ" * 30
+    assert [s[1] for s in secrets.spans(f"{body}{jwt}", automaton)] == []  # one run, whose head is no JSON
+    pattern = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+    rng = random.Random(5)
+    for _ in range(2000):
+        text = "".join(rng.choice(("eyJ", "eyJhbGciOiJIUzI1NiJ9", ".", "a", " ", "é")) for _ in range(12))
+        want = [(m.start(), m.end()) for m in pattern.finditer(text) if secrets.valid_jwt(m[0])]
+        assert [(a, b) for a, k, b in secrets.spans(text, automaton) if k == "jwt"] == want, text
+
+
 def test_redaction_and_spans(spark):
     docs = messy(spark, ["a token: abcdefg b", "", None])
     out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).where("doc_id IS NOT NULL").collect()}
@@ -263,6 +279,38 @@ def test_odd_documents_for_token_counts(spark):
         token_counts.section_tokens(docs, rule="half")
 
 
+BIG = (1 << 53) + 1
+
+
+def test_token_counts_keep_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (BIG, "c d e"), (-BIG, "é")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in token_counts.section_tokens(docs).collect()} == {None, BIG, -BIG}
+    named = spark.createDataFrame([("x", "a b"), (None, "c")], "doc_id string, text string")
+    assert {r["doc_id"] for r in token_counts.section_tokens(named).collect()} == {"x", None}
+
+
+def test_whole_documents_against_one_encoding(spark, sf):
+    """Totals of documents, as sections add them up, against one encoding of the whole; long runs of letters too."""
+    encoding, _ = token_counts.load(token_counts.VOCABULARY)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()} | {-1: "q" * 300_000, -2: "漢字" * 50_000, -3: "ab/" * 60_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.document_tokens(token_counts.section_tokens(docs)).collect()}
+    assert got == {k: len(encoding.encode_ordinary(t)) for k, t in texts.items() if t}
+
+
+def test_token_pieces(spark):
+    encoding, _ = token_counts.load(token_counts.VOCABULARY)
+    texts = {1: "word " * 100, 2: None, 3: "", BIG: "漢字𝒳é" * 200, 5: "x"}
+    docs = spark.createDataFrame([(k, t, "s") for k, t in texts.items()] + [(None, "a b", None)], "doc_id long, text string, start string").coalesce(1).withColumnRenamed("start", "other")
+    rows = token_counts.token_pieces(docs, 16).collect()
+    for key, text in texts.items():
+        own = sorted((r for r in rows if r["doc_id"] == key), key=lambda r: r["piece"])
+        assert [r["piece"] for r in own] == list(range(len(own))) and all(r["size"] <= 16 and r["other"] == "s" for r in own)
+        assert "".join(r["text"] or "" for r in own) == (text or "") and (text is not None or own[0]["text"] is None)
+        assert sum(r["size"] for r in own) == len(encoding.encode_ordinary(text or "")) and all(a["start"] + a["size"] == b["start"] for a, b in zip(own, own[1:]))
+    assert sum(r["doc_id"] is None for r in rows) == 1 and token_counts.token_pieces(docs.limit(0), 16).count() == 0
+
+
 # Personal data in common formats
 
 
