@@ -1,12 +1,14 @@
-"""Near copies by exact Jaccard similarity over word shingles: a prefix join.
+"""Near copies: SimHash ball hashing, an exact check, and an exact way for what lies outside the ball.
 
-Two texts are linked if their sets of five-word shingles have a similarity of at least 4/5. Shingles are put
-in one order, rare ones first; two such sets share a shingle among the first fifth (and one more) of each, so only
-those meet, and every pair that meets is verified on the whole sets. Nothing is sampled or capped: all pairs at or over
-the threshold are linked, and components are closed over the links.
+Two texts are linked if their sets of five-word shingles have a Jaccard similarity of at least 4/5. Fingerprints of five-word
+shingles within the ball of `simhash` give the first candidates, which are verified on the whole sets; large groups of close
+copies are joined by them. At a similarity of 4/5 most pairs differ in more bits than any ball that can be hashed, so the pairs
+that are still apart come from a prefix join: shingles are put in one order, rare ones first; two similar sets share
+a shingle among the first fifth (and one more) of each, so only those meet, and every pair that meets is verified too. Nothing is
+sampled or capped: all pairs at or over the threshold are linked, and components are closed over the links.
 
 Equal texts are one class and cost one row. Shingles are counted in packed blocks dealt by hash. A shingle that
-many classes hold in front is not paired out: its classes are linked group by group from their sets.
+many classes hold in front is not paired out: unless SimHash has joined all of them, they are linked group by group from their sets.
 
 Defined results: words are split and lower-cased as in `simhash`; fewer than five words are one shingle; null and empty
 texts, and texts of white space, are copies of each other and of nothing else; shingles and texts are known by 64-bit hashes.
@@ -24,14 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import materialize, own_columns
 from .simhash import SEED, components
 
 WIDTH = 5
 #: Least similarity: 4 of 5.
 OVER, UNDER = 4, 5
-#: Shingles that one task counts, about.
-TASK_SHINGLES = 4_000_000
+#: Shingles that one task counts, about, and that one batch packs.
+TASK_SHINGLES, BATCH_SHINGLES = 1_500_000, 1_000_000
 #: Classes on one shingle from which they are linked from their sets.
 HOT_SHINGLE = 64
 
@@ -60,31 +63,51 @@ def similar(shared: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
 
 
 def _blocks(tasks: int):
-    """Shingles of the batches' texts, packed by task: (task, hashes, classes, sizes)."""
+    """Shingles of the batches' texts, packed by task: (task, hashes, classes, sizes, counts); counts are the shingles of each class in the block."""
+
+    def pack(classes: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(s) for s in sets], np.int32)
+        hashes = np.concatenate(sets)
+        task = (hashes % np.uint64(tasks)).astype(np.int32)
+        order = np.argsort(task, kind="stable")
+        cuts = np.searchsorted(task[order], np.arange(tasks + 1))
+        owner, hashes = np.repeat(np.arange(len(sets)), sizes)[order], hashes[order]
+        full = [k for k in range(tasks) if cuts[k] < cuts[k + 1]]
+        columns: list[list[bytes]] = [[], [], [], []]
+        for k in full:
+            own = owner[cuts[k] : cuts[k + 1]]
+            runs = np.r_[0, np.flatnonzero(np.diff(own)) + 1, len(own)]
+            first = own[runs[:-1]]
+            for out, values in zip(columns, (hashes[cuts[k] : cuts[k + 1]], classes[first], sizes[first], np.diff(runs).astype(np.int32))):
+                out.append(values.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["task", "hashes", "classes", "sizes", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             classes = batch.column(0).to_numpy(zero_copy_only=False)
-            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            hashes = np.concatenate([*sets, np.empty(0, np.uint64)])
-            task = (hashes % np.uint64(tasks)).astype(np.int32)
-            order = np.argsort(task, kind="stable")
-            cuts = np.searchsorted(task[order], np.arange(tasks + 1))
-            columns = [c[order] for c in (hashes, np.repeat(classes, sizes), np.repeat(sizes, sizes).astype(np.int32))]
-            full = [k for k in range(tasks) if cuts[k] < cuts[k + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([c[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()) for c in columns)], ["task", "hashes", "classes", "sizes"])
+            rows, sets, held = [], [], 0
+            for row in np.unique(classes, return_index=True)[1]:  # copies in one batch count once
+                rows.append(row)
+                sets.append(shingle_set(batch.column(1)[int(row)].as_py()))
+                held += len(sets[-1])
+                if held >= BATCH_SHINGLES:
+                    yield pack(classes[rows], sets)
+                    rows, sets, held = [], [], 0
+            if sets:
+                yield pack(classes[rows], sets)
 
     return run
 
 
 def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     """(class, size, hash, df) of the shingles that two or more classes hold."""
-    hashes, classes, sizes = (np.frombuffer(b"".join(rows[c]), kind) for c, kind in (("hashes", np.int64), ("classes", np.int64), ("sizes", np.int32)))
+    hashes, classes, sizes, counts = (np.frombuffer(b"".join(rows[c]), kind) for c, kind in (("hashes", np.int64), ("classes", np.int64), ("sizes", np.int32), ("counts", np.int32)))
+    owner = np.repeat(np.arange(len(classes)), counts)
     order = np.argsort(hashes, kind="stable")
     again = np.diff(hashes[order]) == 0
     order = order[np.r_[again, False] | np.r_[False, again]]
-    order = order[np.lexsort((classes[order], hashes[order]))]
+    hashes, classes, sizes = hashes[order], classes[owner[order]], sizes[owner[order]]
+    order = np.lexsort((classes, hashes))
     hashes, classes, sizes = hashes[order], classes[order], sizes[order]
     fresh = np.r_[True, (np.diff(hashes) != 0) | (np.diff(classes) != 0)][: len(hashes)]
     hashes, classes, sizes = hashes[fresh], classes[fresh], sizes[fresh]
@@ -133,7 +156,7 @@ def fronts(docs: DataFrame) -> DataFrame:
     """(cls, size, hash, at) of every class's first shingles that others hold too; at counts from 0 in the common order."""
     words = docs.select(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).first()["n"] or 0
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // TASK_SHINGLES))
-    packed = docs.where("cls <> 0").mapInArrow(_blocks(tasks), "task int, hashes binary, classes binary, sizes binary")
+    packed = docs.where("cls <> 0").mapInArrow(_blocks(tasks), "task int, hashes binary, classes binary, sizes binary, counts binary")
     shared = packed.groupBy("task").applyInPandas(_shared, "cls long, size int, hash long, df long")
     held = shared.groupBy("cls", "size").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("held"))
     alone = F.col("size") - F.size("held")  # shingles of no other class come first in the order
@@ -142,22 +165,46 @@ def fronts(docs: DataFrame) -> DataFrame:
     return first.select("cls", "size", "alone", F.posexplode(F.slice("held", 1, F.col("front") - F.col("alone")))).select("cls", "size", F.col("col.hash").alias("hash"), (F.col("alone") + F.col("pos")).alias("at"))
 
 
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, shingles) of the wanted classes."""
+    return materialize(docs.join(wanted.distinct(), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", _sets("text").alias("shingles")), "near-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    a, b = (sets.select(F.col("cls").alias(c), F.col("shingles").alias("of_" + c)) for c in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").where(_similar("of_a", "of_b")).select("a", "b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+
+
+def close_links(docs: DataFrame) -> DataFrame:
+    """(a, b) over the classes: links inside the SimHash ball of five-word fingerprints, as stars, where the sets are similar."""
+    prints = materialize(docs.where("cls <> 0").select("cls", simhash.simhash(F.col("text"), WIDTH).alias("fp")).distinct(), "near-prints")
+    least = prints.groupBy("fp").agg(F.min("cls").alias("least"))
+    near = simhash.links(least.select("fp"))
+    a, b = (least.select(F.col("fp").alias(c), F.col("least").alias("of_" + c)) for c in ("a", "b"))
+    across = near.join(a, "a").join(b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    pairs = materialize(across.unionByName(prints.join(least, "fp").where("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b"))), "near-close")
+    return _verified(pairs, _sets_of(docs, _ends(pairs)))
+
+
 def links(docs: DataFrame, hot_shingle: int = HOT_SHINGLE) -> DataFrame:
     """(a, b) over the classes of docs (cls, text): links that join all classes whose sets are similar."""
-    front = materialize(fronts(docs), "near-fronts")
-    counts = front.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    close = materialize(close_links(docs), "near-links")
+    roots = components(close).select(F.col("node").alias("cls"), "root")
+    front = materialize(fronts(docs).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "near-fronts")
+    counts = front.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most").select("hash", "n")
     front = materialize(front.join(counts, "hash"), "near-shared")
     few, hot = front.where(F.col("n") <= hot_shingle), front.where(F.col("n") > hot_shingle).select("hash", "cls")
-    x, y = (few.select("hash", *(F.col(c).alias(c + end) for c in ("cls", "size", "at"))) for end in ("_a", "_b"))
+    x, y = (few.select("hash", *(F.col(c).alias(c + end) for c in ("cls", "size", "at", "root"))) for end in ("_a", "_b"))
     most = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) + F.least("at_a", "at_b")  # what both can share at best
-    close = (OVER + UNDER) * most >= OVER * (F.col("size_a") + F.col("size_b"))
-    pairs = x.join(y, "hash").where("cls_a < cls_b").where(close).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    fit = (OVER + UNDER) * most >= OVER * (F.col("size_a") + F.col("size_b"))
+    pairs = x.join(y, "hash").where("cls_a < cls_b AND root_a <> root_b").where(fit).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
     pairs = materialize(pairs, "near-pairs")
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(hot.select("cls")).distinct()
-    texts = docs.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
-    sets = materialize(texts.select("cls", _sets("text").alias("shingles")), "near-sets")
-    a, b = (sets.select(F.col("cls").alias(c), F.col("shingles").alias("of_" + c)) for c in ("a", "b"))
-    found = pairs.join(a, "a").join(b, "b").where(_similar("of_a", "of_b")).select("a", "b")
+    sets = _sets_of(docs, _ends(pairs).unionByName(hot.select("cls")))
+    found = close.unionByName(_verified(pairs, sets))
     if hot.isEmpty():
         return found
     local = hot.join(sets, "cls").groupBy("hash").applyInPandas(_local_links, "a long, b long")

@@ -59,14 +59,14 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+def simhash(text: Column, width: int = SHINGLE_WORDS) -> Column:
+    """Fingerprint of a text column over shingles of `width` words, as a long (bit 63 is the sign)."""
 
+    @F.pandas_udf(T.LongType())
+    def fingerprints(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))
 
-def simhash(text: Column) -> Column:
-    """Fingerprint of a text column as a long (bit 63 is the sign)."""
-    return _fingerprints(text)
+    return fingerprints(text)
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -121,42 +121,65 @@ def _local_links(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], split_over: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: links inside each key's fingerprints; keys over `split_over` go out row by row instead."""
-    kept_keys, kept_fps = np.empty(0, np.int64), np.empty(0, np.int64)
+    """Rows sorted by key: links inside each key's fingerprints; keys over `split_over` go out row by row instead, as they come."""
 
-    def settle(keys: np.ndarray, fps: np.ndarray):
+    def out(a, b, hot: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([hot] * len(a), pa.bool_())], ["a", "b", "hot"])
+
+    def settle(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         cuts = np.flatnonzero(np.diff(keys)) + 1
         starts, ends = np.r_[0, cuts], np.r_[cuts, len(keys)]
-        a, b, hot = [], [], []
+        links = []
         for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
             group = np.unique(fps[s:e])
-            if split_over is not None and len(group) > split_over:
-                a += [int(keys[s])] * len(group)
-                b += group.tolist()
-                hot += [True] * len(group)
-            elif len(group) == 2:
+            if len(group) == 2:
                 if np.bitwise_count((group[:1] ^ group[1:]).view(np.uint64))[0] <= RADIUS:
-                    a.append(int(group[0]))
-                    b.append(int(group[1]))
-                    hot.append(False)
+                    links.append((int(group[0]), int(group[1])))
             elif len(group) > 2:
-                for x, y in _local_links(group):
-                    a.append(x)
-                    b.append(y)
-                    hot.append(False)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(hot, pa.bool_())], ["a", "b", "hot"])
+                links += _local_links(group)
+        return out([a for a, _ in links], [b for _, b in links], False)
 
+    key, held, rows, hot = None, [], 0, False  # the last key may go on in the next batch; its fingerprints are held until it is hot
     for batch in batches:
-        keys = np.r_[kept_keys, batch.column(0).to_numpy(zero_copy_only=False)]
-        fps = np.r_[kept_fps, batch.column(1).to_numpy(zero_copy_only=False)]
+        keys, fps = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
         if not len(keys):
             continue
-        whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-        if whole:
-            yield settle(keys[:whole], fps[:whole])
-        kept_keys, kept_fps = keys[whole:], fps[whole:]
-    if len(kept_keys):
-        yield settle(kept_keys, kept_fps)
+        for s, e in ((0, int(np.searchsorted(keys, keys[0], "right"))), (int(np.searchsorted(keys, keys[0], "right")), len(keys))):
+            if s == e:
+                continue
+            if keys[s] != key:  # all but the last key of this stretch are whole; the stretch ends what was held
+                if held and not hot:
+                    yield settle(np.full(rows, key), np.concatenate(held))
+                whole = s + int(np.searchsorted(keys[s:e], keys[e - 1]))
+                yield from _whole(keys[s:whole], fps[s:whole], split_over, settle, out)
+                key, held, rows, hot, s = keys[e - 1], [], 0, False, whole
+            if hot:
+                yield out(keys[s:e], fps[s:e], True)
+                continue
+            held.append(fps[s:e])
+            rows += e - s
+            if split_over is not None and rows > split_over:
+                group = np.unique(np.concatenate(held))
+                held, rows = [group], len(group)
+                if hot := rows > split_over:
+                    yield out(np.full(rows, key), group, True)
+                    held = []
+    if held and not hot:
+        yield settle(np.full(rows, key), np.concatenate(held))
+
+
+def _whole(keys: np.ndarray, fps: np.ndarray, split_over: int | None, settle, out) -> Iterator[pa.RecordBatch]:
+    """Whole keys of one batch, the hot ones apart."""
+    if not len(keys):
+        return
+    known, counts = np.unique(keys, return_counts=True)
+    large = [k for k, n in zip(known, counts) if split_over is not None and n > split_over and len(np.unique(fps[keys == k])) > split_over] if split_over is not None and counts.max() > split_over else []
+    for k in large:
+        group = np.unique(fps[keys == k])
+        yield out(np.full(len(group), k), group, True)
+    rest = ~np.isin(keys, large)
+    if rest.any():
+        yield settle(keys[rest], fps[rest])
 
 
 def _meet(rows: DataFrame, split_over: int | None) -> DataFrame:
