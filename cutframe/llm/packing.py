@@ -19,6 +19,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -101,19 +102,41 @@ def pieces(docs: DataFrame, capacity: int) -> DataFrame:
     return cut.select("doc_id", "piece", start.alias("start"), F.least(F.col("n_units") - start, F.lit(capacity)).alias("size"), "source", "cluster")
 
 
-def pack_pieces(cut: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Pieces (doc_id, piece, size, source, cluster, and any others) with bin_id and bin_offset. All columns travel with the pieces."""
+def _dealt(cut: DataFrame, shard_pieces: int):
     shards = max(1, -(-cut.count() // shard_pieces))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "size", "source", "cluster"), F.lit(shards)))
+    return cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "size", "source", "cluster"), F.lit(shards))).groupBy("shard")
+
+
+def _packed(rows: pa.Table, capacity: int) -> pa.Table:
+    """A shard's pieces, longest first, with bin_id and bin_offset."""
+    rows = rows.sort_by([("size", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("source", "ascending"), ("cluster", "ascending")])
+    numbers, offsets = pack_shard(rows["size"].to_pylist(), rows["source"].to_pylist(), rows["cluster"].to_pylist(), capacity)
+    bins = pc.add(pc.multiply(rows["shard"], pa.scalar(1 << 32, pa.int64())), pa.array(numbers, pa.int64()))
+    return rows.drop_columns(["shard"]).append_column("bin_id", bins).append_column("bin_offset", pa.array(offsets, pa.int64()))
+
+
+def pack_pieces(cut: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """Pieces (doc_id, piece, size, source, cluster, and any others) with bin_id and bin_offset."""
     schema = T.StructType([*cut.schema, T.StructField("bin_id", T.LongType()), T.StructField("bin_offset", T.LongType())])
+    return _dealt(cut, shard_pieces).applyInArrow(lambda rows: _packed(rows, capacity), schema)
+
+
+def pack_windows(cut: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """One row per bin of pieces that carry their texts: bin_id, size, doc_ids, and its pieces in order. Texts are shuffled once."""
+    names = ("doc_id", "piece", "start", "size", "bin_offset", "text")
+    kinds = {f.name: f for f in [*cut.schema, T.StructField("bin_offset", T.LongType())]}
+    whole = T.StructType([T.StructField("bin_id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("doc_ids", T.ArrayType(kinds["doc_id"].dataType)), T.StructField("pieces", T.ArrayType(T.StructType([kinds[n] for n in names])))])
 
     def one(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("size", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("source", "ascending"), ("cluster", "ascending")])
-        numbers, offsets = pack_shard(rows["size"].to_pylist(), rows["source"].to_pylist(), rows["cluster"].to_pylist(), capacity)
-        bins = pc.add(pc.multiply(rows["shard"], pa.scalar(1 << 32, pa.int64())), pa.array(numbers, pa.int64()))
-        return rows.drop_columns(["shard"]).append_column("bin_id", bins).append_column("bin_offset", pa.array(offsets, pa.int64()))
+        rows = _packed(rows, capacity)
+        rows = rows.append_column("_at", pa.array(range(len(rows)), pa.int64())).sort_by([("bin_id", "ascending"), ("bin_offset", "ascending"), ("_at", "ascending")]).combine_chunks()
+        bins = rows["bin_id"].to_numpy()
+        cuts = np.r_[0, np.flatnonzero(np.diff(bins)) + 1, len(bins)]
+        columns = [rows[n].combine_chunks() if n != "text" else rows[n].cast(pa.string()).combine_chunks() for n in names]
+        listed = lambda values: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
+        return pa.table({"bin_id": bins[cuts[:-1]], "size": np.add.reduceat(rows["size"].to_numpy(), cuts[:-1]), "doc_ids": listed(columns[0]), "pieces": listed(pa.StructArray.from_arrays(columns, names))})
 
-    return dealt.groupBy("shard").applyInArrow(one, schema)
+    return _dealt(cut, shard_pieces).applyInArrow(one, whole)
 
 
 def pack(docs: DataFrame, units: str, doc_id: str = "doc_id", source: str = "source", cluster: str = "cluster", capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -122,12 +145,6 @@ def pack(docs: DataFrame, units: str, doc_id: str = "doc_id", source: str = "sou
     return pack_pieces(pieces(own, capacity), capacity, shard_pieces)
 
 
-def windows(packed: DataFrame) -> DataFrame:
-    """One row per bin of packed pieces that carry their text: bin_id, size, doc_ids (each once), and its pieces in order."""
-    rows = packed.groupBy("bin_id").agg(F.sum("size").alias("size"), F.array_sort(F.collect_list(F.struct("bin_offset", "size", "doc_id", "piece", "start", "text"))).alias("pieces"))
-    return rows.select("bin_id", "size", F.array_distinct(F.col("pieces.doc_id")).alias("doc_ids"), "pieces")
-
-
 def word_count(text: Column) -> Column:
     """Units of the corpus queries: words between white space."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")

@@ -25,10 +25,11 @@ from datetime import date
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "cutframe-pseudonyms"
+#: The session setting that holds the secret, and the key of tests and of the queries on synthetic tables where it is unset: it is public.
+SETTING, KEY = "spark.cutframe.pii.key", "cutframe-pseudonyms"
 ROUNDS = 8
 # Names of months; shapes of the kinds, tried in this order at each place.
 MONTHS = "January February March April May June July August September October November December".split()
@@ -273,6 +274,11 @@ def replacer(key: str, undo: bool = False) -> Callable[[str], tuple[str, dict[st
     return run
 
 
+def session_key(spark: SparkSession) -> str:
+    """The secret of the session's setting; without one, the key of the tests, which hides nothing."""
+    return spark.conf.get(SETTING, None) or KEY
+
+
 def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY, undo: bool = False, counts: str | None = None) -> DataFrame:
     """`docs` with pseudonyms in `text`; with `counts`, also a struct column of that name with the number of each kind."""
     schema = "text string, " + ", ".join(f"n_{k} int" for k in KINDS)

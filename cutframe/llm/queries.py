@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, fingerprint, html_text, packing, pii, quality, secrets, simhash, token_counts, url_filter
+from . import pipeline as stages
 from .common import table
 
 
@@ -59,9 +60,7 @@ def op10_version_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {

@@ -92,11 +92,13 @@ def test_packing_keeps_ids_and_spreads_rows_without_one(spark):
 def test_windows_carry_texts(spark):
     rows = [(i, 0, i % 7 + 1, f"s{i % 5}", None, f"text {i}", 0) for i in range(60)]
     cut = spark.createDataFrame(rows, "doc_id long, piece int, size long, source string, cluster string, text string, start long")
-    got = packing.windows(packing.pack_pieces(cut, 10, 16)).collect()
+    got = packing.pack_windows(cut, 10, 16).collect()
     assert sorted(p["text"] for r in got for p in r["pieces"]) == sorted(r[5] for r in rows)
     for r in got:
         assert r["size"] == sum(p["size"] for p in r["pieces"]) <= 10 and r["doc_ids"] == [p["doc_id"] for p in r["pieces"]]
         assert len({p["doc_id"] % 5 for p in r["pieces"]}) == len(r["pieces"])
+        assert [p["bin_offset"] for p in r["pieces"]] == [sum(p["size"] for p in r["pieces"][:i]) for i in range(len(r["pieces"]))]
+    assert packing.pack_windows(cut.limit(0)).count() == 0
 
 
 # Decontamination

@@ -5,8 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from cutframe.llm import near_copies
+from cutframe.llm import near_copies, pipeline
 from test_corpus_operators import plain_components
 
 
@@ -46,10 +45,18 @@ def test_near_copies_equal_brute_force(spark, seed, groups, size, most, common,
 def test_near_copies_of_the_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = plain_roots({r["doc_id"]: r["text"] for r in docs.collect()})
-    got = {r["doc_id"] for r in corpus_pipeline.no_near_copies(spark, docs, sf).collect()}
+    got = {r["doc_id"] for r in pipeline.no_near_copies(spark, docs, sf).collect()}
     assert got == set(want.values()) and not got & {145, 177}  # similar by 0.83, 7 and 11 bits apart
 
 
+def test_simhash_joins_what_is_in_its_ball(spark):
+    texts = varied(4, 2, 90, 8)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").select(near_copies.text_class(F.col("text")).alias("cls"), "text")
+    sets = {r["cls"]: plain_set(r["text"]) for r in docs.collect()}
+    close = near_copies.close_links(docs).collect()
+    assert len(close) > 40 and all(5 * len(sets[r["a"]] & sets[r["b"]]) >= 4 * len(sets[r["a"]] | sets[r["b"]]) for r in close)
+
+
 def test_odd_rows(spark):
     rows = [(4, "a b c d"), (2, "A b  c d"), (2, "A b  c d"), (2, "unlike the others"), (7, None), (6, " \n"), (None, "a b c d"), (9, "a b c d e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cls", F.lit("x"))
