@@ -38,7 +38,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+    """The list: hosts with a listed word, and the addresses of junk pages."""
+    pages = table(spark, sf_dir, "pages")
+    listed = url_filter.listed_hosts(pages).unionByName(url_filter.listed_junk(pages))
+    return url_filter.judge_urls(pages.select("page_id", "url"), listed).select("page_id", *(f"judged.{c}" for c in ("host", "path", "rule", "verdict")))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +93,11 @@ ORACLE_SQL = {
                           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
         r(rule_host, rule_path, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
         m AS (SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(v, length(rule_host || rule_path)) AS v
-              FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+              FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
+        junk AS (SELECT DISTINCT host AS junk_host, path AS junk_path FROM u JOIN pages USING (page_id)
+                 WHERE regexp_matches(html, '[%*#$]{3} .*[%*#$]{3} .*[%*#$]{3} ') AND host <> '' AND starts_with(path, '/')),
+        bad AS (SELECT DISTINCT page_id FROM u JOIN junk ON (host = junk_host OR ends_with(host, '.' || junk_host)) AND (path = junk_path OR ends_with(junk_path, '/') AND starts_with(path, junk_path)))
         SELECT page_id, host, path, rule,
-               CASE WHEN rule IS NOT NULL THEN v WHEN regexp_matches(host, 'casino|poker|jackpot|viagra') AND starts_with(path, '/') THEN 'block' ELSE 'allow' END AS verdict
+               CASE WHEN rule IS NOT NULL THEN v WHEN regexp_matches(host, 'casino|poker|jackpot|viagra') AND starts_with(path, '/') THEN 'block' WHEN page_id IN (SELECT page_id FROM bad) THEN 'block' ELSE 'allow' END AS verdict
         FROM u LEFT JOIN m USING (page_id)""",
 }

@@ -185,23 +185,47 @@ URLS = [None, "", "no scheme", "http://", "http://net", "http://net/", "HTTP://A
         "http://m.casino-win.example.com/en/1", "http://CASINO.example.net/en/", "http://CASINO.example.net/x", "ftp://u@casino.org/fr/x", "http://casino.org?x", "a://b://net/", "http://example.com./de/", "http://..net/", "http://net//", "x://É.NET/é"]
 
 
-@pytest.mark.parametrize("max_bits", [url_filter.MAX_BITS, 0])
+@pytest.mark.parametrize("max_bits", [url_filter.MAX_BITS, 8])
 def test_urls_equal_brute_force(spark, max_bits):
-    pages = spark.createDataFrame([(i, u, "k", 3) for i, u in enumerate([*URLS, URLS[5]])], "page_id long, url string, key string, _hits int").drop("_hits")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, max_bits=max_bits).collect()}
+    rows = [(i, u, "k", 3, "a", "b", "c", "d") for i, u in enumerate([*URLS, URLS[5]])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, key string, hits int, host string, verdict string, row string, listed string")
+    found = url_filter.judge_urls(pages, max_bits=max_bits).collect()
+    got = {r["page_id"]: tuple(r["judged"][c] for c in ("host", "path", "rule", "verdict")) for r in found}
     assert got == {i: plain_verdict(u) for i, u in enumerate([*URLS, URLS[5]])}
+    assert sorted(tuple(r)[:-1] for r in found) == sorted(rows)  # nothing of the input is overwritten
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("max_bits", [url_filter.MAX_BITS, 1500])
+def test_a_long_list_of_pages_and_folders(spark, max_bits):
+    rng = random.Random(8)
+    urls = [f"https://{rng.choice(('', 'm.', 'a.b.'))}h{rng.randrange(40)}.example.com/x/{rng.randrange(60)}{rng.choice(('', '/', '/y'))}" for _ in range(4000)]
+    keys = {f"h{rng.randrange(40)}.example.com/x/{rng.randrange(60)}{rng.choice(('', '/'))}" for _ in range(900)} | {"h7.example.com/", "elsewhere.net/x"}
+    listed = spark.createDataFrame([(k,) for k in keys] + [(None,)], "key string")
+
+    def blocked(url):
+        host, path = re.fullmatch(r"https://([^/]*)(/.*)", url).groups()
+        fits = lambda h, p: (host == h or host.endswith("." + h)) and (path == p or p.endswith("/") and path.startswith(p))
+        return any(fits(*re.fullmatch(r"([^/]*)(/.*)", k).groups()) for k in keys)
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["judged"]["verdict"] == "block" for r in url_filter.judge_urls(pages, listed, rules=(("none.org", "/", "allow"),), max_bits=max_bits).collect()}
+    assert got == {i: blocked(u) for i, u in enumerate(urls)}
+
+
 def test_the_cascade_is_exact(spark):
-    universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
-    listed = universe.where("hash(key) % 7 = 0").unionByName(spark.range(5).select(F.concat(F.lit("elsewhere"), "id").alias("key")))
-    levels = url_filter.build_cascade(universe, listed)
+    keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key")).withColumn("listed", F.expr("hash(key) % 7 = 0"))
+    levels = url_filter.build_cascade(keys)
     assert len(levels) > 2
-    wrong = universe.withColumn("l", url_filter.is_listed(F.col("key"), levels)).where("l <> (hash(key) % 7 = 0)")
-    assert wrong.count() == 0
-    assert url_filter.build_cascade(universe, listed, max_bits=100) is None
-    assert url_filter.build_cascade(universe, listed.limit(0)) == []
+    assert keys.where(url_filter.is_listed(F.col("key"), levels) != F.col("listed")).count() == 0
+    assert url_filter.build_cascade(keys.where("NOT listed")) == [] and len(url_filter.build_cascade(keys.where("listed"))) == 1
+
+
+def test_a_million_listed_keys(spark):
+    keys = spark.range(3_000_000).select(F.concat(F.lit("host"), F.col("id"), F.lit(".com/")).alias("key")).withColumn("listed", F.expr("hash(key) % 3 = 0"))
+    levels = url_filter.build_cascade(keys)
+    assert sum(x.bits for x in levels) < url_filter.MAX_BITS and url_filter.parts(1_000_000, 2_000_000, url_filter.MAX_BITS) == 1
+    assert keys.where(url_filter.is_listed(F.col("key"), levels) != F.col("listed")).count() == 0
 
 
 # Near-duplicates
