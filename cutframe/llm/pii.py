@@ -5,6 +5,9 @@ number of the same length with a right check digit, a date stays a date. Values
 so equal values keep equal pseudonyms across documents and spellings, and the holder of the key can undo them. (Dates with
 one-digit days or months, month-first ones and those with the month's name keep that form, and so pseudonyms of their own.)
 
+Phones keep their country's code, and cards their check digit. Runs of 12 to 19 digits that are no cards count as account
+numbers, which have no check digit of their own: every one is replaced.
+
 Not found: months named in other languages than English, years of two digits, phones of seven digits or fewer.
 
 A Feistel network of alternating modular additions is a permutation of [0, a * b); walking its cycle until the value falls below n
@@ -50,6 +53,8 @@ PATTERN = re.compile(
     """.replace("MONTH", _MONTH),
     re.VERBOSE,
 )
+#: Country codes of phones of one and two digits; all others have three.
+ONE_DIGIT, TWO_DIGITS = "1 7".split(), "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: Every value has one of these, and none goes over a line break.
 _SIGN = re.compile(r"[@0-9]")
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -213,11 +218,12 @@ def _ssn(text: str, key: bytes, undo: bool) -> str | None:
 
 
 def _phone(text: str, key: bytes, undo: bool) -> str | None:
-    code = re.match(r"\+1|\+[0-9]{1,3}(?=[^0-9])|\+[0-9]", text)[0]
-    rest = _digits(text[len(code) :])
-    if not 7 <= len(_digits(text)) <= 15:
+    """A phone with its country's code, which stays: all spellings of a number have it, with or without separators."""
+    flat = _digits(text)
+    if not 7 <= len(flat) <= 15:
         return None
-    return code + _refill(text[len(code) :], _permute_chars(rest, key, f"phone{code}", undo))
+    code = flat[: 1 if flat[:1] in ONE_DIGIT else 2 if flat[:2] in TWO_DIGITS else 3]
+    return _refill(text, code + _permute_chars(flat[len(code) :], key, f"phone+{code}", undo))
 
 
 def _national(text: str, key: bytes, undo: bool) -> str | None:

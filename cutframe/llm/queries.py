@@ -51,7 +51,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymize(docs, counts="found").select("doc_id", "text", *(F.col(f"found.{k}").alias(f"n_{k}") for k in pii.KINDS))
+    return pii.pseudonymize(docs, key=pii.session_key(spark), counts="found").select("doc_id", "text", *(F.col(f"found.{k}").alias(f"n_{k}") for k in pii.KINDS))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
