@@ -8,7 +8,7 @@ words that starts at a multiple of that length, so looking up one probe per (w +
 occurrence. Probes go to a broadcast hash set of the items' own probes. Around a hit, the windows that
 cover the probe are verified as exact strings against the broadcast windows.
 
-The benchmark is broadcast in blocks of at most `MAX_WINDOWS` windows, so that what is broadcast has a
+The benchmark is broadcast in blocks of about `MAX_WINDOWS` windows or `MAX_BYTES` at most, so that what is broadcast has a
 bound whatever the benchmark's size; one scan of the documents serves one block.
 
 Defined results: null and empty texts have no words and no hits; items without words match nothing;
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, own_columns
 
 WINDOW = 13
-#: Most windows that one broadcast holds (about 100 bytes each).
-MAX_WINDOWS = 1_000_000
+#: Most windows that one broadcast holds, and bytes of their words: texts without separators make long words.
+MAX_WINDOWS, MAX_BYTES = 1_000_000, 100_000_000
 #: Fixed values of the rule: word characters, and the share of hit words from which a document counts as contaminated.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SHARE = 20
@@ -94,12 +94,13 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, lambda acc, s: F.struct(F.greatest(acc["to"], s["at"] + s["size"]).alias("to"), (acc["n"] + F.greatest(F.lit(0), s["at"] + s["size"] - F.greatest(acc["to"], s["at"]))).alias("n")), lambda acc: acc["n"])
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (hit word ranges: at, size)."""
     docs = own_columns(documents, doc_id=doc_id, text=text).withColumn("text", F.coalesce("text", F.lit("")))
     items = own_columns(benchmark, item_id=item_id, text=item_text)
     windows = item_windows(items, window)
-    blocks = -(-windows.count() // max_windows) or 1
+    held = windows.agg(F.count(F.lit(1)), F.sum(F.octet_length("gram"))).first()
+    blocks = max(1, -(-held[0] // max_windows), -(-(held[1] or 0) // max_bytes))
     deal = F.pmod(F.xxhash64("gram"), F.lit(blocks))
     found = None
     for block in range(blocks):
