@@ -329,6 +329,44 @@ def test_common_formats(kind, text):
         assert re.sub(r"\d", "0", re.sub(r"[^\W\d_]+", "a", one)) == re.sub(r"\d", "0", re.sub(r"[^\W\d_]+", "a", text))
 
 
+def test_spellings_of_a_phone_stay_linked():
+    for spelled in (("+4930123456", "+49 30 123456", "+49-30-12 34 56"), ("+18265554081", "+1 (826) 555-4081", "+1.826.555.4081"), ("+35312345678", "+353 1 234 5678")):
+        for key in ("k", "l"):
+            new = {re.sub(r"\D", "", pii.replacer(key)(t)[0]) for t in spelled}
+            assert len(new) == 1 and new != {re.sub(r"\D", "", spelled[0])}
+            assert all(pii.replacer(key, undo=True)(pii.replacer(key)(t)[0])[0] == t for t in spelled)
+
+
+def test_query_against_generated_values(spark):
+    """Texts put together from words and known values: nothing but the values changes, each into one of its format, equal ones equally."""
+    rng = random.Random(11)
+    luhn = lambda body: body + next(d for d in "0123456789" if sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(body + d))) % 10 == 0)
+    made = [
+        *((f"{rng.choice(('ana', 'bo.li', 'x_9'))}.{rng.randrange(99)}@mail{rng.randrange(9)}.example.com", "email") for _ in range(30)),
+        *((".".join(str(rng.randrange(256)) for _ in range(4)), "ip") for _ in range(30)),
+        *((f"{rng.randrange(1900, 2099)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}", "ymd") for _ in range(30)),
+        *((f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(10_000):04d}", "phone") for _ in range(30)),
+        *((luhn(f"4{rng.randrange(10**14):014d}"), "number") for _ in range(30)),
+        *((f"{rng.randrange(1, 665):03d}-{rng.randrange(1, 99):02d}-{rng.randrange(1, 9999):04d}", "ssn") for _ in range(30)),
+    ]
+    texts = [[x for _ in range(rng.randrange(8)) for x in ((" plain words, 12 of 345; ", None), rng.choice(made))] + [(" end.", None)] for _ in range(200)]
+    docs = spark.createDataFrame([(i, "".join(t for t, _ in parts)) for i, parts in enumerate(texts)], "doc_id long, text string")
+    seen = {}
+    for r in pii.pseudonymize(docs, key="k", counts="found").collect():
+        parts, at, counts = texts[r["doc_id"]], 0, Counter(k for _, k in texts[r["doc_id"]] if k)
+        for i, (part, kind) in enumerate(parts):
+            if kind is None:
+                assert r["text"].startswith(part, at)
+                at += len(part)
+                continue
+            stop = r["text"].index(parts[i + 1][0], at)
+            new, at = r["text"][at:stop], stop
+            assert seen.setdefault(part, new) == new and (kind == "ip" or re.sub(r"\d", "0", re.sub(r"[a-z]", "a", new.split("@")[0])) == re.sub(r"\d", "0", re.sub(r"[a-z]", "a", part.split("@")[0])))
+            assert kind != "number" or luhn(new[:-1]) == new
+        assert at == len(r["text"]) and {k: v for k, v in r["found"].asDict().items() if v} == dict(counts)
+    assert len(set(seen.values())) == len(seen) > 100 and sum(a == b for a, b in seen.items()) <= 1
+
+
 def test_every_month_first_date_comes_back():
     for day in range(13, 32):
         for month in (1, 3, 12):
