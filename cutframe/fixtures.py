@@ -57,7 +57,7 @@ def _with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_total(spark, sf_dir).where("event_id % 5 = 2").select(F.col("event_id").alias("probe_id"), VIDEO, F.expr("event_id * 31 % total").alias(FRAME))
+    return _with_total(spark, sf_dir).select(F.col("event_id").alias("probe_id"), VIDEO, F.expr("event_id * 31 % total").alias(FRAME))
 
 
 def delete_set(spark: SparkSession, sf_dir: str) -> DataFrame:

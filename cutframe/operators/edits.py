@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import FRAME, MANUAL_DELETE, MANUAL_KEEP, MODE_ALL, MODE_AUTO, VIDEO, Params
-from .islands import interval_join
+from ..schema import AUTO_DELETE, AUTO_KEEP, FRAME, MANUAL_DELETE, MANUAL_KEEP, MODE_ALL, MODE_AUTO, VIDEO, Params
+from .islands import interval_join, run_bounds, spread
 from .segments import pause_masks
 
+#: What a toggle makes of a code.
+FLIPPED = {AUTO_KEEP: MANUAL_DELETE, MANUAL_KEEP: MANUAL_DELETE, AUTO_DELETE: MANUAL_KEEP, MANUAL_DELETE: MANUAL_KEEP}
+
 
 def bulk_mode(pause_segments: DataFrame, mode: str, boundary_thresh: float) -> DataFrame:
     """Sets every pause's mode. Mode auto applies the boundary rule again, also to pauses whose difference was never measured (0.0)."""
@@ -41,7 +46,7 @@ def single_masks(mask: DataFrame, pause_segments: DataFrame, edits: DataFrame, f
 
 
 def _toggled(code: Column) -> Column:
-    return F.when(code.isin(0, MANUAL_KEEP), MANUAL_DELETE).otherwise(MANUAL_KEEP).cast("tinyint")
+    return F.when(code.isin(AUTO_KEEP, MANUAL_KEEP), MANUAL_DELETE).otherwise(MANUAL_KEEP).cast("tinyint")
 
 
 def toggle_block(mask: DataFrame, edits: DataFrame) -> DataFrame:
@@ -56,29 +61,29 @@ def toggle_block(mask: DataFrame, edits: DataFrame) -> DataFrame:
 def toggle_blocks(mask: DataFrame, edits: DataFrame) -> DataFrame:
     """Any number of edits (video_id, pause_id, seq, frame_idx): applied by seq, later ones see what earlier ones did.
 
-    Only pauses with edits go through Python, one at a time; the fold is over their own frames.
+    Only pauses with edits go through Python, as runs of equal codes: a flipped run takes in the neighbours that it now equals.
     """
 
-    def fold(codes: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame:
-        codes = codes.sort_values(FRAME, ignore_index=True)
-        values = codes["code"].to_numpy(copy=True)
-        place = {f: i for i, f in enumerate(codes[FRAME])}
+    def fold(runs: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame:
+        runs = runs.sort_values("start")
+        starts, ends, codes = (runs[c].tolist() for c in ("start", "end", "code"))
         for frame in edits.sort_values("seq")[FRAME]:
-            if (at := place.get(frame)) is None:
+            i = bisect_right(starts, frame) - 1
+            if i < 0 or frame > ends[i]:
                 continue
-            now, first, last = values[at], at, at
-            while first > 0 and values[first - 1] == now:
-                first -= 1
-            while last < len(values) - 1 and values[last + 1] == now:
-                last += 1
-            values[first : last + 1] = MANUAL_DELETE if now in (0, MANUAL_KEEP) else MANUAL_KEEP
-        return codes.assign(code=values)[[VIDEO, FRAME, "pause_id", "code"]]
+            codes[i] = FLIPPED[codes[i]]
+            for right in (i + 1, i):  # the run after it, then the one before
+                if 0 < right < len(codes) and codes[right] == codes[right - 1] and starts[right] == ends[right - 1] + 1:
+                    ends[right - 1] = ends[right]
+                    del starts[right], ends[right], codes[right]
+        return pd.DataFrame({VIDEO: runs[VIDEO].iloc[0] if len(runs) else 0, "pause_id": runs["pause_id"].iloc[0] if len(runs) else 0, "start": starts, "end": ends, "code": codes})
 
     touched = edits.select(VIDEO, "pause_id").distinct()
-    some = mask.join(touched, [VIDEO, "pause_id"], "left_semi").select(VIDEO, FRAME, "pause_id", "code")
+    some = run_bounds(mask.join(touched, [VIDEO, "pause_id"], "left_semi"), ["code"], (VIDEO, "pause_id"))
     rest = mask.join(touched, [VIDEO, "pause_id"], "left_anti").select(VIDEO, FRAME, "pause_id", "code")
-    done = some.groupBy(VIDEO, "pause_id").cogroup(edits.select(VIDEO, "pause_id", "seq", FRAME).groupBy(VIDEO, "pause_id")).applyInPandas(fold, f"{VIDEO} long, {FRAME} long, pause_id int, code tinyint")
-    return rest.unionByName(done)
+    log = edits.select(VIDEO, "pause_id", "seq", FRAME).groupBy(VIDEO, "pause_id")
+    done = some.groupBy(VIDEO, "pause_id").cogroup(log).applyInPandas(fold, f"{VIDEO} long, pause_id int, start long, end long, code tinyint")
+    return rest.unionByName(spread(done).select(VIDEO, FRAME, "pause_id", "code"))
 
 
 def trim_handles(clips: DataFrame, edits: DataFrame) -> DataFrame:

@@ -16,16 +16,19 @@ BUCKET = 1_024
 
 
 def run_bounds(rows: DataFrame, by: list[str], keys: tuple[str, ...] = (VIDEO,), order: str = FRAME, chunk: int = CHUNK) -> DataFrame:
-    """Maximal runs of consecutive `order` values with equal `by`: keys, by, start, end (inclusive)."""
+    """Maximal runs of consecutive `order` values with equal `by`: keys, by, start, end (inclusive).
+
+    Repeated rows count once. Where one `order` value has rows of several `by`, each of these is a run of its own there or ends one.
+    """
     at = F.col(order)
     number = F.floor(at / chunk).cast("long")
     # the last row of a chunk also stands before the next chunk, and the first one after the one before
     homes = F.filter(F.array(number, F.when(at % chunk == chunk - 1, number + 1), F.when((at % chunk == 0) & (at > 0), number - 1)), lambda c: c.isNotNull())
     dealt = rows.select(*keys, order, *by, F.explode(homes).alias("_chunk"))
-    w = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(order, *by)
 
     def breaks(shift, step: int) -> Column:
-        out = shift(at).over(w).isNull() | (shift(at).over(w) != at + step)
+        out = shift(at).over(w).isNull() | ~shift(at).over(w).isin(at, at + step)
         for c in by:
             out = out | ~shift(F.col(c)).over(w).eqNullSafe(F.col(c))
         return out
@@ -41,8 +44,17 @@ def spread(intervals: DataFrame, start: str = "start", end: str = "end", out: st
     return intervals.where(F.col(start) <= F.col(end)).withColumn(out, F.explode(F.sequence(F.col(start), F.col(end))))
 
 
+def first_wins(intervals: DataFrame, key: str = VIDEO, start: str = "start", end: str = "end") -> DataFrame:
+    """Inclusive intervals without overlaps: where several hold a point, it stays with the one that starts first (of equals, that ends first).
+
+    Earlier intervals reach into a later one from its start, so each keeps what lies beyond their furthest end.
+    """
+    before = F.max(end).over(Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
+    return intervals.withColumn(start, F.greatest(F.col(start), F.coalesce(before + 1, F.col(start)))).where(F.col(start) <= F.col(end))
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, how: str = "inner", at: str = FRAME, key: str = VIDEO, start: str = "start", end: str = "end", bucket: int = BUCKET) -> DataFrame:
-    """Points with the intervals (inclusive) of their key that hold them: an equi-join on buckets of the axis, then a filter."""
+    """Points with the intervals (inclusive) of their key that hold them, one row for each (see first_wins): an equi-join on buckets of the axis, then a filter."""
     cut = intervals.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket)))).withColumnRenamed(key, "_key")
     dealt = points.withColumn("_at_bucket", F.floor(F.col(at) / bucket))
     inside = (F.col(key) == F.col("_key")) & (F.col("_at_bucket") == F.col("_bucket")) & F.col(at).between(F.col(start), F.col(end))

@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import state_step
 from ..schema import FRAME, VIDEO
-from .islands import interval_join
+from .islands import first_wins, interval_join
 
 
 def segment_lookup(probes: DataFrame, pause_segments: DataFrame, speeds: DataFrame) -> DataFrame:
-    """Every probe (probe_id, video_id, frame_idx) with what it is in: a pause (id, mode, boundary diff), else a speed run, else nothing."""
-    paused = interval_join(probes, pause_segments.select(VIDEO, "pause_id", "mode", "boundary_diff", "start", "end"), "left").drop("start", "end")
-    found = interval_join(paused, speeds.select(VIDEO, "type", "start", "end"), "left").drop("start", "end")
+    """Every probe (probe_id, video_id, frame_idx) with what it is in: a pause (id, mode, boundary diff), else a speed run, else nothing. Of overlapping segments the first one counts."""
+    paused = interval_join(probes, first_wins(pause_segments.select(VIDEO, "pause_id", "mode", "boundary_diff", "start", "end")), "left").drop("start", "end")
+    found = interval_join(paused, first_wins(speeds.select(VIDEO, "type", "start", "end")), "left").drop("start", "end")
     kind = F.when(F.col("pause_id").isNotNull(), "pause").when(F.col("type").isNotNull(), "speed").otherwise("normal")
     return found.select("probe_id", VIDEO, FRAME, kind.alias("kind"), "pause_id", "mode", "boundary_diff", F.when(F.col("pause_id").isNull(), F.col("type")).alias("type"))
 
 
 def speed_step(probes: DataFrame, speeds: DataFrame, speedup_1x: bool, speedup_02: bool, factor_02: int) -> DataFrame:
-    """Frames that playback advances at every probe."""
-    met = interval_join(probes, speeds.select(VIDEO, "type", "start", "end"), "left")
+    """Frames that playback advances at every probe. Of overlapping segments the first one counts."""
+    met = interval_join(probes, first_wins(speeds.select(VIDEO, "type", "start", "end")), "left")
     return met.select("probe_id", VIDEO, FRAME, F.coalesce(state_step(F.col("type"), speedup_1x, speedup_02, factor_02), F.lit(1)).alias("step"))
 
 

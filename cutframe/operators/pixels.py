@@ -6,15 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pixels as kernel
 from ..functions.scalar import clipped_size
 from ..schema import CLASSES, FRAME, NORMAL, PAUSE, SPEED_02X, SPEED_1X, SPEED_2X, VIDEO, Params
 
-#: Most templates that are shipped to the tasks.
-MAX_TEMPLATES = 10_000
+#: Most templates that are shipped to the tasks, and most pixels of all of them.
+MAX_TEMPLATES, MAX_PIXELS = 10_000, 20_000_000
 
 
 def area_resize(frames: DataFrame, out_w: int, out_h: int) -> DataFrame:
@@ -22,21 +22,25 @@ def area_resize(frames: DataFrame, out_w: int, out_h: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [kernel.area_resize(kernel.plane(px, w, h)[None], out_w, out_h)[0].ravel().astype(np.int32) for px, w, h in zip(batch["px"], batch["w"], batch["h"])]
-            yield pd.DataFrame({VIDEO: batch[VIDEO], FRAME: batch[FRAME], "w": np.int32(out_w), "h": np.int32(out_h), "px": pd.Series(out, index=batch.index, dtype=object)})
+            for (w, h), rows in batch.groupby(["w", "h"], sort=False):
+                planes = kernel.area_resize(np.stack([kernel.plane(px, w, h) for px in rows["px"]]), out_w, out_h)
+                out = list(planes.reshape(len(rows), -1).astype(np.int32))
+                yield pd.DataFrame({VIDEO: rows[VIDEO], FRAME: rows[FRAME], "w": np.int32(out_w), "h": np.int32(out_h), "px": pd.Series(out, index=rows.index, dtype=object)})
 
     return frames.select(VIDEO, FRAME, "w", "h", "px").mapInPandas(run, f"{VIDEO} long, {FRAME} long, w int, h int, px array<int>")
 
 
 def chunked_frame_diff(frames: DataFrame, chunk: int = 256) -> DataFrame:
-    """Mean absolute difference to the frame before, as float; frames (w, h, px) are numbered without gaps.
+    """Mean absolute difference to the frame before that is there, as float; 0 at a video's first frame, whatever frames are missing.
 
-    A video is cut into chunks, each with the last frame of the one before, so that pixels are neither sorted nor
-    gathered by whole videos.
+    A video is cut into chunks, each with the last frame of the one before that has any, so that pixels are neither sorted nor
+    gathered by whole videos. Which frames these are comes from a scan of the frame numbers alone.
     """
-    number = F.floor(F.col(FRAME) / chunk)
-    homes = F.when(F.col(FRAME) % chunk == chunk - 1, F.array(number, number + 1)).otherwise(F.array(number))
-    dealt = frames.select(VIDEO, FRAME, "px", F.explode(homes).alias("chunk"))
+    number = F.floor(F.col(FRAME) / chunk).alias("_chunk")
+    ends = frames.groupBy(VIDEO, number).agg(F.max(FRAME).alias(FRAME)).withColumn("_next", F.lead("_chunk").over(Window.partitionBy(VIDEO).orderBy("_chunk")))
+    marked = frames.select(VIDEO, FRAME, "px").join(ends.where("_next IS NOT NULL").select(VIDEO, FRAME, "_next"), [VIDEO, FRAME], "left")
+    homes = F.filter(F.array(number, F.col("_next")), lambda c: c.isNotNull())
+    dealt = marked.select(VIDEO, FRAME, "px", F.explode(homes).alias("chunk"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(FRAME, ignore_index=True)
@@ -50,9 +54,10 @@ def chunked_frame_diff(frames: DataFrame, chunk: int = 256) -> DataFrame:
 
 def _shipped(templates: DataFrame) -> dict[str, list[dict]]:
     """Templates (class, roi_x, roi_y, roi_w, roi_h, t_w, t_h, t, m) by class, as arrays."""
-    rows = templates.limit(MAX_TEMPLATES + 1).collect()
-    if len(rows) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    held = templates.agg(F.count(F.lit(1)), F.sum(F.col("t_w").cast("long") * F.col("t_h"))).first()
+    if held[0] > MAX_TEMPLATES or (held[1] or 0) > MAX_PIXELS:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates or {MAX_PIXELS} pixels of templates")
+    rows = templates.collect()
     by: dict[str, list[dict]] = {c: [] for c in CLASSES}
     for r in rows:
         by[r["class"]].append({"x": r["roi_x"], "y": r["roi_y"], "w": r["roi_w"], "h": r["roi_h"], "t": np.array(r["t"]).reshape(r["t_h"], r["t_w"]), "m": np.array(r["m"]).reshape(r["t_h"], r["t_w"])})

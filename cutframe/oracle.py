@@ -27,7 +27,7 @@ PARTS = {
         SELECT label AS template_id, CASE label % 4 WHEN 0 THEN 'pause' WHEN 1 THEN 'speed_1x' WHEN 2 THEN 'speed_2x' ELSE 'speed_0_2x' END AS class,
                src, t, list_transform(t, lambda v: CASE WHEN v > 100 THEN 1 ELSE 0 END) AS m FROM t""",
     "with_total": "SELECT event_id, user_id AS video_id, total FROM events JOIN fx_catalog ON user_id = video_id",
-    "fx_probes": "SELECT event_id AS probe_id, video_id, (event_id * 31) % total AS frame_idx FROM with_total WHERE event_id % 5 = 2",
+    "fx_probes": "SELECT event_id AS probe_id, video_id, (event_id * 31) % total AS frame_idx FROM with_total",
     "fx_delete_set": "SELECT DISTINCT video_id, (event_id * 11) % (total + 50) - 25 AS frame_idx FROM with_total WHERE event_id % 7 = 0",
     "fx_mode_edits": """
         SELECT video_id, event_id AS seq, (event_id * 37) % total AS frame_idx,
@@ -113,7 +113,25 @@ PARTS = {
     "edited_modes": """
         SELECT p.*, coalesce(x.mode2, p.mode) AS new_mode FROM moded p LEFT JOIN (
             SELECT p.video_id, p.pause_id, arg_max(d.mode, d.seq) AS mode2 FROM pauses p JOIN fx_mode_edits d ON p.video_id = d.video_id AND frame_idx BETWEEN s AND e GROUP BY p.video_id, p.pause_id) x USING (video_id, pause_id)""",
+    "toggle_moves": """
+        SELECT p.video_id, p.pause_id, frame_idx - s + 1 AS k, row_number() OVER (PARTITION BY p.video_id, p.pause_id ORDER BY seq) AS n
+        FROM fx_toggle_edits d JOIN moded p ON p.video_id = d.video_id AND frame_idx BETWEEN s AND e WHERE mode = 'auto'""",
+    "toggle_starts": "SELECT video_id, pause_id, CAST(0 AS BIGINT) AS n, list(CAST(code AS INT) ORDER BY frame_idx) AS codes FROM mask WHERE (video_id, pause_id) IN (SELECT video_id, pause_id FROM toggle_moves) GROUP BY video_id, pause_id",
+    "toggled": """
+        WITH last AS (SELECT video_id, pause_id, arg_max(codes, n) AS codes FROM toggling GROUP BY video_id, pause_id)
+        SELECT m.video_id, m.frame_idx, m.pause_id, CAST(coalesce(codes[m.frame_idx - p.s + 1], code) AS TINYINT) AS code
+        FROM mask m JOIN pauses p USING (video_id, pause_id) LEFT JOIN last USING (video_id, pause_id)""",
+    "px_runs": """
+        SELECT video_id, state, min(frame_idx) AS s, max(frame_idx) AS e
+        FROM (SELECT *, frame_idx - row_number() OVER (PARTITION BY video_id, state ORDER BY frame_idx) AS g FROM states) GROUP BY video_id, state, g""",
 }
+_TOGGLES = """toggling AS (
+    SELECT * FROM toggle_starts
+    UNION ALL
+    SELECT t.video_id, t.pause_id, m.n,
+           list_transform(range(1, len(codes) + 1), lambda i: CASE WHEN i > coalesce(list_max(list_filter(range(1, k), lambda j: codes[j] <> codes[k])), 0)
+               AND i < coalesce(list_min(list_filter(range(k + 1, len(codes) + 1), lambda j: codes[j] <> codes[k])), len(codes) + 1) THEN CASE WHEN codes[k] IN (0, 3) THEN 2 ELSE 3 END ELSE codes[i] END)
+    FROM toggling t JOIN toggle_moves m ON m.video_id = t.video_id AND m.pause_id = t.pause_id AND m.n = t.n + 1)"""
 _HANDLES = """handles AS (
     SELECT video_id, clip_id, s, e, CAST(0 AS BIGINT) AS n, s AS ki, e AS ko FROM clips
     UNION ALL
@@ -122,6 +140,9 @@ _HANDLES = """handles AS (
            CASE WHEN m.side = 'out' THEN least(h.e, greatest(m.tf, h.s - 1)) WHEN greatest(h.s, least(m.tf, h.e + 1)) > h.ko THEN least(greatest(h.s, least(m.tf, h.e + 1)) - 1, h.e) ELSE h.ko END
     FROM handles h JOIN clip_moves m ON m.video_id = h.video_id AND m.clip_id = h.clip_id AND m.n = h.n + 1)"""
 
+#: Recursive parts that stand before the parts that use them.
+RECURSIVE = {"edited_clips": _HANDLES, "toggled": _TOGGLES}
+
 _LABEL = "CASE {s} WHEN 3 THEN '2x' WHEN 2 THEN '1x' WHEN 4 THEN '0.2x' ELSE 'other' END"
 
 
@@ -162,12 +183,12 @@ def sql(body: str, extra: str = "") -> str:
         for name in PARTS:
             if name not in need and re.search(rf"\b{name}\b", text):
                 need.add(name)
-                add(PARTS[name] + (_HANDLES if name == "edited_clips" else ""))
+                add(PARTS[name] + RECURSIVE.get(name, ""))
 
     add(body + extra)
     ctes = []
     for name in (n for n in PARTS if n in need):
-        ctes += [_HANDLES] * (name == "edited_clips") + [f"{name} AS ({PARTS[name]})"]
+        ctes += ([RECURSIVE[name]] if name in RECURSIVE else []) + [f"{name} AS ({PARTS[name]})"]
     ctes += [extra] * bool(extra)
     return f"WITH RECURSIVE {', '.join(ctes)} {body}" if ctes else body
 
@@ -209,6 +230,18 @@ ORACLE = {
     "segment_lookup": sql("""
         SELECT probe_id, q.video_id, frame_idx, CASE WHEN pause_id IS NOT NULL THEN 'pause' WHEN type IS NOT NULL THEN 'speed' ELSE 'normal' END AS kind, pause_id, mode, bd AS boundary_diff, type
         FROM fx_probes q LEFT JOIN moded p ON p.video_id = q.video_id AND frame_idx BETWEEN p.s AND p.e LEFT JOIN speeds v ON v.video_id = q.video_id AND frame_idx BETWEEN v.s AND v.e"""),
+    "segment_lookup_overlapping": sql("""
+        SELECT probe_id, CASE WHEN any_value(p.pause_id) IS NOT NULL THEN 'pause' WHEN any_value(type) IS NOT NULL THEN 'speed' ELSE 'normal' END AS kind, arg_min(p.pause_id, p.s) AS pause_id
+        FROM fx_probes q LEFT JOIN pauses p ON p.video_id = q.video_id AND frame_idx BETWEEN p.s AND p.e + 40 LEFT JOIN speeds v ON v.video_id = q.video_id AND frame_idx BETWEEN v.s AND v.e GROUP BY probe_id"""),
+    "frame_diff_over_gaps": sql("""
+        SELECT video_id, frame_idx, CAST(coalesce(list_sum(list_transform(list_zip(px, b), lambda z: abs(z[1] - z[2]))) / 64.0::DOUBLE, 0) AS FLOAT) AS diff
+        FROM (SELECT *, lag(px) OVER (PARTITION BY video_id ORDER BY frame_idx) AS b FROM fx_pixels WHERE NOT frame_idx BETWEEN 10 AND 24 AND frame_idx % 7 <> 3)"""),
+    "analysis_from_pixels": sql("SELECT video_id, frame_idx, state, diff FROM states JOIN pixel_diffs USING (video_id, frame_idx)"),
+    "boundary_diff_pixels": sql("""
+        SELECT r.video_id, CAST(row_number() OVER (PARTITION BY r.video_id ORDER BY s) - 1 AS INT) AS pause_id, s AS "start", e AS "end",
+               coalesce(list_sum(list_transform(list_zip(a.px, b.px), lambda z: abs(z[1] - z[2]))) / 64.0::DOUBLE, 0) AS boundary_diff, a.px IS NOT NULL AND b.px IS NOT NULL AS "both"
+        FROM px_runs r JOIN (SELECT video_id, max(frame_idx) AS z FROM states GROUP BY video_id) l USING (video_id)
+        LEFT JOIN fx_pixels a ON a.video_id = r.video_id AND a.frame_idx = greatest(s - 1, 0) LEFT JOIN fx_pixels b ON b.video_id = r.video_id AND b.frame_idx = least(e + 1, z) WHERE state = 1"""),
     "speed_step": sql("SELECT probe_id, q.video_id, q.frame_idx, CASE state WHEN 2 THEN 2 WHEN 4 THEN 10 ELSE 1 END AS step FROM fx_probes q JOIN fx_frames f USING (video_id, frame_idx)"),
     "drop_deleted": sql("SELECT f.video_id, f.frame_idx FROM fx_frames f WHERE NOT EXISTS (SELECT 1 FROM fx_delete_set d WHERE d.video_id = f.video_id AND d.frame_idx = f.frame_idx)"),
     "segment_frames": sql("SELECT video_id, seg_no, CAST(r - 1 AS INT) AS range_no, frame_idx FROM w WHERE NOT after_gap", _SUMMARY),
@@ -266,6 +299,12 @@ ORACLE = {
             SELECT m.*, m.frame_idx - row_number() OVER (PARTITION BY m.video_id, m.pause_id, code ORDER BY m.frame_idx) AS g, x.frame_idx IS NOT NULL AS hit FROM mask m LEFT JOIN (
                 SELECT p.video_id, p.pause_id, arg_min(frame_idx, seq) AS frame_idx FROM fx_toggle_edits d JOIN moded p ON p.video_id = d.video_id AND frame_idx BETWEEN s AND e WHERE mode = 'auto' GROUP BY p.video_id, p.pause_id) x
             ON x.video_id = m.video_id AND x.pause_id = m.pause_id AND x.frame_idx = m.frame_idx)"""),
+    "toggle_blocks": sql("SELECT * FROM toggled"),
+    "bulk_masks": sql("SELECT video_id, frame_idx, pause_id, code FROM mask"),
+    "single_masks": sql("""
+        SELECT t.video_id, t.frame_idx, t.pause_id, CASE WHEN a.pause_id IS NOT NULL THEN m.code ELSE t.code END AS code FROM toggled t JOIN mask m USING (video_id, pause_id, frame_idx)
+        LEFT JOIN (SELECT DISTINCT p.video_id, p.pause_id FROM pauses p JOIN fx_mode_edits d ON p.video_id = d.video_id AND frame_idx BETWEEN s AND e WHERE d.mode = 'auto') a
+        ON a.video_id = t.video_id AND a.pause_id = t.pause_id"""),
     "trim_handles": sql('SELECT video_id, clip_id, s AS "start", e AS "end", ki AS keep_in, ko AS keep_out FROM edited_clips'),
     "stream_frame_diff": sql("SELECT * FROM pixel_diffs"),
     "stream_runs": sql('SELECT video_id, state, s AS "start", e AS "end" FROM runs'),

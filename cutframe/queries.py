@@ -120,13 +120,22 @@ class Inputs:
     def scores(self) -> DataFrame:
         return pixels.class_scores(self.pixels, self.templates)
 
+    @cached_property
+    def toggled(self) -> DataFrame:
+        """Masks after all toggles of pauses in mode auto."""
+        auto = self.found.pauses.where(F.col("mode") == MODE_AUTO)
+        return edits.toggle_blocks(self.found.mask, edits.edited_pauses(self.toggle_edits, auto))
+
     @cached_property
     def summary(self) -> DataFrame:
         return export.segment_summary(self.numbered, self.present)
 
     def folder(self, name: str) -> str:
         """A new folder that executors share with the driver."""
-        root = self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-cutframe-")
+        root, master = self.spark.conf.get("spark.checkpoint.dir", None), self.spark.sparkContext.master
+        if not root and not master.startswith("local[") and master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = root or tempfile.mkdtemp(prefix="spark-cutframe-")
         return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
@@ -257,6 +266,27 @@ def frame_diff_chunked(x: Inputs) -> DataFrame:
     return pixels.chunked_frame_diff(x.pixels, 16)
 
 
+@query
+def frame_diff_over_gaps(x: Inputs) -> DataFrame:
+    """Frames 10 to 24 and every seventh are lost: whole chunks, and frames at their ends."""
+    there = x.pixels.where(~F.col(FRAME).between(10, 24) & (F.col(FRAME) % 7 != 3))
+    return pixels.chunked_frame_diff(there, 4)
+
+
+@query
+def analysis_from_pixels(x: Inputs) -> DataFrame:
+    """Frames and templates to facts: state and difference of every frame."""
+    return timeline.analyze(x.pixels, x.templates, PARAMS).select(VIDEO, FRAME, "state", "diff")
+
+
+@query
+def boundary_diff_pixels(x: Inputs) -> DataFrame:
+    """Pauses of the analysed frames, with the difference of the whole frames around them."""
+    facts = x.stored("pixel_facts", lambda: timeline.analyze(x.pixels, x.templates, PARAMS))
+    catalog = facts.groupBy(VIDEO).agg((F.max(FRAME) + 1).alias("total"))
+    return segments.boundary_diff(segments.pauses(segments.state_runs(facts)), catalog, x.pixels, scalar.pixel_mad, "px")
+
+
 # Segments
 
 
@@ -428,6 +458,13 @@ def segment_lookup(x: Inputs) -> DataFrame:
     return lookup.segment_lookup(x.probes, x.found.pauses, x.found.speeds)
 
 
+@query
+def segment_lookup_overlapping(x: Inputs) -> DataFrame:
+    """Pauses that reach 40 frames further, into those after them: the first one counts."""
+    longer = x.found.pauses.withColumn("end", F.col("end") + 40)
+    return lookup.segment_lookup(x.probes, longer, x.found.speeds).select("probe_id", "kind", "pause_id")
+
+
 @query
 def speed_step(x: Inputs) -> DataFrame:
     return lookup.speed_step(x.probes, x.found.speeds, True, True, PARAMS.speedup_02_factor)
@@ -534,8 +571,19 @@ def toggle_block(x: Inputs) -> DataFrame:
 
 @query
 def toggle_blocks(x: Inputs) -> DataFrame:
-    auto = x.found.pauses.where(F.col("mode") == MODE_AUTO)
-    return edits.toggle_blocks(x.found.mask, edits.edited_pauses(x.toggle_edits, auto))
+    return x.toggled
+
+
+@query
+def bulk_masks(x: Inputs) -> DataFrame:
+    """Toggled masks, all set to auto again: manual codes are forgotten."""
+    return edits.bulk_masks(x.toggled, x.found.pauses, x.facts, x.catalog, MODE_AUTO, PARAMS)
+
+
+@query
+def single_masks(x: Inputs) -> DataFrame:
+    """Toggled masks after single edits: pauses that were set to auto are computed anew, the others keep their codes."""
+    return edits.single_masks(x.toggled, x.found.pauses, x.mode_edits, x.facts, x.catalog, PARAMS)
 
 
 @query

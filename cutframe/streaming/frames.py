@@ -1,7 +1,9 @@
 """Streaming forms of the frame operators, for frames that arrive in micro-batches, in any order within reach.
 
 Each video keeps the next index it expects and the frames that came too early; frames below it are late or
-repeated and are dropped. A video's state is one frame, its early frames and its open run.
+repeated and are dropped. At most `max_early` frames wait: with more, the missing ones before them count as lost, and the
+video goes on after the gap as the batch forms do (the difference is to the last frame there was, a run ends at the gap). A
+video's state is one frame, its early frames and its open run.
 """
 
 from __future__ import annotations
@@ -17,37 +19,50 @@ from ..operators.pixels import _shipped, classify, scorer, scores_schema
 from ..schema import FRAME, VIDEO, Params
 
 
-def _in_order(rows: dict, expected: int) -> tuple[list, dict, int]:
-    """Rows by index that follow `expected` without a gap, those still too early, and the next index."""
+#: Frames of a video that wait for the ones before them.
+MAX_EARLY = 1024
+
+
+def _in_order(rows: dict, expected: int, max_early: int) -> tuple[list, dict, int]:
+    """Rows by index that follow `expected` without a gap (or after one that is given up), those still too early, and the next index."""
     ready = []
-    while expected in rows:
-        ready.append((expected, rows.pop(expected)))
-        expected += 1
-    return ready, {k: v for k, v in rows.items() if k > expected}, expected
+    while True:
+        while expected in rows:
+            ready.append((expected, rows.pop(expected)))
+            expected += 1
+        if len(rows) <= max_early:
+            return ready, rows, expected
+        expected = min(rows)
+
+
+def _raw(px) -> bytes:
+    """A frame's pixels as bytes, from BINARY or from an array of numbers."""
+    return bytes(px) if isinstance(px, (bytes, bytearray, memoryview)) else np.asarray(px).astype(np.uint8).tobytes()
 
 
-def stream_frame_diff(frames: DataFrame) -> DataFrame:
+def stream_frame_diff(frames: DataFrame, max_early: int = MAX_EARLY) -> DataFrame:
     """video_id, frame_idx, diff of a stream of (video_id, frame_idx, px): the frame before may lie in an earlier batch."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expected, before, early_at, early_px = state.get if state.exists else (0, [], [], [])
+        expected, before, early_at, early_px = state.get if state.exists else (0, b"", [], [])
         rows = dict(zip(early_at, early_px))
         for batch in batches:
             for at, px in zip(batch[FRAME].tolist(), batch["px"]):
                 if at >= expected:
-                    rows.setdefault(at, [int(x) for x in px])
-        ready, early, expected = _in_order(rows, expected)
+                    rows.setdefault(at, _raw(px))
+        ready, early, expected = _in_order(rows, expected, max_early)
         diffs = []
         for _, px in ready:
-            diffs.append(np.float32(np.abs(np.subtract(px, before)).sum() / len(px)) if len(before) else np.float32(0))
+            now = np.frombuffer(px, np.uint8).astype(np.int16)
+            diffs.append(np.float32(np.abs(now - np.frombuffer(before, np.uint8)).sum() / len(now)) if before else np.float32(0))
             before = px
-        state.update((expected, list(before), list(early), list(early.values())))
+        state.update((expected, before, list(early), list(early.values())))
         yield pd.DataFrame({VIDEO: pd.Series([key[0]] * len(ready), dtype="int64"), FRAME: pd.Series([at for at, _ in ready], dtype="int64"), "diff": pd.Series(diffs, dtype="float32")})
 
-    return frames.select(VIDEO, FRAME, "px").groupBy(VIDEO).applyInPandasWithState(step, f"{VIDEO} long, {FRAME} long, diff float", "expected long, before array<int>, early_at array<long>, early_px array<array<int>>", "append", GroupStateTimeout.NoTimeout)
+    return frames.select(VIDEO, FRAME, "px").groupBy(VIDEO).applyInPandasWithState(step, f"{VIDEO} long, {FRAME} long, diff float", "expected long, before binary, early_at array<long>, early_px array<binary>", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_runs(facts: DataFrame) -> DataFrame:
+def stream_runs(facts: DataFrame, max_early: int = MAX_EARLY) -> DataFrame:
     """video_id, state, start, end of a stream of (video_id, frame_idx, state, last): a run goes out when it ends; the row with `last` ends the video's."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,16 +72,18 @@ def stream_runs(facts: DataFrame) -> DataFrame:
             for at, s, e in zip(batch[FRAME].tolist(), batch["state"].tolist(), batch["last"].tolist()):
                 if at >= expected:
                     rows.setdefault(at, (int(s), bool(e)))
-        ready, early, expected = _in_order(rows, expected)
+        before = expected - 1  # the last frame there was
+        ready, early, expected = _in_order(rows, expected, max_early)
         runs = []
         for at, (s, last) in ready:
-            if s != now:
+            if s != now or at != before + 1:
                 if now >= 0:
-                    runs.append((key[0], now, start, at - 1))
+                    runs.append((key[0], now, start, before))
                 now, start = s, at
             if last:
                 runs.append((key[0], now, start, at))
                 now = -1
+            before = at
         state.update((expected, now, start, list(early), [s for s, _ in early.values()], [e for _, e in early.values()]))
         out = pd.DataFrame(runs, columns=[VIDEO, "state", "start", "end"])
         yield out.astype({VIDEO: "int64", "state": "int8", "start": "int64", "end": "int64"})

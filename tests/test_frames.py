@@ -17,6 +17,7 @@ from cutframe.operators.islands import interval_join, run_bounds
 from cutframe.plans import timeline
 from cutframe.schema import Params
 from cutframe.sources import sinks, tables
+from cutframe.streaming import frames as streams
 
 FACTS = "video_id long, frame_idx long, state tinyint, diff float, signal long"
 
@@ -468,3 +469,54 @@ def test_ncc_against_a_loop(th, tw, whole, seed):
             assert found[y, x] == pytest.approx((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()), abs=1e-9)
         else:
             assert np.isnan(found[y, x])
+
+
+# Overlaps, repeated frames, gaps
+
+
+def test_the_first_of_overlapping_segments_wins(spark):
+    rng = random.Random(6)
+    pauses = sorted({(s, s + rng.randrange(60)) for s in (rng.randrange(300) for _ in range(25))})
+    rows = [(1, i, "auto", 0.0, s, e) for i, (s, e) in enumerate(pauses)]
+    held = spark.createDataFrame(rows, "video_id long, pause_id int, mode string, boundary_diff double, start long, end long")
+    speeds = spark.createDataFrame([(1, 2, 0, 400), (1, 4, 100, 200)], "video_id long, type tinyint, start long, end long")
+    probes = spark.createDataFrame([(i, 1, i) for i in range(400)], "probe_id long, video_id long, frame_idx long")
+    found = lookup.segment_lookup(probes, held, speeds).collect()
+    assert len(found) == 400
+    for r in found:
+        want = next((i for i, (s, e) in enumerate(pauses) if s <= r["frame_idx"] <= e), None)
+        assert r["pause_id"] == want and r["kind"] == ("speed" if want is None else "pause") and r["type"] == (2 if want is None else None)
+    assert {r["step"] for r in lookup.speed_step(probes, speeds, True, True, 10).collect()} == {2}
+
+
+def test_repeated_frames_count_once(spark):
+    facts = spark.createDataFrame([(1, f, s, 0.0, 0) for f, s in ((0, 1), (0, 1), (1, 1), (1, 1), (2, 1), (3, 0), (5, 0), (5, 0))], FACTS)
+    for chunk in (2, 4, 100):
+        assert rows_of(run_bounds(facts, ["state"], chunk=chunk), "state", "start", "end") == [(0, 3, 3), (0, 5, 5), (1, 0, 2)]
+
+
+def test_differences_over_gaps(spark):
+    there = [0, 1, 5, 6, 7, 30, 31, 64]
+    frames = spark.createDataFrame([(1, f, 1, 1, [f * 3]) for f in there], "video_id long, frame_idx long, w int, h int, px array<int>")
+    want = [(f, float(3 * (f - b))) for b, f in zip([there[0], *there], there)]
+    for chunk in (1, 2, 4, 16, 256):
+        assert rows_of(pixels.chunked_frame_diff(frames, chunk), "frame_idx", "diff") == want
+    assert rows_of(segments.frame_diff(frames), "frame_idx", "diff") == want
+
+
+@pytest.mark.parametrize("payload", ["array<int>", "binary"])
+def test_streams_go_on_after_lost_frames(spark, tmp_path, payload):
+    there = [0, 1, 2, 6, 7, 9]
+    rows = [(1, f, [f * 3, 1] if payload != "binary" else bytearray([f * 3, 1]), 1, f == 9) for f in there]
+    frames = spark.createDataFrame(rows, f"video_id long, frame_idx long, px {payload}, state int, last boolean")
+    frames.coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def run(name, operator, max_early):
+        arriving = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in"))
+        streams.run_to_end(operator(arriving, max_early), str(tmp_path / name), str(tmp_path / f"{name}-state"))
+        return spark.read.parquet(str(tmp_path / name))
+
+    assert rows_of(run("all", streams.stream_frame_diff, 0), "frame_idx", "diff") == [(0, 0.0), (1, 1.5), (2, 1.5), (6, 6.0), (7, 1.5), (9, 3.0)]
+    assert rows_of(run("waiting", streams.stream_frame_diff, 3), "frame_idx", "diff") == [(0, 0.0), (1, 1.5), (2, 1.5)]
+    assert rows_of(run("one", streams.stream_frame_diff, 2), "frame_idx", "diff") == [(0, 0.0), (1, 1.5), (2, 1.5), (6, 6.0), (7, 1.5)]
+    assert rows_of(run("runs", streams.stream_runs, 0), "start", "end") == [(0, 2), (6, 7), (9, 9)]
