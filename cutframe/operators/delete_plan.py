@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import AUTO_DELETE, FRAME, MANUAL_DELETE, MODE_ALL, MODE_AUTO, SPEED_02X, SPEED_1X, VIDEO, Params
-from .islands import run_bounds, spread
+from .islands import BUCKET, run_bounds, spread
+
+#: Stretch of BUCKET frames that a frame is in.
+SLOT = "_slot"
 
 
 def pause_delete_rows(pause_segments: DataFrame, mask: DataFrame) -> DataFrame:
@@ -29,10 +32,17 @@ def clip_delete_rows(clips: DataFrame) -> DataFrame:
     return spread(clip_intervals(clips)).select(VIDEO, FRAME)
 
 
+def _marked(facts: DataFrame, deletes: DataFrame) -> DataFrame:
+    """(video_id, _bucket, frame_idx, state, del), dealt by (video_id, _bucket): frames and deletes of a stretch meet in one shuffle, in place of a distinct and a join."""
+    kept = facts.select(VIDEO, FRAME, "state", F.lit(False).alias("del"))
+    gone = deletes.select(VIDEO, FRAME, F.lit(None).cast("tinyint").alias("state"), F.lit(True).alias("del"))
+    dealt = kept.unionByName(gone).withColumn(SLOT, F.floor(F.col(FRAME) / BUCKET)).repartition(VIDEO, SLOT)
+    return dealt.groupBy(VIDEO, SLOT, FRAME).agg(F.max("state").alias("state"), F.bool_or("del").alias("del")).where("state IS NOT NULL")
+
+
 def mark_deletes(facts: DataFrame, deletes: DataFrame) -> DataFrame:
-    """`facts` with a boolean column del."""
-    gone = deletes.select(VIDEO, FRAME).distinct().withColumn("_gone", F.lit(True))
-    return facts.join(gone, [VIDEO, FRAME], "left").withColumn("del", F.coalesce("_gone", F.lit(False))).drop("_gone")
+    """(video_id, frame_idx, state) with a boolean column del; repeated frames count once."""
+    return _marked(facts, deletes).drop(SLOT)
 
 
 def decimate(plan: DataFrame, factors: dict[int, int]) -> DataFrame:
@@ -48,23 +58,36 @@ def speed_ups(params: Params) -> dict[int, int]:
     return out | ({SPEED_02X: params.speedup_02_factor} if params.speedup_02 and params.speedup_02_factor > 1 else {})
 
 
+def _deletes(pause_segments: DataFrame, mask: DataFrame, clips: DataFrame) -> DataFrame:
+    return pause_delete_rows(pause_segments, mask).unionByName(clip_delete_rows(clips))
+
+
 def base_plan(facts: DataFrame, pause_segments: DataFrame, mask: DataFrame, clips: DataFrame) -> DataFrame:
     """(video_id, frame_idx, state, del): deletes of pauses and clips."""
-    return mark_deletes(facts.select(VIDEO, FRAME, "state"), pause_delete_rows(pause_segments, mask).unionByName(clip_delete_rows(clips)))
+    return mark_deletes(facts, _deletes(pause_segments, mask, clips))
 
 
 def with_speed_ups(plan: DataFrame, params: Params) -> DataFrame:
-    """A base plan with the frames that speed-ups drop. The states' runs do not overlap, so one pass serves all of them."""
+    """A base plan with the frames that speed-ups drop. The states' runs do not overlap, so one pass serves all of them.
+
+    The runs meet the frames as an array for each stretch of `BUCKET` frames; which frame of a run stays is arithmetic on the run's start.
+    """
     factors = speed_ups(params)
     if not factors:
-        return plan
-    extra = decimate(plan, factors)
-    return mark_deletes(plan.withColumnRenamed("del", "_del"), extra).select(VIDEO, FRAME, "state", (F.col("del") | F.col("_del")).alias("del"))
+        return plan.select(VIDEO, FRAME, "state", "del")
+    factor = F.coalesce(*(F.when(F.col("state") == s, n) for s, n in factors.items()))
+    runs = run_bounds(plan.where(F.col("state").isin(*factors) & ~F.col("del")).select(VIDEO, FRAME, "state"), ["state"])
+    cut = runs.withColumn(SLOT, F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))))
+    held = cut.groupBy(VIDEO, SLOT).agg(F.collect_list(F.struct("start", "end", factor.alias("factor"))).alias("_runs"))
+    dealt = plan if SLOT in plan.columns else plan.withColumn(SLOT, F.floor(F.col(FRAME) / BUCKET))
+    at = F.col(FRAME)
+    dropped = F.exists("_runs", lambda r: at.between(r["start"], r["end"]) & ((at - r["start"]) % r["factor"] != 0))
+    return dealt.join(held, [VIDEO, SLOT], "left").select(VIDEO, FRAME, "state", (F.col("del") | F.coalesce(dropped, F.lit(False))).alias("del"))
 
 
 def delete_plan(facts: DataFrame, pause_segments: DataFrame, mask: DataFrame, clips: DataFrame, params: Params) -> DataFrame:
     """(video_id, frame_idx, state, del): deletes of pauses and clips, then the speed-ups, which count the frames that are left."""
-    return with_speed_ups(base_plan(facts, pause_segments, mask, clips), params)
+    return with_speed_ups(_marked(facts, _deletes(pause_segments, mask, clips)), params)
 
 
 def kept_ranges(plan: DataFrame) -> DataFrame:
