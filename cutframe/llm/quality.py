@@ -130,6 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=SEED).fit(points.select("label", "features"))
     rules = [Rule(terms) for terms in tree_rules(forest.toDebugString, names)]
     if not rules:
+        if forest.totalNumNodes > TREES:  # there are splits, so their description has changed
+            raise RuntimeError("no rules could be read from the forest's description")
         return Model((), math.log(good / (n - good)))
     fired = materialize(rows.select("label", F.array(*(r.column() for r in rules)).alias("fired")), "quality-rules").select("label", array_to_vector("fired").alias("features"))
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=60, standardization=False).fit(fired)

@@ -1,11 +1,13 @@
 """Packing, decontamination, URL filter, near-duplicates, fingerprints, quality: each against brute force, and on odd inputs."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
 
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -437,3 +439,38 @@ def test_deduplicate_keeps_unrelated_texts_of_one_id(spark):
     docs = spark.createDataFrame([(2, "A b  c d"), (2, "a b c d"), (2, "quite another text of words"), (4, "a b c d")], "doc_id long, text string")
     kept = sorted((r["doc_id"], r["text"].lower().split()[0]) for r in simhash.deduplicate(docs).collect())
     assert kept == [(2, "a"), (2, "quite")]
+
+
+def plain_statistics(text):
+    """The statistics of a text, counted in plain Python."""
+    body = text or ""
+    words = re.split(r"[ \t\n\x0b\f\r]+", body.lower())
+    chars, n = max(1, len(body)), max(1, len(words))
+    count = lambda p: len(regex.findall(p, body))
+    echo, at, parts = 0, 0, body.split()
+    while at + 1 < len(parts):
+        echo, at = (echo + 1, at + 2) if parts[at] == parts[at + 1] else (echo, at + 1)
+    return {
+        "log_chars": math.log1p(chars), "mean_word": chars / n, "distinct_words": len(set(words)) / n, "upper": count(r"\p{Lu}") / chars, "digit": count("[0-9]") / chars,
+        "symbol": sum(c in "#$%&*|<>{}[]=~^_@\\" for c in body) / chars, "stop": count("[.?]") / n, "comma": count("[,;:]") / n, "bang": body.count("!") / n, "line_break": body.count("\n") / n, "echo": echo / n,
+    }
+
+
+def test_scores_equal_rules_in_plain_python(spark, sf):
+    """Every whole text's score by the fitted rules, from statistics that are counted anew."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "A b b, c! \n12 $")], "doc_id long, text string"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~quality.held_out(F.col("doc_id")))
+    model = quality.fit(docs, labels)
+    assert model.rules
+    for r in quality.score(docs, model).collect():
+        found = plain_statistics(r["text"])
+        total = model.intercept + sum(rule.weight for rule in model.rules if all((found[name] > bound) == above for name, above, bound in rule.terms))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9), r["doc_id"]
+
+
+def test_a_forest_that_cannot_be_read_is_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "Good words, here. " * 5 if i % 2 else "#$% 12 !!") for i in range(200)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    monkeypatch.setattr(quality, "tree_rules", lambda described, names: [])
+    with pytest.raises(RuntimeError):
+        quality.fit(docs, labels)
