@@ -165,9 +165,17 @@ def fronts(docs: DataFrame) -> DataFrame:
     return first.select("cls", "size", "alone", F.posexplode(F.slice("held", 1, F.col("front") - F.col("alone")))).select("cls", "size", F.col("col.hash").alias("hash"), (F.col("alone") + F.col("pos")).alias("at"))
 
 
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each class in a batch: of a text that many documents hold, few rows are left to shuffle."""
+    for batch in batches:
+        first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)[1]
+        yield batch if len(first) == batch.num_rows else batch.take(pa.array(np.sort(first)))
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, shingles) of the wanted classes."""
-    return materialize(docs.join(wanted.distinct(), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", _sets("text").alias("shingles")), "near-sets")
+    few = docs.select("cls", "text").mapInArrow(_thinned, "cls long, text string")
+    return materialize(few.join(wanted.distinct(), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", _sets("text").alias("shingles")), "near-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
