@@ -9,7 +9,6 @@ from ..functions.scalar import segment_stem, speed_label
 from ..schema import FRAME, PAUSE, VIDEO
 from .islands import interval_join, run_bounds
 
-RANGES = "array<struct<s:bigint,e:bigint>>"
 
 
 def export_segments(plan: DataFrame, pause_segments: DataFrame, split_by_speed: bool, merge_pause: bool) -> DataFrame:

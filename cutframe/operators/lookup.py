@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import state_step
-from ..schema import FRAME, VIDEO
+from ..schema import FRAME, MODE_ALL, MODE_AUTO, MODE_KEEP, VIDEO
+from .delete_plan import clip_intervals
 from .islands import first_wins, interval_join
 
 
@@ -34,3 +35,24 @@ def timeline_buckets(plan: DataFrame, catalog: DataFrame, width: int, scroll: fl
     rows = plan.join(catalog.select(VIDEO, "total"), VIDEO).withColumn("bucket", bucket.cast("long")).where((F.col("bucket") >= 0) & (F.col("bucket") < width))
     count = lambda c: F.sum(c.cast("long"))
     return rows.groupBy(VIDEO, "bucket").agg(F.count(F.lit(1)).alias("frames"), *(count(F.col("state") == s).alias(f"state_{s}") for s in range(5)), count(~F.col("del")).alias("kept"))
+
+
+def timeline_layers(mask: DataFrame, pause_segments: DataFrame, clips: DataFrame, catalog: DataFrame, width: int) -> DataFrame:
+    """Layers of the whole timeline by column: frames in pauses by mask code and by mode, frames in clips that are kept and deleted.
+
+    Clips are counted by the overlap of their parts with the columns they reach, without frame rows.
+    """
+    total = catalog.select(VIDEO, "total")
+    coded = mask.join(pause_segments.select(VIDEO, "pause_id", "mode"), [VIDEO, "pause_id"]).join(total, VIDEO).withColumn("bucket", F.expr(f"({FRAME} * {width}) div total"))
+    kept = clips.where("keep_in <= keep_out").select(VIDEO, F.col("keep_in").alias("start"), F.col("keep_out").alias("end"), F.lit("keep").alias("part"))
+    parts = kept.unionByName(clip_intervals(clips).select(VIDEO, "start", "end", F.lit("del").alias("part"))).join(total, VIDEO)
+    reached = parts.withColumn("bucket", F.explode(F.expr(f"sequence(start * {width} div total, end * {width} div total)")))
+    first = F.expr(f"greatest(start, (bucket * total + {width - 1}) div {width})")
+    last = F.expr(f"least(end, ((bucket + 1) * total + {width - 1}) div {width} - 1)")
+    sized = reached.withColumn("n", F.greatest(last - first + 1, F.lit(0)))
+    count = lambda c: F.sum(c.cast("long"))
+    names = [*(f"code_{c}" for c in range(4)), *(f"mode_{m}" for m in (MODE_AUTO, MODE_KEEP, MODE_ALL)), "clip_keep", "clip_del"]
+    paused = coded.groupBy(VIDEO, "bucket").agg(*(count(F.col("code") == c).alias(f"code_{c}") for c in range(4)), *(count(F.col("mode") == m).alias(f"mode_{m}") for m in (MODE_AUTO, MODE_KEEP, MODE_ALL)))
+    clipped = sized.groupBy(VIDEO, "bucket").agg(*(F.sum(F.when(F.col("part") == p, F.col("n")).otherwise(0)).alias(f"clip_{p}") for p in ("keep", "del")))
+    rows = paused.unionByName(clipped, allowMissingColumns=True).groupBy(VIDEO, "bucket").agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
+    return rows.where(" OR ".join(f"{n} > 0" for n in names))

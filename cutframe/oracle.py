@@ -299,6 +299,13 @@ ORACLE = {
             SELECT m.*, m.frame_idx - row_number() OVER (PARTITION BY m.video_id, m.pause_id, code ORDER BY m.frame_idx) AS g, x.frame_idx IS NOT NULL AS hit FROM mask m LEFT JOIN (
                 SELECT p.video_id, p.pause_id, arg_min(frame_idx, seq) AS frame_idx FROM fx_toggle_edits d JOIN moded p ON p.video_id = d.video_id AND frame_idx BETWEEN s AND e WHERE mode = 'auto' GROUP BY p.video_id, p.pause_id) x
             ON x.video_id = m.video_id AND x.pause_id = m.pause_id AND x.frame_idx = m.frame_idx)"""),
+    "timeline_layers": sql("""
+        SELECT video_id, bucket, count(*) FILTER (code = 0) AS code_0, count(*) FILTER (code = 1) AS code_1, count(*) FILTER (code = 2) AS code_2, count(*) FILTER (code = 3) AS code_3,
+               count(*) FILTER (mode = 'auto') AS mode_auto, count(*) FILTER (mode = 'keep') AS mode_keep, count(*) FILTER (mode = 'all') AS mode_all,
+               count(*) FILTER (part = 'keep') AS clip_keep, count(*) FILTER (part = 'del') AS clip_del
+        FROM (SELECT t.video_id, t.frame_idx * 120 // total AS bucket, t.code, p.mode, NULL AS part FROM toggled t JOIN moded p ON p.video_id = t.video_id AND p.pause_id = t.pause_id JOIN fx_catalog c ON c.video_id = t.video_id
+              UNION ALL SELECT f.video_id, f.frame_idx * 120 // total, NULL, NULL, CASE WHEN ki > ko OR f.frame_idx < ki OR f.frame_idx > ko THEN 'del' ELSE 'keep' END
+              FROM fx_frames f JOIN edited_clips e ON e.video_id = f.video_id AND f.frame_idx BETWEEN e.s AND e.e JOIN fx_catalog c ON c.video_id = f.video_id) GROUP BY video_id, bucket"""),
     "toggle_blocks": sql("SELECT * FROM toggled"),
     "bulk_masks": sql("SELECT video_id, frame_idx, pause_id, code FROM mask"),
     "single_masks": sql("""

@@ -480,6 +480,11 @@ def timeline_buckets_zoomed(x: Inputs) -> DataFrame:
     return lookup.timeline_buckets(x.plan, x.catalog, 100, 0.25, 4.0)
 
 
+@query
+def timeline_layers(x: Inputs) -> DataFrame:
+    return lookup.timeline_layers(x.toggled, x.found.pauses, x.clips, x.catalog, 120)
+
+
 # Scalar functions
 
 
