@@ -10,7 +10,6 @@ from ..schema import FRAME, PAUSE, VIDEO
 from .islands import interval_join, run_bounds
 
 
-
 def export_segments(plan: DataFrame, pause_segments: DataFrame, split_by_speed: bool, merge_pause: bool) -> DataFrame:
     """(video_id, start, label, ranges): kept frames cut at deletes, pauses and, if asked, speed changes.
 
