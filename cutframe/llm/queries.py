@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html_text, packing, pii, quality, secrets, simhash, token_counts, url_filter
+from . import chat, decontaminate, fingerprint, html_text, lexical, merkle, packing, pii, quality, secrets, simhash, token_counts, url_filter
 from . import pipeline as stages
 from .common import table
 
@@ -62,15 +62,30 @@ def op10_version_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.version_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as an event log, replayed, rendered and read back."""
+    return chat.digest_columns(chat.format_log(chat.log_of(chat.with_probe(table(spark, sf_dir, "conversations")))))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.build(table(spark, sf_dir, "documents")).search(table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_html_extraction, op3_quality_classifier, op4_secret_scan, op5_decontamination, op6_url_filter, op7_simhash_near_dedup, op8_pii_pseudonyms, op9_token_counts, op10_version_fingerprints, pipeline)
+    for f in (op1_best_fit_packing, op2_html_extraction, op3_quality_classifier, op4_secret_scan, op5_decontamination, op6_url_filter, op7_simhash_near_dedup, op8_pii_pseudonyms, op9_token_counts, op10_version_fingerprints, op11_merkle_manifest, op12_chat_formatting, op13_ranked_search, pipeline)
 }
 
+_ESCAPED = r"replace(replace(replace(replace(replace(replace(replace(replace(replace({}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '<|', '<\|'), '|>', '|\>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>')"
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
@@ -100,4 +115,49 @@ ORACLE_SQL = {
         SELECT page_id, host, path, rule,
                CASE WHEN rule IS NOT NULL THEN v WHEN regexp_matches(host, 'casino|poker|jackpot|viagra') AND starts_with(path, '/') THEN 'block' WHEN page_id IN (SELECT page_id FROM bad) THEN 'block' ELSE 'allow' END AS verdict
         FROM u LEFT JOIN m USING (page_id)""",
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, lang, sha256({" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+                   sha256({" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "(n_chars + 1)", "text"))}) AS claimed FROM documents),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM leaves),
+        level(lang, k, d) AS (
+            SELECT lang, 0, list(leaf ORDER BY rank) FROM numbered GROUP BY lang
+            UNION ALL SELECT lang, k + 1, list_transform(range(0, len(d), 2), lambda i: sha256(d[i + 1] || coalesce(d[i + 2], ''))) FROM level WHERE len(d) > 1),
+        levels AS MATERIALIZED (SELECT * FROM level),
+        subroots AS (SELECT lang, d[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank FROM levels WHERE len(d) = 1),
+        up(k, d) AS (
+            SELECT 0, list(subroot ORDER BY rank) FROM subroots
+            UNION ALL SELECT k + 1, list_transform(range(0, len(d), 2), lambda i: sha256(d[i + 1] || coalesce(d[i + 2], ''))) FROM up WHERE len(d) > 1),
+        steps AS (
+            SELECT n.lang, n.doc_id, n.leaf, l.k, (n.rank >> l.k) % 2 AS odd, coalesce(l.d[xor(n.rank >> l.k, 1) + 1], '') AS other
+            FROM numbered n JOIN levels l ON l.lang IS NOT DISTINCT FROM n.lang WHERE len(l.d) > 1
+            UNION ALL SELECT n.lang, n.doc_id, n.leaf, 1000 + u.k, (s.rank >> u.k) % 2, coalesce(u.d[xor(s.rank >> u.k, 1) + 1], '')
+            FROM numbered n JOIN subroots s ON s.lang IS NOT DISTINCT FROM n.lang, up u WHERE len(u.d) > 1),
+        proofs AS (SELECT doc_id, leaf, list(odd || other ORDER BY k) AS path FROM steps GROUP BY doc_id, leaf),
+        check_sum AS (SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda h, b:
+            list_reduce(list_prepend(xor(h, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc FROM (SELECT DISTINCT doc_id FROM documents)),
+        folded AS (
+            SELECT n.doc_id, n.leaf, s.subroot, p.path,
+                   list_reduce(list_prepend(CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN claimed ELSE n.leaf END, coalesce(p.path, [])), lambda h, step: CASE WHEN step[1] = '1' THEN sha256(step[2:] || h) ELSE sha256(h || step[2:]) END) AS folded_root
+            FROM numbered n JOIN subroots s ON s.lang IS NOT DISTINCT FROM n.lang LEFT JOIN proofs p ON p.doc_id = n.doc_id AND p.leaf = n.leaf JOIN check_sum c ON c.doc_id = n.doc_id)
+        SELECT f.doc_id, leaf, subroot, u.d[1] AS root, sha256(array_to_string(list_transform(coalesce(path, []), lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = u.d[1] AS verified
+        FROM folded f, up u WHERE len(u.d) = 1""",
+    "op12_chat_formatting": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        said AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+                        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+                        3 + sum(2 + length({_ESCAPED.format("role")}) + 3 + length({_ESCAPED.format("text")}) + 5) AS formatted_chars FROM c GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM said""",
+    "op13_ranked_search": r"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        size AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+        whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM size),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, whole WHERE term IN (SELECT term FROM q) GROUP BY term, docs),
+        scored AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+                   FROM q JOIN w USING (term) JOIN tf USING (term) JOIN size USING (doc_id), whole GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scored WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
 }
