@@ -59,32 +59,27 @@ def ranked(leaves: DataFrame, order: list[str]) -> DataFrame:
     return met.withColumn("rank", F.col("_at") + F.col("_base")).drop("_at", "_own", "_tree", "_part", "_base")
 
 
-def _grown(nodes: Column, more: Column, fanout: int) -> Column:
-    """The level above `nodes`; none above a tree's root."""
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / fanout).cast("int")), lambda i: F.slice(nodes, i * fanout + 1, fanout))
-    up = F.transform(runs, lambda run: F.struct(run[0]["lo"].alias("lo"), F.element_at(run, -1)["hi"].alias("hi"), F.sha2(F.array_join(F.transform(run, lambda x: x["digest"]), ""), 256).alias("digest")))
-    return F.when((F.size(nodes) > 0) & (more | (F.size(nodes) > 1)), up).otherwise(F.array().cast(NODE))
+def _grown(nodes: str, fanout: int) -> Column:
+    """The level above the column `nodes`; none above a tree's root."""
+    run = f"slice({nodes}, i * {fanout} + 1, {fanout})"
+    up = f"transform(sequence(0, CAST((size({nodes}) - 1) div {fanout} AS INT)), i -> named_struct('lo', {nodes}[i * {fanout}].lo, 'hi', element_at({run}, -1).hi, 'digest', sha2(array_join({run}.digest, ''), 256)))"
+    return F.expr(f"CASE WHEN size({nodes}) > 0 AND (more OR size({nodes}) > 1) THEN {up} ELSE CAST(array() AS {NODE}) END")
 
 
 def _levels(blocks: DataFrame, fanout: int) -> DataFrame:
     """Blocks with columns _l0 .. _l<BAND>: the nodes of each level of the band, by interval, and `top`, the highest one."""
-    out = blocks.withColumn("_l0", F.transform("items", lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"), x["digest"].alias("digest"))))
+    out = blocks.withColumn("_l0", F.expr("transform(items, x -> named_struct('lo', x.lo, 'hi', x.hi, 'digest', x.digest))"))
     for k in range(BAND):
-        out = out.withColumn(f"_l{k + 1}", _grown(F.col(f"_l{k}"), F.col("more"), fanout))
+        out = out.withColumn(f"_l{k + 1}", _grown(f"_l{k}", fanout))
     return out.withColumn("top", F.coalesce(*(F.get(F.col(f"_l{k}"), F.lit(0)) for k in range(BAND, -1, -1))))
 
 
-def _with_siblings(nodes: Column, parents: Column) -> Column:
-    """(lo, hi, before, after) of nodes under a parent: digests in the parent's interval before and after the node's own."""
-
-    def joined(inside) -> Column:
-        return F.array_join(F.transform(F.filter(nodes, inside), lambda s: s["digest"]), "")
-
-    def under(x: Column) -> Column:
-        above = F.filter(parents, lambda p: (p["lo"] <= x["lo"]) & (x["hi"] <= p["hi"]))
-        return F.transform(above, lambda p: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"), joined(lambda s: (s["lo"] >= p["lo"]) & (s["hi"] <= x["lo"])).alias("before"), joined(lambda s: (s["lo"] >= x["hi"]) & (s["hi"] <= p["hi"])).alias("after")))
-
-    return F.flatten(F.transform(nodes, under))
+def _with_siblings(nodes: str, parents: str) -> str:
+    """SQL for (lo, hi, before, after) of nodes under a parent: the digests of what lies in the parent's interval before and after the node's own."""
+    before, after = "s.lo >= p.lo AND s.hi <= x.lo", "s.lo >= x.hi AND s.hi <= p.hi"
+    joined = [f"array_join(filter({nodes}, s -> {inside}).digest, '')" for inside in (before, after)]
+    under = f"transform(filter({parents}, p -> p.lo <= x.lo AND x.hi <= p.hi), p -> named_struct('lo', x.lo, 'hi', x.hi, 'before', {joined[0]}, 'after', {joined[1]}))"
+    return f"flatten(transform({nodes}, x -> {under}))"
 
 
 @dataclass(frozen=True)
@@ -127,9 +122,9 @@ class Forest:
                 upper = below.select(F.col("tree").alias("_tree"), F.col("lo").alias("_lo"), F.col("path").alias("_path"), *extra)
                 met = met.unionByName(band.where("more").join(upper, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("start") == F.col("_lo"))).drop("_tree", "_lo"))
             grown = _levels(met, self.fanout)
-            labelled = grown.withColumn("_nodes", F.concat(*(_with_siblings(F.col(f"_l{k}"), F.col(f"_l{k + 1}")) for k in range(BAND))))
+            labelled = grown.withColumn("_nodes", F.concat(*(F.expr(_with_siblings(f"_l{k}", f"_l{k + 1}")) for k in range(BAND))))
             each = labelled.select("tree", "_nodes", "_path", *extra, F.explode("items").alias("x"))
-            own = F.transform(F.filter("_nodes", lambda y: (y["lo"] <= F.col("x.lo")) & (F.col("x.hi") <= y["hi"])), lambda y: F.struct(y["before"].alias("before"), y["after"].alias("after")))
+            own = F.expr("transform(filter(_nodes, y -> y.lo <= x.lo AND x.hi <= y.hi), y -> named_struct('before', y.before, 'after', y.after))")
             below = each.select("tree", "x.*", F.concat(own, "_path").alias("path"), *extra)
         return below
 
