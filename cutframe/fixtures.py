@@ -73,6 +73,12 @@ def toggle_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_total(spark, sf_dir).where("event_id % 5 = 3").select(VIDEO, F.col("event_id").alias("seq"), F.expr("event_id * 41 % total").alias(FRAME))
 
 
+def bulk_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of all pauses of a video, between the others."""
+    mode = F.when(F.col("event_id") % 3 == 0, "auto").when(F.col("event_id") % 3 == 1, "keep").otherwise("all")
+    return events(spark, sf_dir).where("event_id % 25 = 7").select(F.col("user_id").alias(VIDEO), F.col("event_id").alias("seq"), mode.alias("mode"))
+
+
 def clip_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.when(F.floor(F.col("event_id") / 10) % 2 == 0, "in").otherwise("out")
     return _with_total(spark, sf_dir).where("event_id % 2 = 1").select(VIDEO, F.col("event_id").alias("seq"), F.expr("event_id * 53 % total").alias("anchor_idx"), side.alias("side"), F.expr("event_id * 53 % total + event_id * 13 % 41 - 20").alias("tf"))

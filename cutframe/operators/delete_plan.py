@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import AUTO_DELETE, FRAME, MANUAL_DELETE, MODE_ALL, MODE_AUTO, SPEED_02X, SPEED_1X, VIDEO, Params
-from .islands import BUCKET, run_bounds, spread
+from .intervals import complement, overlaps, union
+from .islands import BUCKET, interval_join, run_bounds, spread
 
 #: Stretch of BUCKET frames that a frame is in.
 SLOT = "_slot"
@@ -33,11 +34,11 @@ def clip_delete_rows(clips: DataFrame) -> DataFrame:
 
 
 def _marked(facts: DataFrame, deletes: DataFrame) -> DataFrame:
-    """(video_id, _bucket, frame_idx, state, del), dealt by (video_id, _bucket): frames and deletes of a stretch meet in one shuffle, in place of a distinct and a join."""
-    kept = facts.select(VIDEO, FRAME, "state", F.lit(False).alias("del"))
-    gone = deletes.select(VIDEO, FRAME, F.lit(None).cast("tinyint").alias("state"), F.lit(True).alias("del"))
+    """(video_id, _slot, frame_idx, state, del), dealt by (video_id, _slot): frames and deletes of a stretch meet in one shuffle, in place of a distinct and a join."""
+    kept = facts.select(VIDEO, FRAME, "state", F.lit(False).alias("del"), F.lit(True).alias("_fact"))
+    gone = deletes.select(VIDEO, FRAME, F.lit(None).cast("tinyint").alias("state"), F.lit(True).alias("del"), F.lit(False).alias("_fact"))
     dealt = kept.unionByName(gone).withColumn(SLOT, F.floor(F.col(FRAME) / BUCKET)).repartition(VIDEO, SLOT)
-    return dealt.groupBy(VIDEO, SLOT, FRAME).agg(F.max("state").alias("state"), F.bool_or("del").alias("del")).where("state IS NOT NULL")
+    return dealt.groupBy(VIDEO, SLOT, FRAME).agg(F.max("state").alias("state"), F.bool_or("del").alias("del"), F.bool_or("_fact").alias("_fact")).where("_fact").drop("_fact")
 
 
 def mark_deletes(facts: DataFrame, deletes: DataFrame) -> DataFrame:
@@ -104,24 +105,65 @@ def export_counts(plan: DataFrame) -> DataFrame:
 
 
 def skip_intervals(pause_segments: DataFrame, mask: DataFrame, clips: DataFrame) -> DataFrame:
-    """Half-open intervals that playback skips, each with its source; speed-ups are not in."""
+    """Half-open intervals that playback skips, each with its source; speed-ups are not in. `mask` has codes of frames, or intervals of codes (start, end)."""
     whole = pause_segments.where(F.col("mode") == MODE_ALL).select(VIDEO, "start", "end")
     auto = pause_segments.where(F.col("mode") == MODE_AUTO).select(VIDEO, "pause_id")
     coded = mask.where(F.col("code").isin(AUTO_DELETE, MANUAL_DELETE)).join(auto, [VIDEO, "pause_id"], "left_semi")
-    parts = run_bounds(coded.select(VIDEO, FRAME, "pause_id"), ["pause_id"]).select(VIDEO, "start", "end")
+    parts = (coded if "start" in coded.columns else run_bounds(coded.select(VIDEO, FRAME, "pause_id"), ["pause_id"])).select(VIDEO, "start", "end")
     paused = whole.unionByName(parts).withColumn("source", F.lit("pause"))
     cut = clip_intervals(clips).select(VIDEO, "start", "end").withColumn("source", F.lit("clip"))
     return paused.unionByName(cut).select(VIDEO, "source", "start", (F.col("end") + 1).alias("end"))
 
 
-def next_kept(plan: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(video_id, frame_idx, next): the first frame at or after that is kept; the video's total if there is none.
+def next_kept(points: DataFrame, skips: DataFrame) -> DataFrame:
+    """`points` (video_id, frame_idx) with `next`: the frame where playback goes on, out of all half-open skip intervals that hold it or follow at once.
 
-    A maximal run of deleted frames leads to the frame after it.
+    That is the end of the interval of the skips' union which holds the point; the video's total where its end is skipped.
     """
-    gone = spread(run_bounds(plan.where("del").select(VIDEO, FRAME), [])).select(VIDEO, FRAME, (F.col("end") + 1).alias("next"))
-    kept = plan.where(~F.col("del")).select(VIDEO, FRAME, F.col(FRAME).alias("next"))
-    return gone.unionByName(kept)
+    jumps = union(skips.select(VIDEO, "start", (F.col("end") - 1).alias("end")))
+    met = interval_join(points, jumps, "left")
+    return met.withColumn("next", F.coalesce(F.col("end") + 1, F.col(FRAME))).drop("start", "end")
+
+
+def plan_pieces(skips: DataFrame, runs: DataFrame, catalog: DataFrame, params: Params) -> DataFrame:
+    """The plan without frames: (video_id, start, end, state, step), disjoint. Of a piece's frames every `step`-th from its start is kept, of all others none.
+
+    `skips` are the half-open intervals of skip_intervals, `runs` the maximal runs of states. The parts of a run that lie in what the skips leave are the
+    maximal runs of kept frames of a state, in which speed-ups count.
+    """
+    kept = complement(skips.select(VIDEO, "start", (F.col("end") - 1).alias("end")), catalog)
+    step = F.coalesce(*(F.when(F.col("state") == s, n) for s, n in speed_ups(params).items()), F.lit(1)) if speed_ups(params) else F.lit(1)
+    return overlaps(kept, runs.select(VIDEO, "start", "end", "state")).withColumn("step", step)
+
+
+def plan_of_pieces(facts: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(video_id, frame_idx, state, del) of frame facts: frames meet the piece that holds them, once."""
+    met = interval_join(facts.select(VIDEO, FRAME, "state"), pieces.select(VIDEO, "start", "end", "step"), "left")
+    kept = F.coalesce((F.col(FRAME) - F.col("start")) % F.col("step") == 0, F.lit(False))
+    return met.select(VIDEO, FRAME, "state", (~kept).alias("del"))
+
+
+def ranges_of_pieces(pieces: DataFrame) -> DataFrame:
+    """Half-open ranges of kept frames as kept_ranges gives them.
+
+    Only a piece's ends can touch other ranges; the frames between the first and the last one that a speed-up leaves are ranges by themselves. They
+    are counted as one row, and spread to rows after all ranges have their numbers.
+    """
+    start, step = F.col("start"), F.col("step").cast("long")
+    last = F.col("end") - (F.col("end") - start) % step
+    part = lambda s, e, n: F.struct(s.alias("start"), e.alias("end"), n.cast("long").alias("n"))
+    one = F.lit(1)
+    inner = F.when(last - start > step, part(start + step, last - step, F.floor((last - start) / step) - 1))
+    parts = F.when(step == 1, F.array(part(start, F.col("end"), one))).otherwise(F.filter(F.array(part(start, start, one), inner, F.when(last > start, part(last, last, one))), lambda p: p.isNotNull()))
+    rows = pieces.select(VIDEO, step.alias("step"), F.explode(parts).alias("p")).select(VIDEO, "step", "p.*")
+    w = Window.partitionBy(VIDEO).orderBy("start")
+    marked = rows.withColumn("_apart", F.when(F.col("start") == F.lag("end").over(w) + 1, 0).otherwise(1))
+    ranges = marked.withColumn("_group", F.sum("_apart").over(w)).groupBy(VIDEO, "_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("n").alias("n"), F.max("step").alias("step"))
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = ranges.withColumn("_before", before).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    single = F.col("n") > 1
+    at = F.when(single, F.col("start") + F.col("i") * F.col("step")).otherwise(F.col("start"))
+    return each.select(VIDEO, (F.col("_before") + F.col("i")).cast("int").alias("range_idx"), at.alias("start_frame"), F.when(single, at).otherwise(F.col("end")).alias("_end")).select(VIDEO, "range_idx", "start_frame", (F.col("_end") + 1).alias("end_frame"))
 
 
 def concat_remap(ranges: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
-"""User overrides as an append-only edit log, folded onto segments for all videos at once."""
+"""User overrides as an append-only edit log, folded onto segments for all videos at once.
+
+`replay_edits` takes the log as one history; the functions before it fold one kind of edit alone.
+"""
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +19,9 @@ from .segments import pause_masks
 #: What a toggle makes of a code.
 FLIPPED = {AUTO_KEEP: MANUAL_DELETE, MANUAL_KEEP: MANUAL_DELETE, AUTO_DELETE: MANUAL_KEEP, MANUAL_DELETE: MANUAL_KEEP}
 
+#: Stands for the code of an edit, where runs and edits of a pause are rows of one table.
+EDIT = -1
+
 
 def bulk_mode(pause_segments: DataFrame, mode: str, boundary_thresh: float) -> DataFrame:
     """Sets every pause's mode. Mode auto applies the boundary rule again, also to pauses whose difference was never measured (0.0)."""
@@ -64,10 +71,11 @@ def toggle_blocks(mask: DataFrame, edits: DataFrame) -> DataFrame:
     Only pauses with edits go through Python, as runs of equal codes: a flipped run takes in the neighbours that it now equals.
     """
 
-    def fold(runs: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame:
-        runs = runs.sort_values("start")
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        edit = rows["code"] == EDIT
+        runs = rows[~edit].sort_values("start")
         starts, ends, codes = (runs[c].tolist() for c in ("start", "end", "code"))
-        for frame in edits.sort_values("seq")[FRAME]:
+        for frame in rows[edit].sort_values("seq")["start"].tolist():
             i = bisect_right(starts, frame) - 1
             if i < 0 or frame > ends[i]:
                 continue
@@ -76,16 +84,78 @@ def toggle_blocks(mask: DataFrame, edits: DataFrame) -> DataFrame:
                 if 0 < right < len(codes) and codes[right] == codes[right - 1] and starts[right] == ends[right - 1] + 1:
                     ends[right - 1] = ends[right]
                     del starts[right], ends[right], codes[right]
-        return pd.DataFrame({VIDEO: runs[VIDEO].iloc[0] if len(runs) else 0, "pause_id": runs["pause_id"].iloc[0] if len(runs) else 0, "start": starts, "end": ends, "code": codes})
+        return pd.DataFrame({VIDEO: rows[VIDEO].iloc[0], "pause_id": rows["pause_id"].iloc[0], "start": pd.Series(starts, dtype="int64"), "end": pd.Series(ends, dtype="int64"), "code": pd.Series(codes, dtype="int8")})
 
     touched = edits.select(VIDEO, "pause_id").distinct()
     some = run_bounds(mask.join(touched, [VIDEO, "pause_id"], "left_semi"), ["code"], (VIDEO, "pause_id"))
     rest = mask.join(touched, [VIDEO, "pause_id"], "left_anti").select(VIDEO, FRAME, "pause_id", "code")
-    log = edits.select(VIDEO, "pause_id", "seq", FRAME).groupBy(VIDEO, "pause_id")
-    done = some.groupBy(VIDEO, "pause_id").cogroup(log).applyInPandas(fold, f"{VIDEO} long, pause_id int, start long, end long, code tinyint")
+    runs = some.select(VIDEO, "pause_id", "start", "end", "code", F.lit(0).cast("long").alias("seq"))
+    log = edits.select(VIDEO, "pause_id", F.col(FRAME).alias("start"), F.col(FRAME).alias("end"), F.lit(EDIT).cast("tinyint").alias("code"), "seq")
+    done = runs.unionByName(log).groupBy(VIDEO, "pause_id").applyInPandas(fold, f"{VIDEO} long, pause_id int, start long, end long, code tinyint")
     return rest.unionByName(spread(done).select(VIDEO, FRAME, "pause_id", "code"))
 
 
+#: Kinds of edits in a log, in the order that they take where a sequence number is shared.
+BULK, SINGLE, TOGGLE = "bulk", "single", "toggle"
+LOG = (VIDEO, "seq", "kind", FRAME, "mode")
+
+
+@dataclass(frozen=True)
+class Replayed:
+    pauses: DataFrame  # with the mode after all edits
+    mask: DataFrame
+
+
+def edit_log(bulk: DataFrame, single: DataFrame, toggles: DataFrame) -> DataFrame:
+    """One log (video_id, seq, kind, frame_idx, mode) of edits of all pauses, of one pause, and of blocks of its mask."""
+    none = F.lit(None)
+    return (
+        bulk.select(VIDEO, "seq", F.lit(BULK).alias("kind"), none.cast("long").alias(FRAME), "mode")
+        .unionByName(single.select(VIDEO, "seq", F.lit(SINGLE).alias("kind"), FRAME, "mode"))
+        .unionByName(toggles.select(VIDEO, "seq", F.lit(TOGGLE).alias("kind"), FRAME, none.cast("string").alias("mode")))
+    )
+
+
+def _resolved(edit: Column, initial: Column, difference: Column, boundary_thresh: float) -> Column:
+    """Mode that the edit (a struct with kind and mode, or null) leaves a pause in: a bulk edit to auto applies the boundary rule again, a single one does not."""
+    ruled = F.when(difference < boundary_thresh, MODE_ALL).otherwise(MODE_AUTO)
+    return F.when(edit.isNull(), initial).when((edit["kind"] == BULK) & (edit["mode"] == MODE_AUTO), ruled).otherwise(edit["mode"])
+
+
+def replay_edits(log: DataFrame, pause_segments: DataFrame, mask: DataFrame, facts: DataFrame, catalog: DataFrame, params: Params) -> Replayed:
+    """Modes and masks after a log of edits, one by one in order of seq.
+
+    A mode edit to auto computes the pause's codes anew, whatever was toggled before. A toggle flips a block only while its pause is in
+    mode auto. So of a pause's history count its last mode edit, its last reset, and the toggles after that which meet mode auto: what a toggle meets is
+    found by windows over the log alone, bulk edits are not spread to pauses that were never toggled, and only pauses with such toggles are folded.
+    Edits that name a frame outside pauses have no effect.
+    """
+    order = F.when(F.col("kind") == BULK, 0).when(F.col("kind") == SINGLE, 1).otherwise(2)
+    edit = F.struct("seq", order.alias("order"), "kind", "mode")
+    named = log.where(F.col("kind") != BULK).select(*LOG)
+    homes = pause_segments.select(VIDEO, "pause_id", "start", "end", F.col("mode").alias("_initial"), F.col("boundary_diff").alias("_diff"))
+    located = interval_join(named, homes).drop("start", "end")
+    bulk = log.where(F.col("kind") == BULK).select(*LOG)
+    rows = located.unionByName(bulk, allowMissingColumns=True).withColumn("_edit", edit)
+    video = Window.partitionBy(VIDEO).orderBy("_edit").rowsBetween(Window.unboundedPreceding, -1)
+    pause = Window.partitionBy(VIDEO, "pause_id").orderBy("_edit").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.greatest(F.last(F.when(F.col("kind") == BULK, F.col("_edit")), True).over(video), F.last(F.when(F.col("kind") == SINGLE, F.col("_edit")), True).over(pause))
+    reset = F.when(F.col("mode") == MODE_AUTO, F.col("_edit"))
+    last_reset = F.greatest(F.max(F.when(F.col("kind") == BULK, reset)).over(Window.partitionBy(VIDEO)), F.max(F.when(F.col("kind") == SINGLE, reset)).over(Window.partitionBy(VIDEO, "pause_id")))
+    met = rows.withColumns({"_last": last, "_reset": last_reset}).where(F.col("kind") == TOGGLE)
+    live = met.where((_resolved(F.col("_last"), F.col("_initial"), F.col("_diff"), params.boundary_thresh) == MODE_AUTO) & (F.col("_reset").isNull() | (F.col("_edit") > F.col("_reset"))))
+
+    newest = lambda rows, *keys: rows.withColumn("_edit", edit).groupBy(*keys).agg(F.max("_edit").alias("_last"), F.max(reset).alias("_reset"))
+    one = newest(located.where(F.col("kind") == SINGLE), VIDEO, "pause_id").withColumnsRenamed({"_last": "_one", "_reset": "_one_reset"})
+    every = newest(bulk, VIDEO).withColumnsRenamed({"_last": "_all", "_reset": "_all_reset"})
+    joined = pause_segments.join(one, [VIDEO, "pause_id"], "left").join(every, VIDEO, "left")
+    final = joined.withColumns({"mode": _resolved(F.greatest("_one", "_all"), F.col("mode"), F.col("boundary_diff"), params.boundary_thresh), "_again": F.coalesce("_one_reset", "_all_reset").isNotNull()})
+    again = final.where("_again").select(VIDEO, "pause_id", "start", "end")
+    fresh = pause_masks(again, facts, catalog, params)
+    kept = mask.join(again.select(VIDEO, "pause_id"), [VIDEO, "pause_id"], "left_anti").select(VIDEO, FRAME, "pause_id", "code")
+    return Replayed(final.select(*pause_segments.columns), toggle_blocks(kept.unionByName(fresh), live.select(VIDEO, "pause_id", "seq", FRAME)))
+
+
 def trim_handles(clips: DataFrame, edits: DataFrame) -> DataFrame:
     """Moves of clip handles (video_id, clip_id, seq, side, tf), by seq: clamped to the clip; a handle that crosses pushes the other."""
     moves = edits.groupBy(VIDEO, "clip_id").agg(F.array_sort(F.collect_list(F.struct("seq", "side", "tf"))).alias("_moves"))

@@ -66,8 +66,10 @@ def segment_frames(numbered: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def segment_summary(numbered: DataFrame, present: DataFrame) -> DataFrame:
-    """For each segment: frames asked for, frames written, and success."""
-    written = segment_frames(numbered, present).groupBy(VIDEO, "seg_no").agg(F.count(F.lit(1)).alias("written"))
+    """For each segment: frames asked for, frames written, and success. A range is written from its start to the end of the run of present frames that holds it."""
+    asked = numbered.select(VIDEO, "seg_no", F.explode("ranges").alias("r")).select(VIDEO, "seg_no", F.col("r.s").alias("s"), F.col("r.e").alias("e"))
+    reached = interval_join(asked, run_bounds(present.select(VIDEO, FRAME), []), at="s")
+    written = reached.groupBy(VIDEO, "seg_no").agg(F.sum(F.least("e", "end") - F.col("s") + 1).alias("written"))
     asked = to_half_open(numbered).select(VIDEO, "seg_no", "label", "requested")
     joined = asked.join(written, [VIDEO, "seg_no"], "left").withColumn("written", F.coalesce("written", F.lit(0).cast("long")))
     return joined.withColumn("success", F.col("written") > 0)

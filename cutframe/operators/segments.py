@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import still_frames
 from ..schema import AUTO_DELETE, AUTO_KEEP, FRAME, MODE_ALL, MODE_AUTO, PAUSE, SPEEDS, VIDEO, Params
-from .islands import run_bounds, spread
-
+from .islands import interval_join, run_bounds, spread
 
 
 def _pause_window() -> WindowSpec:
@@ -86,6 +85,28 @@ def pause_masks(pause_segments: DataFrame, facts: DataFrame, catalog: DataFrame,
     return still_trim(motion_mask(pause_frames(pause_segments, facts), params.motion_thresh), catalog, params.still_time)
 
 
+def pause_deletes(pause_segments: DataFrame, facts: DataFrame, catalog: DataFrame, params: Params) -> DataFrame:
+    """What pause_masks deletes, as intervals (video_id, pause_id, start, end, code), from the moving frames of pauses alone.
+
+    A moving frame makes itself and the one before active; inactive runs are what lies between, and each of them loses all but its still stretch.
+    """
+    hot = facts.where((F.col("state") == PAUSE) & (F.col("diff") > F.lit(params.motion_thresh).cast("float"))).select(VIDEO, FRAME)
+    held = interval_join(hot, pause_segments.select(VIDEO, "pause_id", "start", "end")).where(F.col(FRAME) > F.col("start"))
+    active = held.select(VIDEO, "pause_id", F.col("start").alias("_first"), F.col("end").alias("_last"), (F.col(FRAME) - 1).alias("_from"), F.col(FRAME).alias("_to"))
+    tail = pause_segments.select(VIDEO, "pause_id", F.col("start").alias("_first"), F.col("end").alias("_last"), (F.col("end") + 1).alias("_from"), F.lit(None).cast("long").alias("_to"))  # ends the last run
+    w = Window.partitionBy(VIDEO, "pause_id").orderBy("_from", "_to")
+    before = F.max("_to").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = active.unionByName(tail).withColumn("_before", before).join(catalog.select(VIDEO, F.col("fps").alias("_fps")), VIDEO)
+    keep = still_frames(F.col("_fps"), F.lit(params.still_time)).cast("long")
+    s, e, half = F.coalesce(F.col("_before") + 1, F.col("_first")), F.col("_from") - 1, F.floor(keep / 2)
+    alone = F.col("_before").isNull() & F.col("_to").isNull()
+    long = e - s + 1 > F.when(alone, 2 * keep).otherwise(keep)
+    start = F.when(alone | (s != F.col("_first")) & (e == F.col("_last")), s + keep).when(s == F.col("_first"), s).otherwise(s + half)
+    end = F.when(alone | (s == F.col("_first")), e - keep).when(e == F.col("_last"), e).otherwise(e - (keep - half))
+    cut = runs.where(long).select(VIDEO, "pause_id", start.alias("start"), end.alias("end"))
+    return cut.where("start <= end").withColumn("code", F.lit(AUTO_DELETE).cast("tinyint"))
+
+
 def boundary_targets(pause_segments: DataFrame, catalog: DataFrame) -> DataFrame:
     """Pauses with the frames just outside them, clamped to the video: before, after."""
     return pause_segments.join(catalog.select(VIDEO, "total"), VIDEO).withColumns({"before": F.greatest(F.lit(0), F.col("start") - 1), "after": F.least(F.col("total") - 1, F.col("end") + 1)}).drop("total")

@@ -32,6 +32,7 @@ PARTS = {
     "fx_mode_edits": """
         SELECT video_id, event_id AS seq, (event_id * 37) % total AS frame_idx,
                CASE event_id % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'auto' ELSE 'all' END AS mode FROM with_total WHERE event_id % 5 = 0""",
+    "fx_bulk_edits": "SELECT user_id AS video_id, event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'keep' ELSE 'all' END AS mode FROM events WHERE event_id % 25 = 7",
     "fx_toggle_edits": "SELECT video_id, event_id AS seq, (event_id * 41) % total AS frame_idx FROM with_total WHERE event_id % 5 = 3",
     "fx_clip_edits": """
         SELECT video_id, event_id AS seq, (event_id * 53) % total AS anchor_idx, CASE WHEN (event_id // 10) % 2 = 0 THEN 'in' ELSE 'out' END AS side,
@@ -121,6 +122,17 @@ PARTS = {
         WITH last AS (SELECT video_id, pause_id, arg_max(codes, n) AS codes FROM toggling GROUP BY video_id, pause_id)
         SELECT m.video_id, m.frame_idx, m.pause_id, CAST(coalesce(codes[m.frame_idx - p.s + 1], code) AS TINYINT) AS code
         FROM mask m JOIN pauses p USING (video_id, pause_id) LEFT JOIN last USING (video_id, pause_id)""",
+    "history": """
+        SELECT *, row_number() OVER (PARTITION BY video_id, pause_id ORDER BY seq) AS n FROM (
+            SELECT p.video_id, pause_id, seq, 'single' AS kind, d.mode, NULL AS k FROM fx_mode_edits d JOIN moded p ON p.video_id = d.video_id AND frame_idx BETWEEN s AND e
+            UNION ALL SELECT p.video_id, pause_id, seq, 'toggle', NULL, frame_idx - s + 1 FROM fx_toggle_edits d JOIN moded p ON p.video_id = d.video_id AND frame_idx BETWEEN s AND e
+            UNION ALL SELECT video_id, pause_id, seq, 'bulk', d.mode, NULL FROM fx_bulk_edits d JOIN moded p USING (video_id))""",
+    "history_starts": """
+        SELECT video_id, pause_id, CAST(0 AS BIGINT) AS n, any_value(mode) AS mode, any_value(bd) AS bd, list(CAST(code AS INT) ORDER BY frame_idx) AS base, list(CAST(code AS INT) ORDER BY frame_idx) AS codes
+        FROM mask JOIN moded USING (video_id, pause_id) GROUP BY video_id, pause_id""",
+    "replayed": """
+        WITH last AS (SELECT video_id, pause_id, arg_max(mode, n) AS mode, arg_max(codes, n) AS codes FROM replaying GROUP BY video_id, pause_id)
+        SELECT m.video_id, m.frame_idx, m.pause_id, CAST(codes[m.frame_idx - p.s + 1] AS TINYINT) AS code, l.mode FROM mask m JOIN pauses p USING (video_id, pause_id) JOIN last l USING (video_id, pause_id)""",
     "px_runs": """
         SELECT video_id, state, min(frame_idx) AS s, max(frame_idx) AS e
         FROM (SELECT *, frame_idx - row_number() OVER (PARTITION BY video_id, state ORDER BY frame_idx) AS g FROM states) GROUP BY video_id, state, g""",
@@ -132,6 +144,14 @@ _TOGGLES = """toggling AS (
            list_transform(range(1, len(codes) + 1), lambda i: CASE WHEN i > coalesce(list_max(list_filter(range(1, k), lambda j: codes[j] <> codes[k])), 0)
                AND i < coalesce(list_min(list_filter(range(k + 1, len(codes) + 1), lambda j: codes[j] <> codes[k])), len(codes) + 1) THEN CASE WHEN codes[k] IN (0, 3) THEN 2 ELSE 3 END ELSE codes[i] END)
     FROM toggling t JOIN toggle_moves m ON m.video_id = t.video_id AND m.pause_id = t.pause_id AND m.n = t.n + 1)"""
+_HISTORY = """replaying AS (
+    SELECT * FROM history_starts
+    UNION ALL
+    SELECT t.video_id, t.pause_id, m.n, CASE WHEN kind = 'toggle' THEN t.mode WHEN kind = 'bulk' AND m.mode = 'auto' THEN CASE WHEN bd < 5 THEN 'all' ELSE 'auto' END ELSE m.mode END, bd, base,
+           CASE WHEN m.mode = 'auto' THEN base WHEN kind <> 'toggle' OR t.mode <> 'auto' THEN codes
+                ELSE list_transform(range(1, len(codes) + 1), lambda i: CASE WHEN i > coalesce(list_max(list_filter(range(1, k), lambda j: codes[j] <> codes[k])), 0)
+                     AND i < coalesce(list_min(list_filter(range(k + 1, len(codes) + 1), lambda j: codes[j] <> codes[k])), len(codes) + 1) THEN CASE WHEN codes[k] IN (0, 3) THEN 2 ELSE 3 END ELSE codes[i] END) END
+    FROM replaying t JOIN history m ON m.video_id = t.video_id AND m.pause_id = t.pause_id AND m.n = t.n + 1)"""
 _HANDLES = """handles AS (
     SELECT video_id, clip_id, s, e, CAST(0 AS BIGINT) AS n, s AS ki, e AS ko FROM clips
     UNION ALL
@@ -141,7 +161,7 @@ _HANDLES = """handles AS (
     FROM handles h JOIN clip_moves m ON m.video_id = h.video_id AND m.clip_id = h.clip_id AND m.n = h.n + 1)"""
 
 #: Recursive parts that stand before the parts that use them.
-RECURSIVE = {"edited_clips": _HANDLES, "toggled": _TOGGLES}
+RECURSIVE = {"edited_clips": _HANDLES, "toggled": _TOGGLES, "replayed": _HISTORY}
 
 _LABEL = "CASE {s} WHEN 3 THEN '2x' WHEN 2 THEN '1x' WHEN 4 THEN '0.2x' ELSE 'other' END"
 
@@ -264,7 +284,7 @@ ORACLE = {
     "motion_mask": sql("SELECT video_id, frame_idx, pause_id, active FROM active"),
     "still_trim": sql("SELECT * FROM mask"),
     "decimate": sql("SELECT * FROM decimated"),
-    "next_kept": sql("SELECT p.video_id, p.frame_idx, coalesce(min(CASE WHEN NOT del THEN frame_idx END) OVER (PARTITION BY p.video_id ORDER BY frame_idx DESC ROWS UNBOUNDED PRECEDING), total) AS next FROM plan p JOIN fx_catalog USING (video_id)"),
+    "next_kept": sql("SELECT p.video_id, p.frame_idx, coalesce(min(CASE WHEN NOT del THEN frame_idx END) OVER (PARTITION BY p.video_id ORDER BY frame_idx DESC ROWS UNBOUNDED PRECEDING), total) AS next FROM base_plan p JOIN fx_catalog USING (video_id)"),
     "concat_remap": sql("SELECT p.video_id, frame_idx, range_idx, row_number() OVER (PARTITION BY p.video_id ORDER BY frame_idx) - 1 AS out_frame, row_number() OVER (PARTITION BY p.video_id ORDER BY frame_idx) - 1 - (frame_idx - start_frame) AS out_start FROM plan p JOIN ranges r ON p.video_id = r.video_id AND frame_idx >= start_frame AND frame_idx < end_frame WHERE NOT del"),
     "dense_ids": sql('SELECT video_id, pause_id, s AS "start", e AS "end" FROM pauses'),
     "clip_segments": sql('SELECT video_id, clip_id, s AS "start", e AS "end", s AS keep_in, e AS keep_out FROM clips'),
@@ -275,6 +295,17 @@ ORACLE = {
     "merge_adjacent_segments": sql(_SEG + "mseg", _NUMBERED),
     "segment_order": sql('SELECT video_id, seg_no, "start", label FROM num', _NUMBERED),
     "delete_plan": sql("SELECT * FROM plan"),
+    "delete_plan_by_frame": sql("SELECT * FROM plan"),
+    "kept_ranges_by_frame": sql("SELECT * FROM ranges"),
+    "pause_deletes": sql("""
+        SELECT video_id, pause_id, min(frame_idx) AS "start", max(frame_idx) AS "end"
+        FROM (SELECT *, frame_idx - row_number() OVER (PARTITION BY video_id, pause_id ORDER BY frame_idx) AS g FROM mask WHERE code = 1) GROUP BY video_id, pause_id, g"""),
+    "skip_union": sql("""
+        SELECT video_id, min(frame_idx) AS "start", max(frame_idx) AS "end"
+        FROM (SELECT *, frame_idx - row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS g FROM base_plan WHERE del) GROUP BY video_id, g"""),
+    "kept_speeds": sql("""
+        SELECT video_id, state AS type, min(frame_idx) AS "start", max(frame_idx) AS "end"
+        FROM (SELECT *, frame_idx - row_number() OVER (PARTITION BY video_id, state ORDER BY frame_idx) AS g FROM base_plan WHERE NOT del AND state >= 2) GROUP BY video_id, state, g"""),
     "skip_intervals": sql("SELECT * FROM skips"),
     "valid_frames": sql("SELECT video_id, frame_idx, state FROM base_plan WHERE NOT del"),
     "to_half_open": sql("SELECT video_id, seg_no, list_transform(ranges, lambda x: {'s': x.s, 'e': x.e + 1}) AS half_open, CAST(list_sum(list_transform(ranges, lambda x: x.e - x.s + 1)) AS BIGINT) AS requested FROM num", _NUMBERED),
@@ -312,8 +343,12 @@ ORACLE = {
         SELECT t.video_id, t.frame_idx, t.pause_id, CASE WHEN a.pause_id IS NOT NULL THEN m.code ELSE t.code END AS code FROM toggled t JOIN mask m USING (video_id, pause_id, frame_idx)
         LEFT JOIN (SELECT DISTINCT p.video_id, p.pause_id FROM pauses p JOIN fx_mode_edits d ON p.video_id = d.video_id AND frame_idx BETWEEN s AND e WHERE d.mode = 'auto') a
         ON a.video_id = t.video_id AND a.pause_id = t.pause_id"""),
+    "edit_replay": sql("SELECT * FROM replayed"),
     "trim_handles": sql('SELECT video_id, clip_id, s AS "start", e AS "end", ki AS keep_in, ko AS keep_out FROM edited_clips'),
     "stream_frame_diff": sql("SELECT * FROM pixel_diffs"),
     "stream_runs": sql('SELECT video_id, state, s AS "start", e AS "end" FROM runs'),
+    "stream_runs_long": sql('SELECT CAST(0 AS BIGINT) AS video_id, state, min(place) AS "start", max(place) AS "end" FROM joined GROUP BY state, g', """
+        f AS (SELECT state, row_number() OVER (ORDER BY video_id, frame_idx) - 1 AS place FROM fx_frames),
+        joined AS (SELECT *, place - row_number() OVER (PARTITION BY state ORDER BY place) AS g FROM f)"""),
     "stream_classify": sql("SELECT * FROM states"),
 }

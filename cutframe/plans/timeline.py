@@ -45,7 +45,7 @@ def segment(facts: DataFrame, catalog: DataFrame, frames: DataFrame, params: Par
     found = keep("pauses", segments.pauses(runs))
     measured = segments.boundary_diff(found, catalog, frames, distance, payload)
     return Segments(
-        segments.mode_override(measured, params.boundary_thresh),
+        keep("moded", segments.mode_override(measured, params.boundary_thresh)),
         segments.pause_masks(found, facts, catalog, params),
         segments.speed_segments(runs),
         segments.clip_segments(found, catalog),
@@ -53,7 +53,8 @@ def segment(facts: DataFrame, catalog: DataFrame, frames: DataFrame, params: Par
     )
 
 
-def cut_ranges(facts: DataFrame, found: Segments, clips: DataFrame, params: Params, keep: Callable[[str, DataFrame], DataFrame] = as_it_is) -> DataFrame:
-    """Kept ranges of every video."""
-    base = keep("base_plan", plans.base_plan(facts, found.pauses, found.mask, clips))
-    return plans.kept_ranges(plans.with_speed_ups(base, params))
+def cut_ranges(facts: DataFrame, found: Segments, clips: DataFrame, catalog: DataFrame, params: Params, mask: DataFrame | None = None) -> DataFrame:
+    """Kept ranges of every video, on intervals. `mask` has the codes of frames where they were edited; else the pauses' deletes follow from their moving frames."""
+    deletes = segments.pause_deletes(found.pauses, facts, catalog, params) if mask is None else mask
+    skips = plans.skip_intervals(found.pauses, deletes, clips)
+    return plans.ranges_of_pieces(plans.plan_pieces(skips, found.runs, catalog, params))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import fixtures
 from .functions import scalar
 from .operators import delete_plan as plans
-from .operators import edits, export, lookup, pixels, segments
+from .operators import edits, export, intervals, lookup, pixels, segments
 from .operators.islands import interval_join
 from .plans import timeline
 from .schema import FRAME, MODE_AUTO, VIDEO, Params
@@ -46,7 +46,7 @@ class Inputs:
     sf_dir: str
 
     def __getattr__(self, name: str):
-        if name in ("pixels", "templates", "color", "probes", "delete_set", "mode_edits", "toggle_edits", "clip_edits"):
+        if name in ("pixels", "templates", "color", "probes", "delete_set", "mode_edits", "toggle_edits", "bulk_edits", "clip_edits"):
             return getattr(fixtures, name)(self.spark, self.sf_dir)
         raise AttributeError(name)
 
@@ -69,6 +69,13 @@ class Inputs:
     def facts(self) -> DataFrame:
         return self.frames.select(VIDEO, FRAME, "state", "diff")
 
+    @cached_property
+    def one_video(self) -> DataFrame:
+        """All videos one after the other as a single long one."""
+        w = Window.orderBy(VIDEO).rowsBetween(Window.unboundedPreceding, -1)  # a row a video
+        ends = self.catalog.select(VIDEO, F.coalesce(F.sum("total").over(w), F.lit(0)).alias("_before"))
+        return self.frames.join(ends, VIDEO).select(F.lit(0).cast("long").alias(VIDEO), (F.col("_before") + F.col(FRAME)).alias(FRAME), "state", "signal", "diff")
+
     @cached_property
     def live(self) -> timeline.Segments:
         """Segments straight from the facts, for the queries about them."""
@@ -102,9 +109,19 @@ class Inputs:
     def plan(self) -> DataFrame:
         return self.stored("plan", lambda: plans.with_speed_ups(self.base_plan, PARAMS))
 
+    @cached_property
+    def skips(self) -> DataFrame:
+        """What playback skips, from intervals alone."""
+        deletes = segments.pause_deletes(self.found.pauses, self.facts, self.catalog, PARAMS)
+        return plans.skip_intervals(self.found.pauses, deletes, self.clips)
+
+    @cached_property
+    def pieces(self) -> DataFrame:
+        return plans.plan_pieces(self.skips, self.found.runs, self.catalog, PARAMS)
+
     @cached_property
     def ranges(self) -> DataFrame:
-        return plans.kept_ranges(self.plan)
+        return plans.ranges_of_pieces(self.pieces)
 
     @cached_property
     def numbered(self) -> DataFrame:
@@ -181,9 +198,9 @@ def params(x: Inputs) -> DataFrame:
 
 @query
 def sink_cut_list(x: Inputs) -> DataFrame:
-    """The whole chain, from facts to ranges in seconds. Nothing but the frames comes from storage; what several operators start from is written on the way."""
+    """The whole chain, from facts to ranges in seconds. Nothing but the frames comes from storage; runs and pauses, which several operators start from, are written on the way."""
     found = timeline.segment(x.facts, x.catalog, x.frames, PARAMS, keep=x.fresh)
-    return sinks.cut_list(timeline.cut_ranges(x.facts, found, x.edited(found.clips), PARAMS, keep=x.fresh), x.catalog)
+    return sinks.cut_list(timeline.cut_ranges(x.facts, found, x.edited(found.clips), x.catalog, PARAMS), x.catalog)
 
 
 @query
@@ -345,6 +362,12 @@ def clip_delete_rows(x: Inputs) -> DataFrame:
 
 @query
 def delete_plan(x: Inputs) -> DataFrame:
+    return plans.plan_of_pieces(x.facts, x.pieces)
+
+
+@query
+def delete_plan_by_frame(x: Inputs) -> DataFrame:
+    """The plan from frame rows of deletes, as it is where masks were edited by frame."""
     return plans.delete_plan(x.facts, x.found.pauses, x.found.mask, x.clips, PARAMS)
 
 
@@ -358,6 +381,11 @@ def kept_ranges(x: Inputs) -> DataFrame:
     return x.ranges
 
 
+@query
+def kept_ranges_by_frame(x: Inputs) -> DataFrame:
+    return plans.kept_ranges(x.plan)
+
+
 @query
 def export_counts(x: Inputs) -> DataFrame:
     return plans.export_counts(x.plan)
@@ -368,6 +396,25 @@ def skip_intervals(x: Inputs) -> DataFrame:
     return plans.skip_intervals(x.found.pauses, x.found.mask, x.clips)
 
 
+@query
+def pause_deletes(x: Inputs) -> DataFrame:
+    """The deletes of masks as intervals."""
+    return segments.pause_deletes(x.found.pauses, x.facts, x.catalog, PARAMS).select(VIDEO, "pause_id", "start", "end")
+
+
+@query
+def skip_union(x: Inputs) -> DataFrame:
+    """The skip intervals as the fewest intervals."""
+    return intervals.union(x.skips.select(VIDEO, "start", (F.col("end") - 1).alias("end")))
+
+
+@query
+def kept_speeds(x: Inputs) -> DataFrame:
+    """Parts of speed runs that are left of the skips, by joining intervals with intervals."""
+    kept = intervals.complement(x.skips.select(VIDEO, "start", (F.col("end") - 1).alias("end")), x.catalog)
+    return intervals.overlaps(kept, x.found.speeds)
+
+
 @query
 def valid_frames(x: Inputs) -> DataFrame:
     return x.base_plan.where(~F.col("del")).select(VIDEO, FRAME, "state")
@@ -375,7 +422,7 @@ def valid_frames(x: Inputs) -> DataFrame:
 
 @query
 def next_kept(x: Inputs) -> DataFrame:
-    return plans.next_kept(x.plan, x.catalog)
+    return plans.next_kept(x.facts.select(VIDEO, FRAME), x.skips)
 
 
 @query
@@ -591,6 +638,14 @@ def single_masks(x: Inputs) -> DataFrame:
     return edits.single_masks(x.toggled, x.found.pauses, x.mode_edits, x.facts, x.catalog, PARAMS)
 
 
+@query
+def edit_replay(x: Inputs) -> DataFrame:
+    """Masks and modes after bulk edits, single edits and toggles as one history."""
+    log = edits.edit_log(x.bulk_edits, x.mode_edits, x.toggle_edits)
+    done = edits.replay_edits(log, x.found.pauses, x.found.mask, x.facts, x.catalog, PARAMS)
+    return done.mask.join(done.pauses.select(VIDEO, "pause_id", "mode"), [VIDEO, "pause_id"])
+
+
 @query
 def trim_handles(x: Inputs) -> DataFrame:
     return x.clips
@@ -610,13 +665,19 @@ def _streamed(x: Inputs, rows: DataFrame, files: int, operator: Callable[[DataFr
 
 @query
 def stream_frame_diff(x: Inputs) -> DataFrame:
-    return _streamed(x, x.pixels.select(VIDEO, FRAME, "px"), 4, streams.stream_frame_diff)
+    rows = x.pixels.select(VIDEO, FRAME, "px")
+    return streams.settled_diffs(_streamed(x, rows, 4, lambda frames: streams.stream_frame_diff(frames, 16)), rows)
 
 
 @query
 def stream_runs(x: Inputs) -> DataFrame:
-    rows = x.facts.join(x.catalog.select(VIDEO, "total"), VIDEO).select(VIDEO, FRAME, F.col("state").cast("int").alias("state"), (F.col(FRAME) == F.col("total") - 1).alias("last"))
-    return _streamed(x, rows, 4, streams.stream_runs)
+    return streams.settled_runs(_streamed(x, x.facts.select(VIDEO, FRAME, "state"), 4, streams.stream_runs))
+
+
+@query
+def stream_runs_long(x: Inputs) -> DataFrame:
+    """All frames as one video, its stretches shuffled over the files."""
+    return streams.settled_runs(_streamed(x, x.one_video.select(VIDEO, FRAME, "state"), 6, streams.stream_runs))
 
 
 @query

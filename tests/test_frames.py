@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cutframe.functions import pixels as kernel
 from cutframe.functions import scalar
 from cutframe.operators import delete_plan as plans
-from cutframe.operators import edits, export, lookup, pixels, segments
+from cutframe.operators import edits, export, intervals, lookup, pixels, segments
 from cutframe.operators.islands import interval_join, run_bounds
 from cutframe.plans import timeline
 from cutframe.schema import Params
@@ -158,10 +158,11 @@ def test_plan_ranges_and_lookups(videos):
     assert rows_of(plan, "video_id", "frame_idx", "del") == [(n, i, g) for n, v in all_videos.items() for i, g in enumerate(v.gone)]
     ranges = plans.kept_ranges(plan)
     assert rows_of(ranges, "video_id", "range_idx", "start_frame", "end_frame") == [(n, i, *r) for n, v in all_videos.items() for i, r in enumerate(v.kept_ranges())]
-    after = {(r["video_id"], r["frame_idx"]): r["next"] for r in plans.next_kept(plan, catalog).collect()}
+    skips = plans.skip_intervals(found.pauses, found.mask, found.clips)
+    after = {(r["video_id"], r["frame_idx"]): r["next"] for r in plans.next_kept(frames.select("video_id", "frame_idx"), skips).collect()}
     for n, v in all_videos.items():
-        for i in range(len(v.gone)):
-            assert after[n, i] == next((j for j in range(i, len(v.gone)) if not v.gone[j]), len(v.gone))
+        for i in range(len(v.base)):
+            assert after[n, i] == next((j for j in range(i, len(v.base)) if not v.base[j]), len(v.base))
     moved = {(r["video_id"], r["frame_idx"]): r["out_frame"] for r in plans.concat_remap(ranges).collect()}
     for n, v in all_videos.items():
         kept = [i for i, g in enumerate(v.gone) if not g]
@@ -504,19 +505,180 @@ def test_differences_over_gaps(spark):
     assert rows_of(segments.frame_diff(frames), "frame_idx", "diff") == want
 
 
+def loop_set(rows):
+    return {(v, f) for v, s, e in rows for f in range(s, e + 1)}
+
+
+def loop_intervals(points):
+    out = []
+    for v, f in sorted(points):
+        if out and out[-1][0] == v and out[-1][2] == f - 1:
+            out[-1] = (v, out[-1][1], f)
+        else:
+            out.append((v, f, f))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_interval_algebra_equals_sets_of_frames(spark, chunk):
+    rng = random.Random(chunk)
+    draw = lambda n: [(v, s, s + rng.choice([-1, 0, 1, 3, 20])) for v in (1, 2, 3) for s in (rng.randrange(-5, 60) for _ in range(n))]
+    one, other = draw(12), draw(6)
+    make = lambda rows: spark.createDataFrame(rows, "video_id long, start long, end long")
+    catalog = spark.createDataFrame([(1, 50), (2, 7), (3, 0), (4, 15)], "video_id long, total long")
+    inside = loop_set([(1, 0, 49), (2, 0, 6), (4, 0, 14)])
+    got = lambda df: rows_of(df, "video_id", "start", "end")
+    assert got(intervals.union(make(one).where("start >= 0"), chunk)) == loop_intervals(loop_set([r for r in one if r[1] >= 0]))
+    assert got(intervals.complement(make(one), catalog, chunk)) == loop_intervals(inside - loop_set(one))
+    assert got(intervals.difference(make(one), make(other), catalog, chunk)) == loop_intervals(loop_set(one) & inside - loop_set(other))
+    pairs = intervals.overlaps(make(one).withColumn("a", F.monotonically_increasing_id()), make(other).withColumn("b", F.monotonically_increasing_id()), chunk)
+    want = sorted((v, max(s, t), min(e, f)) for v, s, e in one for w, t, f in other if v == w and s <= e and t <= f and max(s, t) <= min(e, f))
+    assert got(pairs) == want
+
+
+@pytest.mark.parametrize("params", [PARAMS, Params(), Params(speedup_1x=False, speedup_02=False), Params(speedup_02_factor=2)])
+def test_plans_on_intervals_equal_plans_of_frames(videos, params):
+    _, frames, catalog, found = videos
+    plan = plans.delete_plan(frames, found.pauses, found.mask, found.clips, params)
+    deletes = segments.pause_deletes(found.pauses, frames, catalog, params)
+    assert rows_of(spread_codes(deletes), "video_id", "frame_idx") == rows_of(found.mask.where("code = 1"), "video_id", "frame_idx")
+    for mask in (deletes, found.mask):
+        pieces = plans.plan_pieces(plans.skip_intervals(found.pauses, mask, found.clips), found.runs, catalog, params).cache()
+        assert rows_of(plans.plan_of_pieces(frames, pieces), "video_id", "frame_idx", "state", "del") == rows_of(plan, "video_id", "frame_idx", "state", "del")
+        assert rows_of(plans.ranges_of_pieces(pieces), "video_id", "range_idx", "start_frame", "end_frame") == rows_of(plans.kept_ranges(plan), "video_id", "range_idx", "start_frame", "end_frame")
+
+
+def spread_codes(deletes):
+    return deletes.select("video_id", F.explode(F.sequence("start", "end")).alias("frame_idx"))
+
+
+def test_segment_summary_equals_its_frames(videos):
+    _, frames, _, found = videos
+    base = plans.delete_plan(frames, found.pauses, found.mask, found.clips, Params(speedup_1x=False, speedup_02=False))
+    numbered = export.segment_order(export.merge_adjacent_segments(export.export_segments(base, found.pauses, True, True))).cache()
+    present = frames.where("frame_idx % 11 <> 5").select("video_id", "frame_idx")
+    written = export.segment_frames(numbered, present).groupBy("video_id", "seg_no").count()
+    got = {(r["video_id"], r["seg_no"]): r["written"] for r in export.segment_summary(numbered, present).collect() if r["written"]}
+    assert got == {(r["video_id"], r["seg_no"]): r["count"] for r in written.collect()}
+
+
+def test_a_null_state_stays_in_the_plan(spark):
+    facts = spark.createDataFrame([(1, 0, None), (1, 1, 2), (1, 2, 2), (1, 3, None)], "video_id long, frame_idx long, state tinyint")
+    deletes = spark.createDataFrame([(1, 3), (1, 9)], "video_id long, frame_idx long")
+    assert rows_of(plans.mark_deletes(facts, deletes), "frame_idx", "del") == [(0, False), (1, False), (2, False), (3, True)]
+    skips = spark.createDataFrame([(1, 3, 4)], "video_id long, start long, end long")
+    catalog = spark.createDataFrame([(1, 4)], "video_id long, total long")
+    pieces = plans.plan_pieces(skips, segments.state_runs(facts), catalog, PARAMS)
+    assert rows_of(plans.plan_of_pieces(facts, pieces), "frame_idx", "del") == [(0, False), (1, False), (2, True), (3, True)]
+
+
+def loop_replay(log, pauses, masks, thresh):
+    """Mode and codes of each pause, edit by edit."""
+    modes, codes = {p[0]: p[3] for p in pauses}, {p[0]: list(masks[p[0]]) for p in pauses}
+    for seq, kind, frame, mode in sorted(log, key=lambda e: (e[0], e[1])):
+        for pid, s, e, _, diff in pauses:
+            if kind != "bulk" and not s <= frame <= e:
+                continue
+            if kind == "toggle":
+                if modes[pid] == "auto":
+                    c, i = codes[pid], frame - s
+                    a = b = i
+                    while a > 0 and c[a - 1] == c[i]:
+                        a -= 1
+                    while b < len(c) - 1 and c[b + 1] == c[i]:
+                        b += 1
+                    c[a : b + 1] = [2 if c[i] in (0, 3) else 3] * (b + 1 - a)
+                continue
+            if mode == "auto":
+                codes[pid] = list(masks[pid])
+            modes[pid] = ("all" if diff < thresh else "auto") if kind == "bulk" and mode == "auto" else mode
+    return modes, codes
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_edit_history_equals_a_loop_on_the_lazy_chain(spark, videos, seed):
+    """Pauses and masks come straight from timeline.segment, unsaved."""
+    all_videos, frames, catalog, _ = videos
+    rng = random.Random(seed)
+    log = []
+    for n, v in all_videos.items():
+        for seq in range(rng.choice([0, 3, 15])):
+            kind = rng.choice(["bulk", "single", "toggle", "toggle", "toggle"])
+            log.append((n, seq, kind, None if kind == "bulk" else rng.randrange(len(v.states)), None if kind == "toggle" else rng.choice(["auto", "auto", "keep", "all"])))
+    found = timeline.segment(frames, catalog, frames, PARAMS)
+    done = edits.replay_edits(spark.createDataFrame(log, "video_id long, seq long, kind string, frame_idx long, mode string"), found.pauses, found.mask, frames, catalog, PARAMS)
+    modes, codes = rows_of(done.pauses, "video_id", "pause_id", "mode"), rows_of(done.mask, "video_id", "frame_idx", "code")
+    want_modes, want_codes = [], []
+    for n, v in all_videos.items():
+        pauses = [(i, s, e, mode, diff) for i, (s, e, mode, diff) in enumerate(v.pauses)]
+        m, c = loop_replay([x[1:] for x in log if x[0] == n], pauses, {i: [v.mask[f] for f in range(s, e + 1)] for i, s, e, *_ in pauses}, PARAMS.boundary_thresh)
+        want_modes += [(n, i, m[i]) for i, *_ in pauses]
+        want_codes += [(n, s + k, code) for i, s, *_ in pauses for k, code in enumerate(c[i])]
+    assert modes == sorted(want_modes) and codes == sorted(want_codes)
+
+
+def test_every_operator_on_the_lazy_chain(spark, videos):
+    _, frames, catalog, _ = videos
+    found = timeline.segment(frames, catalog, frames, PARAMS)
+    some = frames.where("frame_idx % 5 = 0").select("video_id", "frame_idx", F.col("frame_idx").alias("seq"))
+    auto = found.pauses.where("mode = 'auto'")
+    located = edits.edited_pauses(some, auto)
+    modes = some.withColumn("mode", F.lit("auto"))
+    moves = interval_join(some, found.clips.select("video_id", "clip_id", "start", "end")).select("video_id", "clip_id", "seq", F.lit("in").alias("side"), F.col("frame_idx").alias("tf"))
+    clips = edits.trim_handles(found.clips, moves)
+    toggled = edits.toggle_blocks(found.mask, located)
+    plan = plans.delete_plan(frames, found.pauses, toggled, clips, PARAMS)
+    chains = [
+        toggled, edits.toggle_block(found.mask, located.dropDuplicates(["video_id", "pause_id"])), edits.single_mode(found.pauses, modes), edits.single_masks(toggled, found.pauses, modes, frames, catalog, PARAMS),
+        edits.bulk_masks(toggled, found.pauses, frames, catalog, "auto", PARAMS), plan, plans.ranges_of_pieces(plans.plan_pieces(plans.skip_intervals(found.pauses, toggled, clips), found.runs, catalog, PARAMS)),
+        lookup.segment_lookup(some.withColumnRenamed("seq", "probe_id"), found.pauses, found.speeds), lookup.timeline_layers(toggled, found.pauses, clips, catalog, 20), lookup.timeline_buckets(plan, catalog, 20),
+        export.export_segments(plans.base_plan(frames, found.pauses, found.mask, clips), found.pauses, True, True), plans.next_kept(some, plans.skip_intervals(found.pauses, toggled, clips)),
+    ]
+    for chain in chains:
+        chain.write.format("noop").mode("overwrite").save()
+    assert rows_of(plans.ranges_of_pieces(plans.plan_pieces(plans.skip_intervals(found.pauses, toggled, clips), found.runs, catalog, PARAMS)), "video_id", "range_idx", "start_frame", "end_frame") == rows_of(plans.kept_ranges(plan), "video_id", "range_idx", "start_frame", "end_frame")
+
+
+def streamed(spark, tmp_path, rows, operator, files=6, trigger=2):
+    source = str(tmp_path / "in")
+    rows.repartition(files).write.parquet(source)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", trigger).parquet(source)
+    result = operator(arriving)
+    streams.run_to_end(result, str(tmp_path / "out"), str(tmp_path / "state"))
+    return spark.read.schema(result.schema).parquet(str(tmp_path / "out"))
+
+
+def test_streamed_runs_of_a_long_video(spark, tmp_path):
+    """100,000 frames dealt at random over the files: all runs, and no frame lost."""
+    facts = spark.range(100_000).select(F.lit(1).cast("long").alias("video_id"), F.col("id").alias("frame_idx"), F.expr("CAST((id div 1000 + IF(id % 5003 = 7, 1, 0)) % 5 AS TINYINT)").alias("state"))
+    said = streamed(spark, tmp_path, facts.orderBy(F.rand(3)), streams.stream_runs)
+    got = streams.settled_runs(said)
+    assert got.agg(F.sum(F.expr("end - start + 1"))).first()[0] == 100_000
+    assert rows_of(got, "state", "start", "end") == rows_of(segments.state_runs(facts), "state", "start", "end")
+
+
 @pytest.mark.parametrize("payload", ["array<int>", "binary"])
-def test_streams_go_on_after_lost_frames(spark, tmp_path, payload):
-    there = [0, 1, 2, 6, 7, 9]
-    rows = [(1, f, [f * 3, 1] if payload != "binary" else bytearray([f * 3, 1]), 1, f == 9) for f in there]
-    frames = spark.createDataFrame(rows, f"video_id long, frame_idx long, px {payload}, state int, last boolean")
-    frames.coalesce(1).write.parquet(str(tmp_path / "in"))
-
-    def run(name, operator, max_early):
-        arriving = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in"))
-        streams.run_to_end(operator(arriving, max_early), str(tmp_path / name), str(tmp_path / f"{name}-state"))
-        return spark.read.parquet(str(tmp_path / name))
-
-    assert rows_of(run("all", streams.stream_frame_diff, 0), "frame_idx", "diff") == [(0, 0.0), (1, 1.5), (2, 1.5), (6, 6.0), (7, 1.5), (9, 3.0)]
-    assert rows_of(run("waiting", streams.stream_frame_diff, 3), "frame_idx", "diff") == [(0, 0.0), (1, 1.5), (2, 1.5)]
-    assert rows_of(run("one", streams.stream_frame_diff, 2), "frame_idx", "diff") == [(0, 0.0), (1, 1.5), (2, 1.5), (6, 6.0), (7, 1.5)]
-    assert rows_of(run("runs", streams.stream_runs, 0), "start", "end") == [(0, 2), (6, 7), (9, 9)]
+def test_streamed_differences_in_any_order_and_over_gaps(spark, tmp_path, payload):
+    rng = random.Random(5)
+    lost = {3, 4, *range(28, 38), *range(60, 90), 96}
+    rows = [(v, f, [rng.randrange(256) for _ in range(6)]) for v in (1, 2) for f in range(v - 1, 140) if f not in lost or v == 2]
+    rng.shuffle(rows)
+    data = [(v, f, bytearray(px) if payload == "binary" else px) for v, f, px in rows]
+    frames = spark.createDataFrame(data + data[:9], f"video_id long, frame_idx long, px {payload}")
+    said = streamed(spark, tmp_path, frames, lambda s: streams.stream_frame_diff(s, 16, 2))
+    distinct = spark.createDataFrame(rows, "video_id long, frame_idx long, px array<int>")
+    want = rows_of(pixels.chunked_frame_diff(distinct, 16), "video_id", "frame_idx", "diff")
+    assert rows_of(streams.settled_diffs(said, distinct), "video_id", "frame_idx", "diff") == want
+    without = {(r["video_id"], r["frame_idx"]): r["diff"] for r in streams.settled_diffs(said).collect()}
+    assert {k for k, d in without.items() if d is None} == {(1, 38), (1, 90)}  # gaps over a border that are longer than the overlap
+
+
+def test_late_frames_join_runs_of_an_earlier_batch(spark, tmp_path):
+    """Ten batches, the first of which has only every tenth frame."""
+    for n, part in enumerate([range(0, 400, 10), [i for i in range(400) if i % 10 and i not in (205, 206)]]):
+        spark.createDataFrame([(1, i, int(i >= 200)) for i in part], "video_id long, frame_idx long, state int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema("video_id long, frame_idx long, state int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    result = streams.stream_runs(arriving, 64)
+    streams.run_to_end(result, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = streams.settled_runs(spark.read.schema(result.schema).parquet(str(tmp_path / "out")))
+    assert rows_of(got, "state", "start", "end") == [(0, 0, 199), (1, 200, 204), (1, 207, 399)]
