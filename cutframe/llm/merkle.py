@@ -102,8 +102,9 @@ class Forest:
         out = None
         for b, band in enumerate(self.bands):
             grown = _levels(band, self.fanout)
-            for k in range(BAND if b else -1, BAND):
-                part = grown.select("tree", F.lit(b * BAND + k + 1).alias("level"), F.explode(f"_l{k + 1}").alias("x")).select("tree", "level", "x.*")
+            for k in range(0 if b else -1, BAND):
+                # explode_outer: a filter on the size of the array would be pushed down through all levels, each written out once for every use
+                part = grown.select("tree", F.lit(b * BAND + k + 1).alias("level"), F.explode_outer(f"_l{k + 1}").alias("x")).where("x IS NOT NULL").select("tree", "level", "x.*")
                 out = part if out is None else out.unionByName(part)
         return out
 
