@@ -2,16 +2,16 @@
 
 The builder supplies implied tags (a paragraph ends where a block starts, an item where the next one starts, and so
 on) and skips what no end tag matches. The renderer drops what is not shown (by attributes, inline styles, and rules of the page's
-own style elements for single tags, classes and ids) and emits all visible text: blocks on lines of their own, paragraphs apart
+own style elements for tags, classes and ids, alone, together, and below others) and emits all visible text: blocks on lines of their own, paragraphs apart
 by an empty line, list items with their marks, table cells aligned in columns. Texts of drawings and formulas and what input
 fields and buttons show (value, else placeholder) are text of the line.
 
 Pages of any depth are built and rendered without recursion, and time is linear in a page's length also where its markup is
-broken. Layout has bounds that lose no text: lines are indented by at most `MAX_INDENT`, columns padded to at most
+broken; rules with several compounds cost each element a look at those begun around it. Layout has bounds that lose no text: lines are indented by at most `MAX_INDENT`, columns padded to at most
 `MAX_COLUMN` and to no more than `MAX_OFFSET` from the left, and tables inside `MAX_TABLES` others are laid out as blocks.
 
 Defined results: null pages give null, empty ones an empty text; unclosed tags and comments run to the end; style rules with
-combinators, pseudo-classes or inside at-rules are not applied; repeated rows give equal texts; other columns pass through.
+attributes, pseudo-classes or sibling combinators, and inside at-rules other than `@media` for screens, are not applied; repeated rows give equal texts; other columns pass through.
 """
 
 from __future__ import annotations
@@ -64,7 +64,11 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 SHOWING = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([a-z-]+)(?:\s*(!\s*important))?", re.IGNORECASE)
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
 BRACE = re.compile(r"[{};]")
-SELECTOR = re.compile(r"[a-zA-Z][\w-]*|[.#][\w-]+")
+SIMPLE = re.compile(r"[.#]?[a-zA-Z_-][\w-]*")
+COMPOUND = r"(?:[a-zA-Z][\w-]*)?(?:[.#][\w-]+)*(?<![\s>])"
+SELECTOR = re.compile(rf"{COMPOUND}(?:(?:\s*>\s*|\s+){COMPOUND})*")
+SELECTOR_PART = re.compile(r"\s*>\s*|\s+|[^\s>]+")
+SCREEN = frozenset(("all", "screen", "only all", "only screen"))
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -194,57 +198,127 @@ def build(html: str) -> Tree:
 
 
 def style_rules(css: str) -> Iterator[tuple[str, str]]:
-    """(selectors, declarations) of a style sheet, without at-rules."""
+    """(selectors, declarations) of a style sheet in order, also from inside `@media` for screens; other at-rules are left out."""
     css = COMMENT.sub(" ", css)
-    depth, start, head = 0, 0, ""
+    open_at: list[tuple[str, int, bool]] = []  # head, where its body starts, whether what it holds counts
+    start = 0
     for m in BRACE.finditer(css):
         if m[0] == "{":
-            if not depth:
-                head, start = css[start : m.start()].strip(), m.end()
-            depth += 1
+            head, counts = css[start : m.start()].strip(), not open_at or open_at[-1][2]
+            screen = head[:6].lower() == "@media" and any(" ".join(x.lower().split()) in SCREEN for x in head[6:].split(","))
+            open_at.append((head, m.end(), counts and screen))
+            start = m.end()
         elif m[0] == "}":
-            depth -= depth > 0
-            if not depth:
-                if not head.startswith("@"):
-                    yield head, css[start : m.start()]
-                start = m.end()
-        elif not depth:
+            if open_at:
+                head, body, _ = open_at.pop()
+                if (not open_at or open_at[-1][2]) and not head.startswith("@"):
+                    yield head, css[body : m.start()]
+            start = m.end()
+        elif not open_at or open_at[-1][2]:
             start = m.end()
 
 
+class Rule:
+    """A place in the tree of selectors: what the selectors that end here decide, and the compounds that may follow below (inside) or right below (direct)."""
+
+    __slots__ = ("direct", "inside", "wins")
+
+    def __init__(self):
+        self.wins: dict[str, tuple] = {}
+        self.inside: dict[str, dict[frozenset, Rule]] = {}
+        self.direct: dict[str, dict[frozenset, Rule]] = {}
+
+    def follow(self, compound: frozenset, direct: bool) -> Rule:
+        key = max(compound, key=lambda name: (name[0] == "#", name[0] == ".", name))  # an element looks this one up
+        return (self.direct if direct else self.inside).setdefault(key, {}).setdefault(compound, Rule())
+
+
+class Shown:
+    """How an element stands: whether its text is visible (the truth value), and which selectors have been met on the way to it."""
+
+    __slots__ = ("around", "here", "visible")
+
+    def __init__(self, visible: bool, around: tuple[Rule, ...], here: tuple[Rule, ...]):
+        self.visible, self.around, self.here = visible, around, here
+
+    def __bool__(self) -> bool:
+        return self.visible
+
+
 class Styles:
-    """What is shown: display and visibility by attributes, inline styles, and a page's rules for single tags, .classes and #ids."""
+    """What is shown: display and visibility by attributes, inline styles, and a page's rules for tags, .classes and #ids, alone, together, and below others.
+
+    What a rule decides is settled when the sheet is read, once for all its selectors. An element then looks up its own names, in the
+    selectors that have been begun around it.
+    """
+
+    INLINE = (1 << 30, 0, 0)
 
     def __init__(self, sheets: list[str]):
-        self.rules = defaultdict(list)  # selector -> declarations
+        self.root, self.any = Rule(), False
         for order, (head, body) in enumerate(x for css in sheets for x in style_rules(css)):
-            for selector in map(str.strip, head.split(",")):
-                if SELECTOR.fullmatch(selector) and SHOWING.search(body):
-                    self.rules[selector if selector[0] in ".#" else selector.lower()].append((order, body))
-
-    def of(self, node: Node) -> dict[str, str]:
-        """Property -> value: important ones first, then inline, by id, by class, by tag; the later one of equals."""
+            decided = self.settled(body)
+            for selector in map(str.strip, head.split(",") if decided else ()):
+                if SELECTOR.fullmatch(selector):
+                    self.add(selector, order, decided)
+
+    @staticmethod
+    def settled(body: str) -> dict[str, tuple]:
+        """Property -> (important, place, value) that wins inside one block of declarations."""
         found: dict[str, tuple] = {}
-        own = [(3, 0, style)] if node.attrs and (style := node.get("style")) else []
-        if self.rules:
-            names = [(0, node.tag), *((1, f".{c}") for c in (node.get("class") or "").split()), (2, f"#{node.get('id')}")] if node.attrs else [(0, node.tag)]
-            own += [(level, order, body) for level, name in names if name in self.rules for order, body in self.rules[name]]
-        for level, order, body in own:
-            for at, m in enumerate(SHOWING.finditer(body)):
-                rank = (m[3] is not None, level, order, at)
-                if rank >= found.get(m[1].lower(), (rank,))[0]:
-                    found[m[1].lower()] = (rank, m[2].lower())
-        return {name: value for name, (_, value) in found.items()}
-
-    def seen(self, node: Node, inherited: bool) -> bool | None:
-        """None if the node has no box; else whether its own text is visible."""
+        for at, m in enumerate(SHOWING.finditer(body)):
+            new = (m[3] is not None, at, m[2].lower())
+            found[m[1].lower()] = max(new, found.get(m[1].lower(), new))
+        return found
+
+    def add(self, selector: str, order: int, decided: dict[str, tuple]) -> None:
+        rule, direct, counts = self.root, False, [0, 0, 0]
+        for part in SELECTOR_PART.findall(selector):
+            if part.strip() in ("", ">"):
+                direct = ">" in part
+                continue
+            names = frozenset(n if n[0] in ".#" else n.lower() for n in SIMPLE.findall(part))
+            for n in names:
+                counts[{"#": 0, ".": 1}.get(n[0], 2)] += 1
+            rule = rule.follow(names, direct)
+        for name, (important, at, value) in decided.items():
+            new = (important, tuple(counts), order, at, value)
+            rule.wins[name] = max(new, rule.wins.get(name, new))
+        self.any = True
+
+    def met(self, node: Node, above: Shown) -> list[Rule]:
+        """Places in the tree of selectors that the element reaches."""
+        names = {node.tag}
+        if node.attrs:
+            names.update(f".{c}" for c in (node.get("class") or "").split())
+            names.add(f"#{node.get('id')}")
+        found = []
+        for rules, following in ((above.around, "inside"), (above.here, "direct")):
+            for rule in rules:
+                held = getattr(rule, following)
+                for name in names & held.keys() if held else ():
+                    found += [r for compound, r in held[name].items() if len(compound) == 1 or compound <= names]
+        return found
+
+    def seen(self, node: Node, above: Shown) -> Shown | None:
+        """None if the node has no box; else how it stands."""
         if node.tag in UNSEEN:
             return None
-        style = self.of(node) if node.attrs or self.rules else {}
-        display = style.get("display")
+        if not node.attrs and not self.any:
+            return above if node.tag != "dialog" else None
+        reached = self.met(node, above) if self.any else []
+        found: dict[str, tuple] = {}
+        if node.attrs and (style := node.get("style")):
+            found = {name: (important, self.INLINE, 0, at, value) for name, (important, at, value) in self.settled(style).items()}
+        for rule in reached:
+            for name, new in rule.wins.items():
+                found[name] = max(new, found.get(name, new))
+        display = found["display"][-1] if "display" in found else None
         if display == "none" or display is None and (node.attrs and (node.get("hidden") is not None or node.get("popover") is not None) or node.tag == "dialog" and node.get("open") is None):
             return None
-        return {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility"), inherited)
+        visible = {"hidden": False, "collapse": False, "visible": True}.get(found["visibility"][-1] if "visibility" in found else None, above.visible)
+        fresh = tuple(dict.fromkeys(r for r in reached if r.inside and r not in above.around))
+        return Shown(visible, above.around + fresh if fresh else above.around, tuple(r for r in reached if r.direct))
 
 
 class Page:
@@ -334,7 +408,7 @@ def align(rows: list[tuple[Node, list[tuple[list[str], int, int]]]]) -> Iterator
         yield from ("".join(line[1:]) for line in out)
 
 
-def table(node: Node, page: Page, indent: str, seen: bool) -> Iterator:
+def table(node: Node, page: Page, indent: str, seen: Shown) -> Iterator:
     """A table's rows, below its captions and texts outside of cells."""
     rows, captions = [], Page(page.styles, page.tables + 1)
     todo = [(x, node, seen) for x in reversed(node.children)]
@@ -369,7 +443,7 @@ def table(node: Node, page: Page, indent: str, seen: bool) -> Iterator:
             page.end(indent, keep=True)
 
 
-def draw(node: Node, page: Page, indent: str, seen: bool) -> Iterator:
+def draw(node: Node, page: Page, indent: str, seen: Shown) -> Iterator:
     """Texts of a drawing, apart from each other."""
     for x in node.children:
         if isinstance(x, str) or x.tag in UNDRAWN or (shown := page.styles.seen(x, seen)) is None:
@@ -382,7 +456,7 @@ def draw(node: Node, page: Page, indent: str, seen: bool) -> Iterator:
             yield draw(x, page, indent, shown)
 
 
-def flow(node: Node, page: Page, indent: str, pre: bool, seen: bool) -> Iterator:
+def flow(node: Node, page: Page, indent: str, pre: bool, seen: Shown) -> Iterator:
     children, number, step = node.children, 0, 1
     if node.tag == "details" and node.get("open") is None:
         children = [x for x in children if not isinstance(x, str) and x.tag == "summary"][:1]
@@ -442,7 +516,7 @@ def html_text(html: str | None) -> str | None:
         return None
     tree = build(html)
     page = Page(Styles(tree.sheets))
-    run(flow(tree.root, page, "", False, True))
+    run(flow(tree.root, page, "", False, Shown(True, (page.styles.root,), ())))
     return page.done()
 
 
