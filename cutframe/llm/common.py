@@ -42,6 +42,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with more underscores in front where `df` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def own_columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so that other columns cannot clash."""
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in wanted.items()))

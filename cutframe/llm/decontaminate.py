@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, own_columns
+from .common import LOWER, UPPER, own_columns, unused
 
 WINDOW = 13
 #: Most windows that one broadcast holds, and bytes of their words: texts without separators make long words.
@@ -122,16 +122,18 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     follows each up to the next word. Documents below the share lose nothing in "documents" mode.
     """
     verdicts = contamination(documents, benchmark, doc_id, text)
+    own, mark, cuts = (unused(documents, name) for name in ("_id", "_key", "_spans"))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(own)) & (F.xxhash64(f"`{text}`") == F.col(mark))
     if mode == "documents":
-        bad = verdicts.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-        return documents.join(bad, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.xxhash64(f"`{text}`") == F.col("_key")), "left_anti")
+        bad = verdicts.where("contaminated").select(F.col("doc_id").alias(own), F.col("key").alias(mark)).distinct()
+        return documents.join(bad, same, "left_anti")
     if mode != "spans":
         raise ValueError(f"unknown mode: {mode}")
-    hit = verdicts.where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
+    hit = verdicts.where("n_hit > 0").select(F.col("doc_id").alias(own), F.col("key").alias(mark), F.col("spans").alias(cuts)).dropDuplicates([own, mark])
     body = F.col(f"`{text}`")
     pieces = F.regexp_extract_all(body, F.lit(WORD + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
     lead = F.regexp_extract(body, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    bare = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))))
+    bare = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.flatten(F.transform(cuts, lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))))
     cut = F.concat(lead, F.array_join(F.transform(bare, lambda i: F.get(pieces, i)), ""))
-    joined = documents.join(hit, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.xxhash64(f"`{text}`") == F.col("_key")), "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), cut).otherwise(body)).drop("_id", "_key", "_spans")
+    joined = documents.join(hit, same, "left")
+    return joined.withColumn(text, F.when(F.col(cuts).isNotNull(), cut).otherwise(body)).drop(own, mark, cuts)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import materialize, own_columns
+from .common import materialize, own_columns, unused
 from .simhash import SEED, components
 
 WIDTH = 5
@@ -230,7 +230,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot
     rooted = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("least"))
     least = rooted.join(least, "root").where("first_id = least").groupBy("root", "least").agg(F.min("cls").alias("cls"))
-    stay = least.select(F.col("least").alias("_keep"), F.col("cls").alias("_cls"))
-    marked = docs.withColumn("_class", text_class(F.col(f"`{text}`")))
-    named = marked.join(stay, (F.col(f"`{doc_id}`") == F.col("_keep")) & (F.col("_class") == F.col("_cls")), "left_semi").dropDuplicates([doc_id, "_class"])
-    return named.drop("_class").unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
+    own, keep, of = (unused(docs, name) for name in ("_class", "_keep", "_cls"))
+    stay = least.select(F.col("least").alias(keep), F.col("cls").alias(of))
+    marked = docs.withColumn(own, text_class(F.col(f"`{text}`")))
+    named = marked.join(stay, (F.col(f"`{doc_id}`") == F.col(keep)) & (F.col(own) == F.col(of)), "left_semi").dropDuplicates([doc_id, own])
+    return named.drop(own).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))

@@ -26,12 +26,15 @@ import unicodedata
 from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
+from secrets import token_hex
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The session setting that holds the secret, and the key of tests and of the queries on synthetic tables where it is unset: it is public.
+from .common import shared_dir, unused
+
+#: The session setting that holds the secret, and the key of tests and local runs where it is unset: it is public.
 SETTING, KEY = "spark.cutframe.pii.key", "cutframe-pseudonyms"
 ROUNDS = 8
 # Names of months; shapes of the kinds, tried in this order at each place.
@@ -281,8 +284,17 @@ def replacer(key: str, undo: bool = False) -> Callable[[str], tuple[str, dict[st
 
 
 def session_key(spark: SparkSession) -> str:
-    """The secret of the session's setting; without one, the key of the tests, which hides nothing."""
-    return spark.conf.get(SETTING, None) or KEY
+    """The secret of the session's setting; without one, a random key that is made once and kept in the shared folder, beside the intermediate tables.
+
+    Whoever may read that folder can undo the pseudonyms, so a setting is better. In local mode the key of the tests serves, which hides nothing.
+    """
+    if given := spark.conf.get(SETTING, None):
+        return given
+    if spark.sparkContext.master.startswith("local"):
+        return KEY
+    path = f"{shared_dir(spark)}/pii-key"
+    spark.range(1).select(F.lit(token_hex(32)).alias("key")).coalesce(1).write.mode("ignore").parquet(path)
+    return spark.read.schema("key string").parquet(path).agg(F.min("key")).first()[0]
 
 
 def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY, undo: bool = False, counts: str | None = None) -> DataFrame:
@@ -296,7 +308,8 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY, undo: bool
         out = {"text": pd.Series([t for t, _ in done], dtype=object)}
         return pd.DataFrame(out | {f"n_{k}": pd.Series([c.get(k, 0) for _, c in done], dtype="int32") for k in KINDS})
 
-    found = docs.withColumn("_swapped", swapped(F.col(f"`{text}`")))
+    new = unused(docs, "_swapped")
+    found = docs.withColumn(new, swapped(F.col(f"`{text}`")))
     if counts:
-        found = found.withColumn(counts, F.struct(*(F.col(f"_swapped.n_{k}").alias(k) for k in KINDS)))
-    return found.withColumn(text, F.col("_swapped.text")).drop("_swapped")
+        found = found.withColumn(counts, F.struct(*(F.col(f"{new}.n_{k}").alias(k) for k in KINDS)))
+    return found.withColumn(text, F.col(f"{new}.text")).drop(new)

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 # Fixed values of the base kinds: their patterns, least lengths and order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -123,22 +125,24 @@ def span_list(text: Column) -> Column:
 
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
     """`docs` with an array of (kind, start, end) in column `out`."""
-    parts = F.split(F.col("_spans"), ",")
+    spans = unused(docs, "_spans")
+    parts = F.split(F.col(spans), ",")
     rows = F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(F.split(p, ":")[0].alias("kind"), F.split(p, ":")[1].cast("int").alias("start"), F.split(p, ":")[2].cast("int").alias("end")))
-    return docs.withColumn("_spans", span_list(F.col(f"`{text}`"))).withColumn(out, rows).drop("_spans")
+    return docs.withColumn(spans, span_list(F.col(f"`{text}`"))).withColumn(out, rows).drop(spans)
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """`docs` with every secret span of `text` replaced by `mask`; overlapping spans are masked once."""
-    found = find_secrets(docs, text, "_secrets")
+    secrets = unused(docs, "_secrets")
+    found = find_secrets(docs, text, secrets)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
     def step(acc: Column, s: Column) -> Column:
         piece = F.concat(acc["out"], body.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], F.lit(mask)).otherwise(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
 
-    done = F.aggregate(F.sort_array(F.transform("_secrets", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], body.substr(acc["at"] + 1, F.length(body))))
-    return found.withColumn(text, F.when(F.col(f"`{text}`").isNotNull(), done)).drop("_secrets")
+    done = F.aggregate(F.sort_array(F.transform(secrets, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], body.substr(acc["at"] + 1, F.length(body))))
+    return found.withColumn(text, F.when(F.col(f"`{text}`").isNotNull(), done)).drop(secrets)
 
 
 def digest_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

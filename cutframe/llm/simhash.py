@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, own_columns
+from .common import materialize, own_columns, unused
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -255,7 +255,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Rows without an id cannot be named by one: they all stay.
     """
     found = _rooted(docs, doc_id, text, HOT_VARIANT).where("doc_id = component_id")
-    kept = found.groupBy("root", "doc_id").agg(F.min("fp").alias("_kept_fp")).select(F.col("doc_id").alias("_keep"), "_kept_fp")
-    marked = docs.withColumn("_fp", simhash(F.col(f"`{text}`")))
-    named = marked.join(kept, (F.col(f"`{doc_id}`") == F.col("_keep")) & (F.col("_fp") == F.col("_kept_fp")), "left_semi").dropDuplicates([doc_id, "_fp"]).drop("_fp")
+    own, keep, of = (unused(docs, name) for name in ("_fp", "_keep", "_kept_fp"))
+    kept = found.groupBy("root", "doc_id").agg(F.min("fp").alias(of)).select(F.col("doc_id").alias(keep), of)
+    marked = docs.withColumn(own, simhash(F.col(f"`{text}`")))
+    named = marked.join(kept, (F.col(f"`{doc_id}`") == F.col(keep)) & (F.col(own) == F.col(of)), "left_semi").dropDuplicates([doc_id, own]).drop(own)
     return named.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
