@@ -37,6 +37,13 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select(F.floor(F.col("vec_id") / 50).alias(VIDEO), (F.col("vec_id") % 50).alias(FRAME), F.lit(8).alias("w"), F.lit(8).alias("h"), "label", F.transform("embedding", level).alias("px"))
 
 
+def stills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames as 16 x 16 BGR stills: each pixel four times, in three equal channels, as bytes."""
+    wide = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.lpad(F.hex(F.get("px", (F.floor(i / 32) * 8 + F.floor(i % 16 / 2)).cast("int"))), 2, "0"))
+    bytes_of = F.unhex(F.array_join(F.transform(wide, lambda p: F.repeat(p, 3)), ""))
+    return pixels(spark, sf_dir).select(VIDEO, FRAME, F.lit(16).alias("w"), F.lit(16).alias("h"), F.lit(3).alias("channels"), bytes_of.alias("px"))
+
+
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 4 x 4 patch at (2, 2) of the first frame of each label."""
     first = pixels(spark, sf_dir).groupBy("label").agg(F.min_by("px", F.col(VIDEO) * 50 + F.col(FRAME)).alias("src"))

@@ -119,6 +119,22 @@ def best_scores(planes: np.ndarray, templates: list[dict]) -> np.ndarray:
     return best
 
 
+def reaches(planes: np.ndarray, templates: list[dict], threshold: float) -> np.ndarray:
+    """Whether each plane's best score is at least `threshold`. A plane that a template has decided is not compared to the others."""
+    hit = np.zeros(len(planes), bool)
+    for s in templates:
+        left = np.flatnonzero(~hit)
+        if not len(left):
+            break
+        hit[left] = best_scores(planes[left] if len(left) < len(planes) else planes, [s]) >= threshold
+    return hit
+
+
+def mean_difference(a: np.ndarray, b: np.ndarray) -> np.float32:
+    """Mean absolute difference of two planes of 8-bit values."""
+    return np.float32(np.abs(a.astype(np.int16) - b).sum(dtype=np.int64) / a.size)
+
+
 def best_place(plane: np.ndarray, t: np.ndarray) -> tuple[int, int, float] | None:
     """(x, y, score) of the best unmasked match; the first in rows then columns of equals."""
     scores = ncc(plane[None], t, np.ones_like(t))[0]

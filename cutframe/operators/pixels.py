@@ -18,16 +18,17 @@ MAX_TEMPLATES, MAX_PIXELS = 10_000, 20_000_000
 
 
 def area_resize(frames: DataFrame, out_w: int, out_h: int) -> DataFrame:
-    """Frames (w, h, px) at another size: video_id, frame_idx, w, h, px."""
+    """Frames (w, h, px) at another size: video_id, frame_idx, w, h, px, the pixels as they came (BINARY or numbers)."""
+    binary = dict(frames.dtypes)["px"] == "binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for (w, h), rows in batch.groupby(["w", "h"], sort=False):
                 planes = kernel.area_resize(np.stack([kernel.plane(px, w, h) for px in rows["px"]]), out_w, out_h)
-                out = list(planes.reshape(len(rows), -1).astype(np.int32))
+                out = [p.tobytes() for p in planes] if binary else list(planes.reshape(len(rows), -1).astype(np.int32))
                 yield pd.DataFrame({VIDEO: rows[VIDEO], FRAME: rows[FRAME], "w": np.int32(out_w), "h": np.int32(out_h), "px": pd.Series(out, index=rows.index, dtype=object)})
 
-    return frames.select(VIDEO, FRAME, "w", "h", "px").mapInPandas(run, f"{VIDEO} long, {FRAME} long, w int, h int, px array<int>")
+    return frames.select(VIDEO, FRAME, "w", "h", "px").mapInPandas(run, f"{VIDEO} long, {FRAME} long, w int, h int, px {'binary' if binary else 'array<int>'}")
 
 
 def chunked_frame_diff(frames: DataFrame, chunk: int = 256) -> DataFrame:
@@ -52,21 +53,53 @@ def chunked_frame_diff(frames: DataFrame, chunk: int = 256) -> DataFrame:
     return dealt.groupBy(VIDEO, "chunk").applyInPandas(run, f"{VIDEO} long, {FRAME} long, diff float")
 
 
-def _shipped(templates: DataFrame) -> dict[str, list[dict]]:
+def shipped(templates: DataFrame) -> dict[str, list[dict]]:
     """Templates (class, roi_x, roi_y, roi_w, roi_h, t_w, t_h, t, m) by class, as arrays."""
     held = templates.agg(F.count(F.lit(1)), F.sum(F.col("t_w").cast("long") * F.col("t_h"))).first()
     if held[0] > MAX_TEMPLATES or (held[1] or 0) > MAX_PIXELS:
         raise ValueError(f"more than {MAX_TEMPLATES} templates or {MAX_PIXELS} pixels of templates")
-    rows = templates.collect()
+    area = lambda r: {"x": r["roi_x"], "y": r["roi_y"], "w": r["roi_w"], "h": r["roi_h"], "t": np.array(r["t"]).reshape(r["t_h"], r["t_w"]), "m": np.array(r["m"]).reshape(r["t_h"], r["t_w"])}
+    return by_class((r["class"], area(r)) for r in templates.collect())
+
+
+def by_class(rows) -> dict[str, list[dict]]:
     by: dict[str, list[dict]] = {c: [] for c in CLASSES}
-    for r in rows:
-        by[r["class"]].append({"x": r["roi_x"], "y": r["roi_y"], "w": r["roi_w"], "h": r["roi_h"], "t": np.array(r["t"]).reshape(r["t_h"], r["t_w"]), "m": np.array(r["m"]).reshape(r["t_h"], r["t_w"])})
+    for name, template in rows:
+        by[name].append(template)
     return by
 
 
+def cascade(planes: np.ndarray, shipped: dict[str, list[dict]], params: Params) -> np.ndarray:
+    """State of each plane as `classify` gives it, in stages: only planes that no stage has decided go on to the next one."""
+    out = np.full(len(planes), NORMAL, np.int8)
+    left = np.arange(len(planes))
+    hit = kernel.reaches(planes, shipped["pause"], params.threshold_pause)
+    out[hit], left = PAUSE, left[~hit]
+    if len(left) and (shipped["speed_1x"] or shipped["speed_2x"]):
+        one, two = (kernel.best_scores(planes[left], shipped[c]) for c in ("speed_1x", "speed_2x"))
+        is_one, is_two = (one >= params.threshold_speed_1x) & (one > two), (two >= params.threshold_speed_2x) & (two > one)
+        out[left[is_one]], out[left[is_two]] = SPEED_1X, SPEED_2X
+        left = left[~is_one & ~is_two]
+    if len(left):
+        out[left[kernel.reaches(planes[left], shipped["speed_0_2x"], params.threshold_speed_0_2x)]] = SPEED_02X
+    return out
+
+
+def states(frames: DataFrame, templates: DataFrame, params: Params) -> DataFrame:
+    """video_id, frame_idx, state of gray frames (w, h, px), without the scores that do not matter for them. No shuffle."""
+    held = shipped(templates)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (w, h), rows in batch.groupby(["w", "h"], sort=False):
+                yield pd.DataFrame({VIDEO: rows[VIDEO], FRAME: rows[FRAME], "state": cascade(np.stack([kernel.plane(p, w, h) for p in rows["px"]]), held, params)})
+
+    return frames.select(VIDEO, FRAME, "w", "h", "px").mapInPandas(run, f"{VIDEO} long, {FRAME} long, state tinyint")
+
+
 def class_scores(frames: DataFrame, templates: DataFrame) -> DataFrame:
     """Best score of every frame for each class: video_id, frame_idx, and one column a class (-1.0 without a finite score). No shuffle."""
-    return frames.select(VIDEO, FRAME, "w", "h", "px").mapInPandas(scorer(_shipped(templates)), scores_schema())
+    return frames.select(VIDEO, FRAME, "w", "h", "px").mapInPandas(scorer(shipped(templates)), scores_schema())
 
 
 def scores_schema() -> str:

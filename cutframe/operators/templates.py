@@ -20,11 +20,22 @@ def nearest(plane: np.ndarray, out_w: int, out_h: int) -> np.ndarray:
     return plane[np.arange(out_h) * h // out_h][:, np.arange(out_w) * w // out_w]
 
 
-def prepare_templates(images: DataFrame, proc_w: int, proc_h: int, mask_level: int = 10) -> DataFrame:
-    """Rows of SCHEMA from images (class, role, origin, w, h, channels, px).
+LOCATED = "class string, template_id int, x int, y int, src_w int, src_h int, w int, h int, gray binary"
+
+
+def scaled(template: np.ndarray, x: int, y: int, src_w: int, src_h: int, proc_w: int, proc_h: int, mask_level: int) -> dict:
+    """A template (x, y: its place in the source) at processing size, with its mask and its search area, twice its size about that place."""
+    h, w = template.shape
+    sx, sy = proc_w / src_w, proc_h / src_h
+    tw, th = max(1, int(w * sx)), max(1, int(h * sy))
+    area = {"x": max(0, int(x * sx - w * sx / 2)), "y": max(0, int(y * sy - h * sy / 2)), "w": int(w * sx * 2), "h": int(h * sy * 2)}
+    return area | {"t": kernel.area_resize(template[None], tw, th)[0].astype(np.int32), "m": nearest((template > mask_level).astype(np.int32), tw, th)}
+
 
-    Each template is found in its class's source image; its search area, twice its size about that place, and the template and
-    its mask are brought to processing size. Classes without a source have no templates, nor have templates larger than it.
+def located(images: DataFrame) -> DataFrame:
+    """Rows of LOCATED from images (class, role, origin, w, h, channels, px): where each template is found in its class's source.
+
+    Classes without a source have no templates, nor have templates larger than it.
     """
     source = images.where("role = 'source'").select("class", F.struct("w", "h", "channels", "px").alias("source"))
     number = (F.row_number().over(Window.partitionBy("class").orderBy("origin")) - 1).cast("int")
@@ -39,15 +50,22 @@ def prepare_templates(images: DataFrame, proc_w: int, proc_h: int, mask_level: i
             out = []
             for r in batch.itertuples(index=False):
                 template, whole = plane(r.px, r.w, r.h, r.channels), plane(r.src_px, r.src_w, r.src_h, r.src_channels)
-                if r.w > r.src_w or r.h > r.src_h or not (place := kernel.best_place(whole, template)):
-                    continue
-                x, y, _ = place
-                sx, sy = proc_w / r.src_w, proc_h / r.src_h
-                roi = (max(0, int(x * sx - r.w * sx / 2)), max(0, int(y * sy - r.h * sy / 2)), int(r.w * sx * 2), int(r.h * sy * 2))
-                tw, th = max(1, int(r.w * sx)), max(1, int(r.h * sy))
-                small = kernel.area_resize(template[None], tw, th)[0]
-                mask = nearest((template > mask_level).astype(np.int32), tw, th)
-                out.append((r.kind, r.template_id, x, y, r.src_w, r.src_h, *roi, tw, th, small.ravel().astype(np.int32), mask.ravel()))
+                if r.w <= r.src_w and r.h <= r.src_h and (place := kernel.best_place(whole, template)):
+                    out.append((r.kind, r.template_id, *place[:2], r.src_w, r.src_h, r.w, r.h, template.tobytes()))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in LOCATED.split(", ")])
+
+    return rows.mapInPandas(run, LOCATED)
+
+
+def prepare_templates(images: DataFrame, proc_w: int, proc_h: int, mask_level: int = 10) -> DataFrame:
+    """Rows of SCHEMA from images (class, role, origin, w, h, channels, px): located templates at processing size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                s = scaled(np.frombuffer(r["gray"], np.uint8).reshape(r["h"], r["w"]), r["x"], r["y"], r["src_w"], r["src_h"], proc_w, proc_h, mask_level)
+                out.append((*(r[c] for c in ("class", "template_id", "x", "y", "src_w", "src_h")), *(s[c] for c in "xywh"), *s["t"].shape[::-1], s["t"].ravel(), s["m"].ravel()))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return rows.mapInPandas(run, SCHEMA)
+    return located(images).mapInPandas(run, SCHEMA)

@@ -257,6 +257,7 @@ ORACLE = {
         SELECT video_id, frame_idx, CAST(coalesce(list_sum(list_transform(list_zip(px, b), lambda z: abs(z[1] - z[2]))) / 64.0::DOUBLE, 0) AS FLOAT) AS diff
         FROM (SELECT *, lag(px) OVER (PARTITION BY video_id ORDER BY frame_idx) AS b FROM fx_pixels WHERE NOT frame_idx BETWEEN 10 AND 24 AND frame_idx % 7 <> 3)"""),
     "analysis_from_pixels": sql("SELECT video_id, frame_idx, state, diff FROM states JOIN pixel_diffs USING (video_id, frame_idx)"),
+    "facts_from_stills": sql("SELECT video_id, frame_idx, state, diff FROM states JOIN pixel_diffs USING (video_id, frame_idx)"),
     "boundary_diff_pixels": sql("""
         SELECT r.video_id, CAST(row_number() OVER (PARTITION BY r.video_id ORDER BY s) - 1 AS INT) AS pause_id, s AS "start", e AS "end",
                coalesce(list_sum(list_transform(list_zip(a.px, b.px), lambda z: abs(z[1] - z[2]))) / 64.0::DOUBLE, 0) AS boundary_diff, a.px IS NOT NULL AND b.px IS NOT NULL AS "both"

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import delete_plan as plans
 from ..operators import pixels, segments
+from ..operators.stills import analyze_stills, templates_from_images
 from ..schema import FRAME, VIDEO, Params
+from ..sources import tables
 
 
 @dataclass(frozen=True)
@@ -24,8 +26,13 @@ class Segments:
 
 def analyze(frames: DataFrame, templates: DataFrame, params: Params) -> DataFrame:
     """Frame facts of pixel frames: states by templates, diffs to the frame before."""
-    states = pixels.template_gate(frames, pixels.classify(pixels.class_scores(frames, templates), params))
-    return states.join(pixels.chunked_frame_diff(frames), [VIDEO, FRAME])
+    return pixels.states(frames, templates, params).join(pixels.chunked_frame_diff(frames), [VIDEO, FRAME])
+
+
+def analyze_images(spark: SparkSession, stills: str, templates: str, params: Params, keep: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
+    """Frame facts from image files: stills as tables.image_frames and templates as tables.template_images read them. Without any template all frames are normal."""
+    found = templates_from_images(tables.template_images(spark, templates), params.mask_level)
+    return analyze_stills(tables.image_frames(spark, stills), found, params, keep)
 
 
 def signal_distance(a, b):

@@ -12,6 +12,8 @@ from ..schema import CLASSES, FRAME, VIDEO, Params
 
 #: Image types of template folders.
 IMAGE_TYPES = ("png", "jpg", "bmp", "jpeg")
+#: Folders of classes that have other names than their class.
+FOLDERS = {"1x": "speed_1x", "2x": "speed_2x", "play": "speed_0_2x"}
 
 
 def frame_table(spark: SparkSession, path: str, columns: tuple[str, ...] = (VIDEO, FRAME, "state", "diff")) -> DataFrame:
@@ -38,13 +40,20 @@ def _images(spark: SparkSession, path: str) -> DataFrame:
     return typed.select(F.col("image.origin").alias("origin"), F.col("image.width").alias("w"), F.col("image.height").alias("h"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("px"))
 
 
+def _class(folder: Column) -> Column:
+    out = folder
+    for name, kind in FOLDERS.items():
+        out = F.when(folder == name, kind).otherwise(out)
+    return out
+
+
 def template_images(spark: SparkSession, root: str) -> DataFrame:
-    """Images in <root>/templates_<class> and <root>/source_images_<class>: class, role (template or source), origin, w, h, channels, px.
+    """Images in <root>/templates_<class> and <root>/source_images_<class>, or with the folders' names in place of the class: class, role (template or source), origin, w, h, channels, px.
 
     Of several sources of a class the first by name is used.
     """
     found = r"/(templates|source_images)_([^/]+)/[^/]+$"
-    rows = _images(spark, root).select(F.regexp_extract("origin", found, 2).alias("class"), F.when(F.regexp_extract("origin", found, 1) == "templates", "template").otherwise("source").alias("role"), "origin", "w", "h", "channels", "px").where(F.col("class").isin(*CLASSES))
+    rows = _images(spark, root).select(_class(F.regexp_extract("origin", found, 2)).alias("class"), F.when(F.regexp_extract("origin", found, 1) == "templates", "template").otherwise("source").alias("role"), "origin", "w", "h", "channels", "px").where(F.col("class").isin(*CLASSES))
     sources = rows.where("role = 'source'").groupBy("class").agg(F.min("origin").alias("origin"))
     return rows.where("role = 'template'").unionByName(rows.where("role = 'source'").join(sources, ["class", "origin"], "left_semi"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.pixels import _shipped, classify, scorer, scores_schema
+from ..operators.pixels import states
 from ..schema import FRAME, VIDEO, Params
 
 #: Frames of a stretch: states are small, pixels are not.
@@ -134,7 +134,7 @@ def settled_diffs(said: DataFrame, frames: DataFrame | None = None) -> DataFrame
 
 def stream_classify(frames: DataFrame, templates: DataFrame, params: Params) -> DataFrame:
     """video_id, frame_idx, state of arriving frames (w, h, px); nothing is carried over."""
-    return classify(frames.select(VIDEO, FRAME, "w", "h", "px").mapInPandas(scorer(_shipped(templates)), scores_schema()), params)
+    return states(frames, templates, params)
 
 
 def run_to_end(stream: DataFrame, out_path: str, checkpoint: str) -> None:

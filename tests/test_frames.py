@@ -242,6 +242,84 @@ def test_motion_is_compared_as_floats(spark):
 # Edits
 
 
+@pytest.mark.parametrize("missing", ["", "pause", "speed_1x", "speed_0_2x"])
+def test_the_cascade_equals_all_scores(spark, missing):
+    rng = np.random.default_rng(12)
+    patches = {c: [rng.integers(0, 256, (4, 5)) for _ in range(2)] for c in ("pause", "speed_1x", "speed_2x", "speed_0_2x")}
+    planes = rng.integers(0, 256, (60, 10, 14)).astype(np.uint8)
+    for i, c in enumerate(list(patches) * 12):
+        noise = rng.integers(-40, 40, (4, 5))
+        planes[i, 2:6, 3:8] = np.clip(patches[c][i % 2] + noise, 0, 255)
+    rows = [(c, 0, 0, 14, 10, 5, 4, p.ravel().tolist(), [1] * 20) for c, ps in patches.items() if c != missing for p in ps]
+    templates = spark.createDataFrame(rows, "class string, roi_x int, roi_y int, roi_w int, roi_h int, t_w int, t_h int, t array<int>, m array<int>")
+    frames = spark.createDataFrame([(1, i, 14, 10, bytearray(p.tobytes())) for i, p in enumerate(planes)], "video_id long, frame_idx long, w int, h int, px binary")
+    want = rows_of(pixels.classify(pixels.class_scores(frames, templates), Params()), "frame_idx", "state")
+    assert rows_of(pixels.states(frames, templates, Params()), "frame_idx", "state") == want and len({s for _, s in want}) > 3
+
+
+def still_rows(rng, n, lost=()):
+    planes = [rng.integers(0, 256, (6, 8)).astype(np.uint8) for _ in range(n)]
+    return [(v, i, 16, 12, 3, bytearray(np.repeat(np.repeat(np.repeat(p, 2, 0), 2, 1)[..., None], 3, 2).tobytes())) for v in (1, 2) for i, p in enumerate(planes) if v == 2 or i not in lost], planes
+
+
+@pytest.mark.parametrize("tasks,batch", [(1, 7), (5, 1000)])
+def test_stills_to_facts_in_one_pass(spark, tmp_path, tasks, batch):
+    from cutframe.operators import stills as ops
+
+    rows, planes = still_rows(np.random.default_rng(3), 40, lost={7, 8, 20})
+    random.Random(1).shuffle(rows)
+    frames = spark.createDataFrame(rows + rows[:4], "video_id long, frame_idx long, w int, h int, channels int, px binary").repartition(tasks)
+    if tasks == 1:
+        frames = frames.sortWithinPartitions("video_id", "frame_idx")
+    pause = {"x": 0, "y": 0, "w": 8, "h": 6, "t": planes[5].astype(int), "m": np.ones((6, 8), int)}
+    kept = []
+
+    def keep(name, df):
+        kept.append(df)
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / name))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        facts = ops.analyze_stills(frames, ops.TemplateSet(prepared={"pause": [pause], "speed_1x": [], "speed_2x": [], "speed_0_2x": []}), Params(proc_w=8, proc_h=6, threshold_pause=0.99), keep)
+        got = rows_of(facts, "video_id", "frame_idx", "state", "diff")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for v in (1, 2):
+        before = None
+        for i, p in enumerate(planes):
+            if v == 2 or i not in {7, 8, 20}:
+                want.append((v, i, int(i == 5), float(np.float32(np.abs(p.astype(int) - before).mean())) if before is not None else 0.0))
+                before = p.astype(int)
+    assert got == want and len(kept) == 1
+    plan = facts._jdf.queryExecution().toString()
+    assert plan.count("ExistingRDD") == 0  # the pixels are read once, by the pass that was kept
+    if tasks == 1:
+        assert kept[0].where("first IS NOT NULL").count() <= 2 * (2 + 3) + 12  # pixels leave the task at ends of stretches and batches alone
+
+
+def test_image_files_to_facts(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    scenes = [rng.integers(0, 256, (30, 40)).astype(np.uint8) for _ in range(3)]
+    for i in range(9):
+        path = tmp_path / "stills" / "7" / f"{i:05}.bmp"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        write_bmp(path, scenes[i // 3])
+    for name, plane in (("templates_1x/t.bmp", scenes[1][6:26, 10:30].copy()), ("source_images_1x/s.bmp", scenes[1])):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        write_bmp(tmp_path / name, plane)
+
+    def keep(name, df):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / name))
+
+    facts = timeline.analyze_images(spark, str(tmp_path / "stills"), str(tmp_path), Params(proc_w=20), keep)
+    got = facts.orderBy("frame_idx").collect()
+    assert [r["state"] for r in got] == [0, 0, 0, 2, 2, 2, 0, 0, 0]
+    assert [r["diff"] > 0 for r in got] == [i in (3, 6) for i in range(9)]
+
+
 def test_toggles_equal_a_loop(spark):
     rng = random.Random(4)
     masks = {p: [rng.choice([0, 0, 1, 1, 2, 3]) for _ in range(rng.randint(1, 12))] for p in range(30)}
@@ -324,7 +402,13 @@ def test_image_sources(spark, tmp_path):
     for name in ("templates_pause/a.bmp", "templates_pause/B.BMP", "source_images_pause/z.bmp", "source_images_pause/y.bmp", "templates_other/a.bmp", "templates_speed_1x/broken.png", "templates_speed_1x/note.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         write_bmp(tmp_path / name, plane) if "bmp" in name.lower() else (tmp_path / name).write_bytes(b"no image")
-    rows = tables.template_images(spark, str(tmp_path)).collect()
+    for folder in ("1x", "2x", "play"):  # folders that have other names than their class
+        for name in (f"templates_{folder}/t.bmp", f"source_images_{folder}/s.bmp"):
+            (tmp_path / "shipped" / name).parent.mkdir(parents=True, exist_ok=True)
+            write_bmp(tmp_path / "shipped" / name, plane)
+    named = tables.template_images(spark, str(tmp_path / "shipped")).collect()
+    assert sorted((r["class"], r["role"]) for r in named) == sorted((c, r) for c in ("speed_1x", "speed_2x", "speed_0_2x") for r in ("source", "template"))
+    rows = tables.template_images(spark, str(tmp_path)).where("origin NOT LIKE '%shipped%'").collect()
     assert sorted((r["class"], r["role"], r["origin"].rsplit("/", 1)[1]) for r in rows) == [("pause", "source", "y.bmp"), ("pause", "template", "B.BMP"), ("pause", "template", "a.bmp")]
     bgr = np.frombuffer(rows[0]["px"], np.uint8).reshape(5, 6, rows[0]["channels"])
     assert (kernel.gray(bgr) == plane).all()
