@@ -136,6 +136,21 @@ def plan_pieces(skips: DataFrame, runs: DataFrame, catalog: DataFrame, params: P
     return overlaps(kept, runs.select(VIDEO, "start", "end", "state")).withColumn("step", step)
 
 
+def replan(pieces: DataFrame, before: DataFrame, after: DataFrame, runs: DataFrame, catalog: DataFrame, params: Params) -> DataFrame:
+    """Pieces of a plan whose skip intervals have changed from `before` to `after`.
+
+    A run's pieces depend on the skips inside it alone, so only runs that a change reaches are planned anew; all other pieces stay as they are stored.
+    """
+    inclusive = lambda skips: skips.select(VIDEO, "start", (F.col("end") - 1).alias("end"))
+    edited = inclusive(before.select(VIDEO, "start", "end").exceptAll(after.select(VIDEO, "start", "end"))).unionByName(inclusive(after.select(VIDEO, "start", "end").exceptAll(before.select(VIDEO, "start", "end"))))
+    spans = runs.select(VIDEO, "start", "end", "state", F.col("start").alias("_run"), F.col("end").alias("_run_end"))
+    touched = overlaps(union(edited), spans).select(VIDEO, F.col("_run").alias("start"), F.col("_run_end").alias("end"), "state").distinct()
+    videos = touched.select(VIDEO).distinct()
+    fresh = plan_pieces(after.join(videos, VIDEO, "left_semi"), touched, catalog.join(videos, VIDEO, "left_semi"), params)
+    held = interval_join(pieces, touched.select(VIDEO, F.col("start").alias("_from"), F.col("end").alias("_to"), F.lit(True).alias("_gone")), "left", at="start", start="_from", end="_to")
+    return held.where("_gone IS NULL").select(*pieces.columns).unionByName(fresh.select(*pieces.columns))
+
+
 def plan_of_pieces(facts: DataFrame, pieces: DataFrame) -> DataFrame:
     """(video_id, frame_idx, state, del) of frame facts: frames meet the piece that holds them, once."""
     met = interval_join(facts.select(VIDEO, FRAME, "state"), pieces.select(VIDEO, "start", "end", "step"), "left")

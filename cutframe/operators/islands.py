@@ -39,6 +39,14 @@ def run_bounds(rows: DataFrame, by: list[str], keys: tuple[str, ...] = (VIDEO,),
     return ends.withColumn("end", F.lead("at").over(w)).where("side = 0").select(*keys, *by, F.col("at").alias("start"), "end")
 
 
+def joined_runs(pieces: DataFrame) -> DataFrame:
+    """video_id, state, start, end: disjoint pieces of runs, joined where one goes on in the next. One row a piece meets in a window."""
+    w = Window.partitionBy(VIDEO).orderBy("start")
+    goes_on = F.lag("state").over(w).eqNullSafe(F.col("state")) & (F.col("start") == F.lag("end").over(w) + 1)
+    numbered = pieces.withColumn("_joined", F.sum(F.when(goes_on, 0).otherwise(1)).over(w))
+    return numbered.groupBy(VIDEO, "_joined", "state").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_joined")
+
+
 def spread(intervals: DataFrame, start: str = "start", end: str = "end", out: str = FRAME) -> DataFrame:
     """One row for every frame of inclusive intervals; empty ones give none."""
     return intervals.where(F.col(start) <= F.col(end)).withColumn(out, F.explode(F.sequence(F.col(start), F.col(end))))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import state_step
-from ..schema import FRAME, MODE_ALL, MODE_AUTO, MODE_KEEP, VIDEO
-from .delete_plan import clip_intervals
+from ..schema import FRAME, MODE_ALL, MODE_AUTO, MODE_KEEP, VIDEO, Params
+from .delete_plan import clip_intervals, plan_pieces
+from .intervals import overlaps, union
 from .islands import first_wins, interval_join
 
 
@@ -37,6 +38,44 @@ def timeline_buckets(plan: DataFrame, catalog: DataFrame, width: int, scroll: fl
     return rows.groupBy(VIDEO, "bucket").agg(F.count(F.lit(1)).alias("frames"), *(count(F.col("state") == s).alias(f"state_{s}") for s in range(5)), count(~F.col("del")).alias("kept"))
 
 
+def timeline_sums(skips: DataFrame, runs: DataFrame, catalog: DataFrame, params: Params) -> DataFrame:
+    """The timeline as disjoint pieces with the sums before them: video_id, start, end, state, step (null: deleted), before (frames of each state, and kept ones).
+
+    From it any window of the timeline is counted by two lookups a column, without frames. A row for each part of a run.
+    """
+    kept = plan_pieces(skips, runs, catalog, params)
+    gone = overlaps(union(skips.select(VIDEO, "start", (F.col("end") - 1).alias("end"))), runs.select(VIDEO, "start", "end", "state")).withColumn("step", F.lit(None).cast("int"))
+    rows = kept.unionByName(gone)
+    size = F.col("end") - F.col("start") + 1
+    w = Window.partitionBy(VIDEO).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0).cast("long"))
+    sums = [total(F.when(F.col("state") == s, size).otherwise(0)).alias(f"state_{s}") for s in range(5)]
+    return rows.select(VIDEO, "start", "end", "state", "step", F.struct(total(size).alias("frames"), *sums, total(_kept(size)).alias("kept")).alias("before"))
+
+
+def _kept(frames: Column) -> Column:
+    """Of a piece's first `frames` frames, those that stay."""
+    return F.coalesce(F.floor((frames + F.col("step") - 1) / F.col("step")), F.lit(0)).cast("long")
+
+
+def timeline_window(sums: DataFrame, catalog: DataFrame, width: int, scroll: float = 0.0, zoom: float = 1.0) -> DataFrame:
+    """What timeline_buckets counts, from timeline_sums: the sums up to the two borders of each column, one taken from the other."""
+    whole = scroll == 0.0 and zoom == 1.0
+    guess = "greatest(0, ceil((i / ({z}D * {w}) + {s}D) * total) - 2)".format(z=float(zoom), w=width, s=float(scroll))
+    reached = f"(f * {width}) div total >= i" if whole else f"floor((f / total - {float(scroll)}D) * {float(zoom)}D * {width}) >= i"
+    borders = catalog.where("total > 0").select(VIDEO, "total", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("i"))
+    # the first frame of a column, by the rule that puts frames into columns: rounding may move it by one from where it should be
+    placed = borders.select(VIDEO, "i", F.expr(f"least(total, coalesce(array_min(filter(sequence({guess}, {guess} + 4), f -> {reached})), total))").alias("_at"))
+    met = interval_join(placed.withColumn(FRAME, F.col("_at") - 1), sums, "left")
+    part = F.col("_at") - F.col("start")
+    names = ["frames", *(f"state_{s}" for s in range(5)), "kept"]
+    inside = {"frames": part, "kept": _kept(part)} | {f"state_{s}": F.when(F.col("state") == s, part).otherwise(0) for s in range(5)}
+    upto = met.select(VIDEO, "i", *(F.coalesce(F.col(f"before.{n}") + inside[n], F.lit(0)).alias(n) for n in names))
+    w = Window.partitionBy(VIDEO).orderBy("i")
+    counted = upto.select(VIDEO, F.col("i").cast("long").alias("bucket"), *((F.lead(n).over(w) - F.col(n)).alias(n) for n in names))
+    return counted.where("frames > 0")
+
+
 def timeline_layers(mask: DataFrame, pause_segments: DataFrame, clips: DataFrame, catalog: DataFrame, width: int) -> DataFrame:
     """Layers of the whole timeline by column: frames in pauses by mask code and by mode, frames in clips that are kept and deleted.
 

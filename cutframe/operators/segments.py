@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalar import still_frames
@@ -97,16 +97,40 @@ def pause_deletes(pause_segments: DataFrame, facts: DataFrame, catalog: DataFram
     w = Window.partitionBy(VIDEO, "pause_id").orderBy("_from", "_to")
     before = F.max("_to").over(w.rowsBetween(Window.unboundedPreceding, -1))
     runs = active.unionByName(tail).withColumn("_before", before).join(catalog.select(VIDEO, F.col("fps").alias("_fps")), VIDEO)
-    keep = still_frames(F.col("_fps"), F.lit(params.still_time)).cast("long")
+    return _cut_runs(runs, F.lit(params.still_time))
+
+
+def _cut_runs(runs: DataFrame, still_time: Column, *extra: Column) -> DataFrame:
+    """What inactive runs lose, from what ends them: _before (last active frame before, null at the pause's start), _from (first active one after), _to (null at its end), and the pause."""
+    keep = still_frames(F.col("_fps"), still_time).cast("long")
     s, e, half = F.coalesce(F.col("_before") + 1, F.col("_first")), F.col("_from") - 1, F.floor(keep / 2)
     alone = F.col("_before").isNull() & F.col("_to").isNull()
     long = e - s + 1 > F.when(alone, 2 * keep).otherwise(keep)
     start = F.when(alone | (s != F.col("_first")) & (e == F.col("_last")), s + keep).when(s == F.col("_first"), s).otherwise(s + half)
     end = F.when(alone | (s == F.col("_first")), e - keep).when(e == F.col("_last"), e).otherwise(e - (keep - half))
-    cut = runs.where(long).select(VIDEO, "pause_id", start.alias("start"), end.alias("end"))
+    cut = runs.where(long).select(*extra, VIDEO, "pause_id", start.alias("start"), end.alias("end"))
     return cut.where("start <= end").withColumn("code", F.lit(AUTO_DELETE).cast("tinyint"))
 
 
+def sweep_deletes(pause_segments: DataFrame, facts: DataFrame, catalog: DataFrame, sweep: list[Params]) -> DataFrame:
+    """pause_deletes for many sets of parameters at once: params_id (the place in `sweep`), video_id, pause_id, start, end, code.
+
+    Facts are read once, cut at the lowest threshold. What is active depends on the motion threshold alone, so sets share it; still times meet
+    the inactive runs, which are few.
+    """
+    levels = sorted({p.motion_thresh for p in sweep})
+    level = F.array(*(F.lit(t).cast("float") for t in levels))
+    hot = facts.where((F.col("state") == PAUSE) & (F.col("diff") > F.lit(levels[0]).cast("float"))).select(VIDEO, FRAME, "diff")
+    held = interval_join(hot, pause_segments.select(VIDEO, "pause_id", "start", "end")).where(F.col(FRAME) > F.col("start"))
+    moving = held.select(VIDEO, "pause_id", F.col("start").alias("_first"), F.col("end").alias("_last"), (F.col(FRAME) - 1).alias("_from"), F.col(FRAME).alias("_to"), F.posexplode(F.filter(level, lambda t: F.col("diff") > t)).alias("_level", "_t")).drop("_t")
+    tail = pause_segments.select(VIDEO, "pause_id", F.col("start").alias("_first"), F.col("end").alias("_last"), (F.col("end") + 1).alias("_from"), F.lit(None).cast("long").alias("_to"), F.explode(F.sequence(F.lit(0), F.lit(len(levels) - 1))).alias("_level"))
+    w = Window.partitionBy(VIDEO, "pause_id", "_level").orderBy("_from", "_to")
+    runs = moving.unionByName(tail).withColumn("_before", F.max("_to").over(w.rowsBetween(Window.unboundedPreceding, -1))).join(catalog.select(VIDEO, F.col("fps").alias("_fps")), VIDEO)
+    sets = F.array(*(F.struct(F.lit(n).alias("id"), F.lit(levels.index(p.motion_thresh)).alias("level"), F.lit(p.still_time).alias("still")) for n, p in enumerate(sweep)))
+    each = runs.withColumn("_set", F.explode(F.filter(sets, lambda s: s["level"] == F.col("_level"))))
+    return _cut_runs(each, F.col("_set.still"), F.col("_set.id").alias("params_id"))
+
+
 def boundary_targets(pause_segments: DataFrame, catalog: DataFrame) -> DataFrame:
     """Pauses with the frames just outside them, clamped to the video: before, after."""
     return pause_segments.join(catalog.select(VIDEO, "total"), VIDEO).withColumns({"before": F.greatest(F.lit(0), F.col("start") - 1), "after": F.least(F.col("total") - 1, F.col("end") + 1)}).drop("total")

@@ -296,6 +296,19 @@ ORACLE = {
     "merge_adjacent_segments": sql(_SEG + "mseg", _NUMBERED),
     "segment_order": sql('SELECT video_id, seg_no, "start", label FROM num', _NUMBERED),
     "delete_plan": sql("SELECT * FROM plan"),
+    "incremental_plan": sql("SELECT * FROM plan"),
+    "sweep_deletes": sql('SELECT params_id, video_id, pause_id, min(frame_idx) AS "start", max(frame_idx) AS "end" FROM gone GROUP BY params_id, video_id, pause_id, g', """
+        sets(params_id, still, thresh) AS (VALUES (0, 0.1::DOUBLE, 2.0::FLOAT), (1, 0.2::DOUBLE, 1.0::FLOAT), (2, 0.5::DOUBLE, 5.0::FLOAT)),
+        warm AS (SELECT params_id, f.video_id, f.frame_idx, pause_id, s, e, diff > thresh AND frame_idx > s AS hot FROM fx_frames f JOIN pauses p ON f.video_id = p.video_id AND frame_idx BETWEEN s AND e, sets),
+        live AS (SELECT *, hot OR coalesce(lead(hot) OVER (PARTITION BY params_id, video_id, pause_id ORDER BY frame_idx), false) AS act FROM warm),
+        islands AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY params_id, video_id, pause_id, act ORDER BY frame_idx) AS isle FROM live),
+        placed AS (SELECT i.*, min(frame_idx) OVER (PARTITION BY params_id, video_id, pause_id, act, isle) - s AS a, max(frame_idx) OVER (PARTITION BY params_id, video_id, pause_id, act, isle) - s AS b,
+                          bool_or(act) OVER (PARTITION BY params_id, video_id, pause_id) AS moves, frame_idx - s AS k, e - s + 1 AS n FROM islands i),
+        timed AS (SELECT placed.*, greatest(2, CAST(floor(fps * still) AS INT)) AS st FROM placed JOIN sets USING (params_id) JOIN fx_catalog USING (video_id)),
+        gone AS (SELECT params_id, video_id, pause_id, frame_idx, frame_idx - row_number() OVER (PARTITION BY params_id, video_id, pause_id ORDER BY frame_idx) AS g FROM timed WHERE
+            CASE WHEN NOT moves THEN n > 2 * st AND k >= st AND k < n - st WHEN act OR b - a + 1 <= st THEN false WHEN a = 0 THEN k <= b - st WHEN b = n - 1 THEN k >= a + st ELSE k BETWEEN a + st // 2 AND b - (st - st // 2) END)"""),
+    "colocated_runs": sql('SELECT video_id, state, s AS "start", e AS "end" FROM runs'),
+    "colocated_counts": sql("SELECT video_id, frame_idx // 256 AS chunk, state, count(*) FILTER (NOT del) AS kept, count(*) AS total FROM plan GROUP BY ALL"),
     "delete_plan_by_frame": sql("SELECT * FROM plan"),
     "kept_ranges_by_frame": sql("SELECT * FROM ranges"),
     "pause_deletes": sql("""
@@ -353,3 +366,5 @@ ORACLE = {
         joined AS (SELECT *, place - row_number() OVER (PARTITION BY state ORDER BY place) AS g FROM f)"""),
     "stream_classify": sql("SELECT * FROM states"),
 }
+
+ORACLE |= {"timeline_window": ORACLE["timeline_buckets"], "timeline_window_zoomed": ORACLE["timeline_buckets_zoomed"]}

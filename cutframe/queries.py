@@ -119,6 +119,21 @@ class Inputs:
     def pieces(self) -> DataFrame:
         return plans.plan_pieces(self.skips, self.found.runs, self.catalog, PARAMS)
 
+    @cached_property
+    def sums(self) -> DataFrame:
+        return self.stored("timeline_sums", lambda: lookup.timeline_sums(self.skips, self.found.runs, self.catalog, PARAMS))
+
+    def bucketed(self, name: str, rows: DataFrame) -> DataFrame:
+        """`rows` as a table in buckets of (video_id, chunk), stored once a session."""
+
+        def derive() -> DataFrame:
+            return sinks.store_colocated(rows, f"cutframe_{name}_{uuid.uuid4().hex}", self.folder(name), 8, 256)
+
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, f"bucketed {name}")
+        if key not in _STORED:
+            _STORED[key] = derive()
+        return _STORED[key]
+
     @cached_property
     def ranges(self) -> DataFrame:
         return plans.ranges_of_pieces(self.pieces)
@@ -422,6 +437,37 @@ def kept_speeds(x: Inputs) -> DataFrame:
     return intervals.overlaps(kept, x.found.speeds)
 
 
+@query
+def incremental_plan(x: Inputs) -> DataFrame:
+    """The plan after clips were trimmed: the stored one from before, with only the runs planned anew that the edits reach."""
+    deletes = segments.pause_deletes(x.found.pauses, x.facts, x.catalog, PARAMS)
+    skips = {name: plans.skip_intervals(x.found.pauses, deletes, clips) for name, clips in (("skips_before", x.found.clips), ("skips_after", x.clips))}
+    before, after = (x.stored(name, lambda rows=rows: rows) for name, rows in skips.items())
+    stored = x.stored("pieces_before", lambda: plans.plan_pieces(before, x.found.runs, x.catalog, PARAMS))
+    return plans.plan_of_pieces(x.facts, plans.replan(stored, before, after, x.found.runs, x.catalog, PARAMS))
+
+
+@query
+def sweep_deletes(x: Inputs) -> DataFrame:
+    """What masks delete under three sets of parameters, from one read of the facts."""
+    sweep = [Params(), Params(still_time=0.2, motion_thresh=1.0), Params(still_time=0.5, motion_thresh=5.0)]
+    return segments.sweep_deletes(x.found.pauses, x.facts, x.catalog, sweep).drop("code")
+
+
+@query
+def colocated_runs(x: Inputs) -> DataFrame:
+    """Runs from facts that are stored in buckets by stretch."""
+    return sinks.colocated_runs(x.bucketed("facts", x.facts))
+
+
+@query
+def colocated_counts(x: Inputs) -> DataFrame:
+    """Kept frames of each state, from facts and plan stored in like buckets."""
+    facts, plan = x.bucketed("facts", x.facts), x.bucketed("plan", x.plan.select(VIDEO, FRAME, "del"))
+    met = facts.join(plan, [VIDEO, "chunk", FRAME])
+    return met.groupBy(VIDEO, "chunk", "state").agg(F.sum((~F.col("del")).cast("long")).alias("kept"), F.count(F.lit(1)).alias("total"))
+
+
 @query
 def valid_frames(x: Inputs) -> DataFrame:
     return x.base_plan.where(~F.col("del")).select(VIDEO, FRAME, "state")
@@ -534,6 +580,17 @@ def timeline_buckets_zoomed(x: Inputs) -> DataFrame:
     return lookup.timeline_buckets(x.plan, x.catalog, 100, 0.25, 4.0)
 
 
+@query
+def timeline_window(x: Inputs) -> DataFrame:
+    """The whole timeline by column, from sums."""
+    return lookup.timeline_window(x.sums, x.catalog, 120)
+
+
+@query
+def timeline_window_zoomed(x: Inputs) -> DataFrame:
+    return lookup.timeline_window(x.sums, x.catalog, 100, 0.25, 4.0)
+
+
 @query
 def timeline_layers(x: Inputs) -> DataFrame:
     return lookup.timeline_layers(x.toggled, x.found.pauses, x.clips, x.catalog, 120)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.islands import joined_runs
 from ..operators.pixels import states
 from ..schema import FRAME, VIDEO, Params
 
@@ -65,10 +66,7 @@ def stream_runs(facts: DataFrame, chunk: int = RUN_CHUNK) -> DataFrame:
 def settled_runs(said: DataFrame) -> DataFrame:
     """video_id, state, start, end: the maximal runs, from the output of stream_runs. Joins the newest runs of each stretch over its borders: one row a run and stretch meets in a window."""
     newest = said.withColumn("_newest", F.max("version").over(Window.partitionBy(VIDEO, "chunk"))).where("version = _newest")
-    w = Window.partitionBy(VIDEO).orderBy("start")
-    goes_on = (F.col("state") == F.lag("state").over(w)) & (F.col("start") == F.lag("end").over(w) + 1)
-    numbered = newest.withColumn("_run", F.sum(F.when(goes_on, 0).otherwise(1)).over(w))
-    return numbered.groupBy(VIDEO, "_run", "state").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    return joined_runs(newest)
 
 
 def stream_frame_diff(frames: DataFrame, chunk: int = PIXEL_CHUNK, overlap: int = OVERLAP) -> DataFrame:

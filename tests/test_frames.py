@@ -766,3 +766,70 @@ def test_late_frames_join_runs_of_an_earlier_batch(spark, tmp_path):
     streams.run_to_end(result, str(tmp_path / "out"), str(tmp_path / "state"))
     got = streams.settled_runs(spark.read.schema(result.schema).parquet(str(tmp_path / "out")))
     assert rows_of(got, "state", "start", "end") == [(0, 0, 199), (1, 200, 204), (1, 207, 399)]
+
+
+def test_windows_of_the_timeline_from_sums(spark, videos):
+    _, frames, catalog, found = videos
+    rng = random.Random(2)
+    plan = plans.delete_plan(frames, found.pauses, found.mask, found.clips, PARAMS).cache()
+    sums = lookup.timeline_sums(plans.skip_intervals(found.pauses, found.mask, found.clips), found.runs, catalog, PARAMS).cache()
+    for width, scroll, zoom in [(7, 0.0, 1.0), (120, 0.0, 1.0), *((rng.randint(1, 90), rng.random(), rng.choice([1.0, 1.7, 4.0, 33.3])) for _ in range(4))]:
+        got, want = lookup.timeline_window(sums, catalog, width, scroll, zoom), lookup.timeline_buckets(plan, catalog, width, scroll, zoom)
+        assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
+
+
+def test_a_plan_after_edits_is_the_full_plan(spark, videos):
+    _, frames, catalog, found = videos
+    before = plans.skip_intervals(found.pauses, found.mask, found.clips)
+    stored = plans.plan_pieces(before, found.runs, catalog, PARAMS).cache()
+    pauses = found.pauses.withColumn("mode", F.when((F.col("video_id") % 3 == 0) & (F.col("pause_id") % 2 == 0), "keep").otherwise(F.col("mode")))
+    clips = found.clips.withColumn("keep_in", F.when((F.col("video_id") % 5 == 1) & (F.col("clip_id") == 1), F.col("keep_in") + 2).otherwise(F.col("keep_in")))
+    after = plans.skip_intervals(pauses, found.mask, clips)
+    names = ("video_id", "start", "end", "state", "step")
+    full = rows_of(plans.plan_pieces(after, found.runs, catalog, PARAMS), *names)
+    assert rows_of(plans.replan(stored, before, after, found.runs, catalog, PARAMS), *names) == full != rows_of(stored, *names)
+    assert rows_of(plans.replan(stored, before, before, found.runs, catalog, PARAMS), *names) == rows_of(stored, *names)
+
+
+def test_a_sweep_is_each_set_alone(videos):
+    _, frames, catalog, found = videos
+    sweep = [PARAMS, Params(still_time=0.4), Params(motion_thresh=3.5), Params(motion_thresh=3.5, still_time=0.0)]
+    got = segments.sweep_deletes(found.pauses, frames, catalog, sweep)
+    want = sorted((n, *r) for n, p in enumerate(sweep) for r in rows_of(segments.pause_deletes(found.pauses, frames, catalog, p), "video_id", "pause_id", "start", "end"))
+    assert rows_of(got, "params_id", "video_id", "pause_id", "start", "end") == want
+
+
+def test_colocated_tables_need_no_exchange(spark, videos, tmp_path):
+    _, frames, _, found = videos
+    plan = plans.delete_plan(frames, found.pauses, found.mask, found.clips, PARAMS)
+    facts = sinks.store_colocated(frames.select("video_id", "frame_idx", "state"), "facts_here", str(tmp_path / "facts"), 8, 16)
+    deletes = sinks.store_colocated(plan.select("video_id", "frame_idx", "del"), "plan_here", str(tmp_path / "plan"), 8, 16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set(sinks.COLOCATED, "false")
+    try:
+        met = facts.join(deletes, ["video_id", "chunk", "frame_idx"]).groupBy("video_id", "chunk").agg(F.sum((~F.col("del")).cast("int")).alias("kept"))
+        shown = met._jdf.queryExecution().executedPlan().toString()
+        kept = met.agg(F.sum("kept")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset(sinks.COLOCATED)
+    assert "Exchange" not in shown and kept == plan.where("NOT del").count()
+    runs = sinks.colocated_runs(facts, 16)
+    shown = runs._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(runs, "video_id", "state", "start", "end") == rows_of(found.runs, "video_id", "state", "start", "end")
+    assert shown.count("Exchange hashpartitioning") == 1  # of the stretches' runs, not of frames
+    pruned = facts.where("video_id = 3 AND frame_idx BETWEEN 20 AND 30")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(frame_idx,20)" in pruned
+    spark.sql("DROP TABLE facts_here")
+    spark.sql("DROP TABLE plan_here")
+
+
+def test_a_long_video_is_written_by_many_tasks(spark, tmp_path):
+    facts = spark.range(1000).select(F.lit(1).cast("long").alias("video_id"), F.col("id").alias("frame_idx"), F.lit(0).cast("tinyint").alias("state"), F.lit(0.0).cast("float").alias("diff"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_frame_facts(facts, str(tmp_path / "facts"), 4, 100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.parquet(str(tmp_path / "facts"))
+    assert back.count() == 1000 and len(back.inputFiles()) > 1
