@@ -5,7 +5,7 @@ column for each document. A document sets the positions of (term, level) for eve
 reads from the AND of a term's slices which documents may hold it, and how often at most. Weighted sums of these slices are upper bounds of scores, since
 bits of other terms only add to them. Exact document frequencies and sizes are counted in the same pass.
 
-A search takes the items in blocks of at most about `MAX_TERMS` terms, against all documents' blocks. The documents with the highest bounds are
+A search takes the items in blocks of at most about `MAX_TERMS` terms, against all documents' blocks. `POOL` times as many documents as wanted, those with the highest bounds, are
 scored exactly; their k-th score excludes all documents whose bound is below it (or equal, with a greater id). All others are scored exactly from their texts.
 
 Defined results: null and empty texts have no terms and are in no ranking; items without known terms have no rows; equal scores go by ascending id, null
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, materialize, own_columns, shared_dir
 
 TOP = 50
+#: Documents of the highest bounds that are scored first, as a multiple of those wanted: with 1, some high bounds of low scores set the floor.
+POOL = 4
 #: Bits of a signature for each (term, level) that it may hold, positions of one, and bits of a block.
 BITS, HASHES, BLOCK_BITS = 12, 4, 1 << 23
 #: Documents of a block: a multiple of 8.
@@ -38,6 +40,8 @@ BLOCK_ROWS = 1024
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64)
 #: Terms that one search sends to the tasks (a single item is never cut), and terms that a task counts before it passes them on.
 MAX_TERMS, MAX_COUNTED = 20_000, 200_000
+#: Pairs of an item and a document that are broadcast: some 40 bytes each.
+MAX_SENT = 1_000_000
 #: What a term is, and the constants of a score.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE, LENGTH, BASE, SHARE = 1_000_000_000, 20, 100, 50
@@ -285,16 +289,18 @@ class Index:
                 weights.append(r["weight"])
             own[r["item"]].append(at)
         q = Query(list(number), np.array(weights, np.int64), {i: np.array(p) for i, p in own.items()}, n, words)
-        likely = materialize(self.blocks().mapInArrow(highest(q, k), FOUND_DDL), "search-likely")
-        scored = top_rows(self._scored(top_rows(likely, k), q), k).where((F.col("rank") == k) & (F.col("score") > 0))
+        likely = materialize(self.blocks().mapInArrow(highest(q, POOL * k), FOUND_DDL), "search-likely")
+        scored = top_rows(self._scored(top_rows(likely, POOL * k), q), k).where((F.col("rank") == k) & (F.col("score") > 0))
         floors = {r["item"]: (r["score"], NO_ID if r["doc_id"] is None else r["doc_id"]) for r in scored.collect()}  # a row an item of the block
         left = self.blocks().mapInArrow(not_excluded(q, floors), FOUND_DDL)
         return top_rows(self._scored(left, q).where("score > 0"), k)
 
     def _scored(self, found: DataFrame, q: Query) -> DataFrame:
-        """Exact scores of (item, doc_id, mark): the documents' texts are read again and joined by size (broadcast if small)."""
+        """Exact scores of (item, doc_id, mark): the documents' texts are read again. Up to MAX_SENT pairs are sent to the texts; beyond that both sides are shuffled."""
         wanted = found.groupBy("doc_id", "mark").agg(F.collect_set("item").alias("items")).withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
         stored = materialize(wanted, "search-wanted")
+        if stored.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0] <= MAX_SENT:
+            stored = F.broadcast(stored)
         met = self.documents.join(stored, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
         return met.select("doc_id", "mark", "text", "items").mapInArrow(exact(q), FOUND_DDL)
 
