@@ -7,8 +7,11 @@ that are still apart come from a prefix join: shingles are put in one order, rar
 a shingle among the first fifth (and one more) of each, so only those meet, and every pair that meets is verified too. Nothing is
 sampled or capped: all pairs at or over the threshold are linked, and components are closed over the links.
 
-Equal texts are one class and cost one row. Shingles are counted in packed blocks dealt by hash. A shingle that
-many classes hold in front is not paired out: unless SimHash has joined all of them, they are linked group by group from their sets.
+Equal texts are one class and cost one row. Shingles are counted in packed blocks dealt by hash; with very many counting tasks
+they are dealt twice, coarsely first, so that a batch is cut into a bounded number of blocks. Any one order of shingles is right, so those that
+are frequent in a sample of the classes are put last without being counted, and no task holds all rows of a shingle that most texts have.
+A shingle that many classes hold in front is not paired out: unless SimHash has joined all of them, they are linked from their
+sets, in one task where these are few, and else by rounds of pivots, each compared with all the others in blocks and then done with.
 
 Defined results: words are split and lower-cased as in `simhash`; fewer than five words are one shingle; null and empty
 texts, and texts of white space, are copies of each other and of nothing else; shingles and texts are known by 64-bit hashes.
@@ -22,7 +25,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +38,20 @@ WIDTH = 5
 OVER, UNDER = 4, 5
 #: Shingles that one task counts, about, and that one batch packs.
 TASK_SHINGLES, BATCH_SHINGLES = 1_500_000, 1_000_000
+#: Blocks that a batch is dealt to at most; with more counting tasks, blocks are dealt again.
+DEAL = 4096
+#: Shingles of one task that deals blocks again, and of one batch there.
+DEAL_SHINGLES, DEAL_BATCH = 16_000_000, 4_000_000
+#: The sample that finds frequent shingles: at least so many words, at least one of so many classes; frequent is what so many sampled classes hold.
+SAMPLE_WORDS, SAMPLE_OF, FREQUENT = 2_000_000, 10_000, 64
+#: Frequent shingles that are put last at most, and where they stand in the order; others are counted.
+MOST_FREQUENT, LAST = 100_000, 1 << 40
 #: Classes on one shingle from which they are linked from their sets.
 HOT_SHINGLE = 64
+#: Shingles in the sets that are linked in one task, and of one block that is compared with pivots.
+LOCAL_SHINGLES, BLOCK_SHINGLES = 4_000_000, 2_000_000
+#: Pivots of one block; the first round has as many for each shingle, every other one twice as many as the one before.
+PIVOTS = 16
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -62,25 +77,46 @@ def similar(shared: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
     return UNDER * shared >= OVER * (a + b - shared)
 
 
-def _blocks(tasks: int):
-    """Shingles of the batches' texts, packed by task: (task, hashes, classes, sizes, counts); counts are the shingles of each class in the block."""
+PACKED = "task long, hashes binary, classes binary, sizes binary, counts binary"
+
+
+def _task(hashes: np.ndarray, classes: np.ndarray, tasks: int, frequent: np.ndarray) -> np.ndarray:
+    """The counting task of each shingle; frequent shingles are not counted and go by class, to tasks below 0."""
+    dealt = (hashes % np.uint64(tasks)).astype(np.int64)
+    if not len(frequent):
+        return dealt
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    return np.where(frequent[at] == hashes, -1 - (classes.view(np.uint64) % np.uint64(tasks)).astype(np.int64), dealt)
+
+
+def _pack(task: np.ndarray, hashes: np.ndarray, owner: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """One row a task: its hashes, and the classes that own them with their sizes and counts of hashes here; owner indexes classes."""
+    order = np.argsort(task, kind="stable")
+    task, hashes, owner = task[order], hashes[order], owner[order]
+    known, cuts = np.unique(task, return_index=True)
+    columns: list[list[bytes]] = [[], [], [], []]
+    for lo, hi in zip(cuts, [*cuts[1:], len(task)]):
+        own = owner[lo:hi]
+        runs = np.r_[0, np.flatnonzero(np.diff(own)) + 1, len(own)]
+        first = own[runs[:-1]]
+        for out, values in zip(columns, (hashes[lo:hi], classes[first], sizes[first], np.diff(runs).astype(np.int32))):
+            out.append(values.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(known, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["task", "hashes", "classes", "sizes", "counts"])
+
+
+def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, owner, classes, sizes) of packed rows; owner indexes classes."""
+    hashes, classes, sizes, counts = (np.frombuffer(b"".join(rows[c]), kind) for c, kind in (("hashes", np.uint64), ("classes", np.int64), ("sizes", np.int32), ("counts", np.int32)))
+    return hashes, np.repeat(np.arange(len(classes)), counts), classes, sizes
+
+
+def _blocks(tasks: int, per_block: int, frequent: np.ndarray):
+    """Shingles of the batches' texts, packed by blocks of per_block tasks."""
 
     def pack(classes: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets], np.int32)
-        hashes = np.concatenate(sets)
-        task = (hashes % np.uint64(tasks)).astype(np.int32)
-        order = np.argsort(task, kind="stable")
-        cuts = np.searchsorted(task[order], np.arange(tasks + 1))
-        owner, hashes = np.repeat(np.arange(len(sets)), sizes)[order], hashes[order]
-        full = [k for k in range(tasks) if cuts[k] < cuts[k + 1]]
-        columns: list[list[bytes]] = [[], [], [], []]
-        for k in full:
-            own = owner[cuts[k] : cuts[k + 1]]
-            runs = np.r_[0, np.flatnonzero(np.diff(own)) + 1, len(own)]
-            first = own[runs[:-1]]
-            for out, values in zip(columns, (hashes[cuts[k] : cuts[k + 1]], classes[first], sizes[first], np.diff(runs).astype(np.int32))):
-                out.append(values.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["task", "hashes", "classes", "sizes", "counts"])
+        hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        return _pack(_task(hashes, classes[owner], tasks, frequent) // per_block, hashes, owner, classes, sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,21 +135,70 @@ def _blocks(tasks: int):
     return run
 
 
-def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """(class, size, hash, df) of the shingles that two or more classes hold."""
-    hashes, classes, sizes, counts = (np.frombuffer(b"".join(rows[c]), kind) for c, kind in (("hashes", np.int64), ("classes", np.int64), ("sizes", np.int32), ("counts", np.int32)))
-    owner = np.repeat(np.arange(len(classes)), counts)
-    order = np.argsort(hashes, kind="stable")
-    again = np.diff(hashes[order]) == 0
-    order = order[np.r_[again, False] | np.r_[False, again]]
-    hashes, classes, sizes = hashes[order], classes[owner[order]], sizes[owner[order]]
-    order = np.lexsort((classes, hashes))
-    hashes, classes, sizes = hashes[order], classes[order], sizes[order]
-    fresh = np.r_[True, (np.diff(hashes) != 0) | (np.diff(classes) != 0)][: len(hashes)]
-    hashes, classes, sizes = hashes[fresh], classes[fresh], sizes[fresh]
-    _, at, df = np.unique(hashes, return_inverse=True, return_counts=True)
-    df = df[at]
-    return pd.DataFrame({"cls": classes, "size": sizes, "hash": hashes, "df": df})[df > 1]
+def _dealt_again(tasks: int, frequent: np.ndarray):
+    """Packed rows of coarse blocks to packed rows of single tasks."""
+
+    def pack(parts: list[pd.DataFrame]) -> pa.RecordBatch:
+        hashes, owner, classes, sizes = _unpacked(pd.concat(parts))
+        return _pack(_task(hashes, classes[owner], tasks, frequent), hashes, owner, classes, sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = 0, []
+        for batch in batches:
+            parts.append(batch.to_pandas())
+            held += int(parts[-1]["hashes"].str.len().sum()) // 8
+            if held >= DEAL_BATCH:
+                yield pack(parts)
+                held, parts = 0, []
+        if held:
+            yield pack(parts)
+
+    return run
+
+
+def _shared(frequent: np.ndarray, place: np.ndarray):
+    """(class, size, hash, df) of the shingles that two or more classes hold; a frequent one has its place in the order for df."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        counted = rows["task"].iloc[0] >= 0
+        hashes, owner, classes, sizes = _unpacked(rows)
+        order = np.argsort(hashes, kind="stable")
+        if counted:
+            again = np.diff(hashes[order]) == 0
+            order = order[np.r_[again, False] | np.r_[False, again]]
+        hashes, classes, sizes = hashes[order], classes[owner[order]], sizes[owner[order]]
+        order = np.lexsort((classes, hashes))
+        hashes, classes, sizes = hashes[order], classes[order], sizes[order]
+        fresh = np.r_[True, (np.diff(hashes) != 0) | (np.diff(classes) != 0)][: len(hashes)]
+        hashes, classes, sizes = hashes[fresh], classes[fresh], sizes[fresh]
+        if counted:
+            _, at, df = np.unique(hashes, return_inverse=True, return_counts=True)
+            df = df[at]
+        else:
+            df = place[np.searchsorted(frequent, hashes)]
+        return pd.DataFrame({"cls": classes, "size": sizes, "hash": hashes.view(np.int64), "df": df})[df > 1]
+
+    return run
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column(1):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py()).view(np.int64))], ["hash"])
+
+
+def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that FREQUENT or more of the sampled classes hold, at most MOST_FREQUENT, ascending, and their places in the order.
+
+    The sample decides only where a shingle stands in the order, never which pairs are found.
+    """
+    one_of = min(SAMPLE_OF, max(1, words // SAMPLE_WORDS))
+    some = docs.where(f"cls <> 0 AND pmod(xxhash64(cls), {one_of}) = 0").select("cls", "text").mapInArrow(_thinned, "cls long, text string").dropDuplicates(["cls"])
+    held = some.mapInArrow(_hashes, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    rows = held.orderBy(F.desc("n"), "hash").limit(MOST_FREQUENT).collect()
+    hashes = np.array([r["hash"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], LAST - order.astype(np.int64)  # the most frequent is the last
 
 
 @F.pandas_udf(T.BinaryType())
@@ -152,12 +237,59 @@ def _local_links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": cls[[a for a, _ in links]], "b": cls[[b for _, b in links]]}, dtype="int64")
 
 
-def fronts(docs: DataFrame) -> DataFrame:
+def _compared(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of a block's classes to pivots of other roots, as many as join what they join."""
+    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    sizes, cls, pivot = np.array([len(s) for s in sets]), rows["cls"].to_numpy(), rows["pivot"].to_numpy()
+    labels, links = rows["root"].to_numpy().copy(), []
+    for p in np.flatnonzero(pivot):
+        for i in np.flatnonzero((UNDER * sizes >= OVER * sizes[p]) & (UNDER * sizes[p] >= OVER * sizes) & ~pivot):
+            if labels[i] != labels[p] and similar(np.isin(sets[i], sets[p], assume_unique=True).sum(), sizes[p], sizes[i]):
+                links.append((cls[p], cls[i]))
+                labels[labels == labels[i]] = labels[p]
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _pivoted(hot: DataFrame, sets: DataFrame, found: DataFrame, block_shingles: int) -> DataFrame:
+    """`found`, and links that join all similar classes of one hash in `hot` (hash, cls, size).
+
+    Each round compares some pivots of a hash with all its classes and is done with these pivots; a hash whose classes have become
+    one component is done. A task holds PIVOTS sets and a block of about block_shingles. Where hardly any classes of a hash are similar, every one
+    of them is a pivot in the end.
+    """
+    left, pivots = hot, PIVOTS
+    while True:
+        roots = components(found).select(F.col("node").alias("cls"), "root")
+        rooted = left.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        open_ = rooted.groupBy("hash").agg(F.sum("size").alias("weight"), F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most")
+        open_ = open_.select("hash", F.ceil(F.col("weight") / block_shingles).cast("int").alias("blocks"))
+        left = materialize(rooted.join(open_, "hash"), "near-left")
+        if left.isEmpty():
+            return found
+        rank = F.row_number().over(Window.partitionBy("hash").orderBy(F.xxhash64("cls"), "cls"))
+        chosen = materialize(left.withColumn("rank", rank).where(F.col("rank") <= pivots).withColumn("chunk", F.expr(f"(rank - 1) div {PIVOTS}")), "near-pivots")
+        chunks = chosen.groupBy("hash").agg(F.max("chunk").alias("last"))
+        members = left.join(chunks, "hash").select("hash", "cls", "root", F.expr("pmod(xxhash64(cls), blocks)").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("chunk"), F.lit(False).alias("pivot"))
+        probes = chosen.select("hash", "cls", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "chunk", F.lit(True).alias("pivot"))
+        met = members.unionByName(probes).join(sets, "cls").groupBy("hash", "block", "chunk").applyInPandas(_compared, "a long, b long")
+        found = materialize(found.unionByName(met).distinct(), "near-joined")
+        left = left.join(chosen.select("hash", "cls"), ["hash", "cls"], "left_anti").select("hash", "cls", "size")
+        pivots *= 2
+
+
+def fronts(docs: DataFrame, task_shingles: int = TASK_SHINGLES, deal: int = DEAL) -> DataFrame:
     """(cls, size, hash, at) of every class's first shingles that others hold too; at counts from 0 in the common order."""
     words = docs.select(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).first()["n"] or 0
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // TASK_SHINGLES))
-    packed = docs.where("cls <> 0").mapInArrow(_blocks(tasks), "task int, hashes binary, classes binary, sizes binary, counts binary")
-    shared = packed.groupBy("task").applyInPandas(_shared, "cls long, size int, hash long, df long")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // task_shingles))
+    frequent, place = frequent_shingles(docs, words)
+    per_block = -(-tasks // deal)
+    packed = docs.where("cls <> 0").select("cls", "text").mapInArrow(_blocks(tasks, per_block, frequent), PACKED)
+    if per_block > 1:
+        parts = -(-words // (deal * DEAL_SHINGLES))  # a block's rows are many tasks' rows: they are dealt again by as many
+        salted = packed.withColumn("part", F.pmod(F.xxhash64("hashes"), F.lit(parts)))
+        again = salted.repartition(2 * deal * parts, "task", "part").sortWithinPartitions("task").drop("part")
+        packed = again.mapInArrow(_dealt_again(tasks, frequent), PACKED)
+    shared = packed.groupBy("task").applyInPandas(_shared(frequent, place), "cls long, size int, hash long, df long")
     held = shared.groupBy("cls", "size").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("held"))
     alone = F.col("size") - F.size("held")  # shingles of no other class come first in the order
     front = F.col("size") - F.ceil(F.col("size") * OVER / UNDER).cast("int") + 1
@@ -198,16 +330,16 @@ def close_links(docs: DataFrame) -> DataFrame:
     return _verified(pairs, _sets_of(docs, _ends(pairs)))
 
 
-def links(docs: DataFrame, hot_shingle: int = HOT_SHINGLE) -> DataFrame:
+def links(docs: DataFrame, hot_shingle: int = HOT_SHINGLE, local_shingles: int = LOCAL_SHINGLES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(a, b) over the classes of docs (cls, text): links that join all classes whose sets are similar."""
     close = materialize(close_links(docs), "near-links")
     roots = components(close).select(F.col("node").alias("cls"), "root")
     front = materialize(fronts(docs).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "near-fronts")
-    counts = front.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most").select("hash", "n")
+    counts = front.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most").select("hash", "n", "weight")
     front = materialize(front.join(counts, "hash"), "near-shared")
-    few, hot = front.where(F.col("n") <= hot_shingle), front.where(F.col("n") > hot_shingle).select("hash", "cls")
+    few, hot = front.where(F.col("n") <= hot_shingle), front.where(F.col("n") > hot_shingle)
     x, y = (few.select("hash", *(F.col(c).alias(c + end) for c in ("cls", "size", "at", "root"))) for end in ("_a", "_b"))
-    most = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) + F.least("at_a", "at_b")  # what both can share at best
+    most = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))  # what both can share if this is the first that they share
     fit = (OVER + UNDER) * most >= OVER * (F.col("size_a") + F.col("size_b"))
     pairs = x.join(y, "hash").where("cls_a < cls_b AND root_a <> root_b").where(fit).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
     pairs = materialize(pairs, "near-pairs")
@@ -215,8 +347,10 @@ def links(docs: DataFrame, hot_shingle: int = HOT_SHINGLE) -> DataFrame:
     found = close.unionByName(_verified(pairs, sets))
     if hot.isEmpty():
         return found
-    local = hot.join(sets, "cls").groupBy("hash").applyInPandas(_local_links, "a long, b long")
-    return found.unionByName(local).distinct()
+    local, large = (hot.where(side).select("hash", "cls", "size") for side in (F.col("weight") <= local_shingles, F.col("weight") > local_shingles))
+    near = local.join(sets, "cls").groupBy("hash").applyInPandas(_local_links, "a long, b long")
+    found = found.unionByName(near).distinct()
+    return found if large.isEmpty() else _pivoted(large, sets, materialize(found, "near-found"), block_shingles)
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_shingle: int = HOT_SHINGLE) -> DataFrame:

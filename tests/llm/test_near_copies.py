@@ -63,3 +63,49 @@ def test_odd_rows(spark):
     kept = near_copies.deduplicate(docs).collect()
     assert sorted((str(r["doc_id"]), r["text"], r["cls"]) for r in kept) == [("2", "A b  c d", "x"), ("2", "unlike the others", "x"), ("6", " \n", "x"), ("9", "a b c d e", "x"), ("None", "a b c d", "x")]
     assert near_copies.deduplicate(docs.limit(0)).count() == 0
+
+
+def classes_of(spark, texts):
+    return spark.createDataFrame(list(texts.items()), "doc_id long, text string").select(near_copies.text_class(F.col("text")).alias("cls"), "text")
+
+
+def plain_class_roots(docs):
+    return plain_roots({r["cls"]: r["text"] for r in docs.collect()})
+
+
+@pytest.mark.parametrize("seed,groups,size,most,common", [(3, 3, 60, 6, 20), (5, 2, 90, 9, 0), (6, 40, 4, 2, 90)])
+def test_large_hot_groups_by_pivots(spark, seed, groups, size, most, common):
+    """With small bounds every hot shingle goes through rounds of pivots over several blocks."""
+    docs = classes_of(spark, varied(seed, groups, size, most, common))
+    want = plain_class_roots(docs)
+    found = near_copies.links(docs, hot_shingle=3, local_shingles=100, block_shingles=2000)
+    got = {r["node"]: r["root"] for r in near_copies.components(found).collect()}
+    assert {c: got.get(c, c) for c in want} == want
+
+
+def test_pivots_without_links(spark):
+    """Classes on one shingle that are not similar: every one is a pivot in the end, and nothing is linked."""
+    texts = {i: " ".join([f"c{j}" for j in range(8)] + [f"u{i}x{j}" for j in range(30)]) for i in range(70)}
+    docs = classes_of(spark, texts)
+    sets = docs.select("cls", near_copies._sets("text").alias("shingles"))
+    hot = docs.select(F.lit(1).cast("long").alias("hash"), "cls", F.lit(34).alias("size"))
+    none = spark.createDataFrame([], "a long, b long")
+    assert near_copies._pivoted(hot, sets, none, 500).count() == 0
+
+
+def test_fronts_dealt_twice_are_the_same(spark):
+    docs = classes_of(spark, varied(7, 6, 30, 5, 30))
+    once, twice = (sorted(map(tuple, near_copies.fronts(docs, *sizes).collect())) for sizes in ((near_copies.TASK_SHINGLES, near_copies.DEAL), (40, 8)))
+    assert once and once == twice
+
+
+def test_frequent_shingles_come_last(spark):
+    line = " ".join(f"c{i}" for i in range(20))
+    texts = {i: f"{line} " + " ".join(f"u{i}x{j}" for j in range(3)) for i in range(100)}
+    docs = classes_of(spark, texts)
+    hashes, place = near_copies.frequent_shingles(docs, 2300)
+    shared = set.intersection(*(set(near_copies.shingle_set(t).tolist()) for t in texts.values()))
+    assert set(hashes.tolist()) == shared and len(shared) == 16 and sorted(hashes.tolist()) == hashes.tolist()
+    assert sorted(place.tolist()) == list(range(near_copies.LAST - 15, near_copies.LAST + 1))
+    fronts = near_copies.fronts(docs).collect()
+    assert len(fronts) == 100 and all(r["at"] == 3 and r["size"] == 19 and r["hash"] % 2**64 in shared for r in fronts)
